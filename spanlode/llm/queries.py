@@ -1,4 +1,81 @@
 """Queries of the text problems and, where there is one, their SQL."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanlode.llm import chunk_split, leakage, packing
+from spanlode.sources.tables import read
+
+CAPACITY = 4096
+
+
+def p2_pieces(spark: SparkSession, root: str) -> DataFrame:
+    """The latest revision of every note chunk in pieces of at most 1,200 characters that share 120."""
+    chunks = chunk_split.latest_chunks(read(spark, root, "memory_chunks"))
+    return chunk_split.split_long(chunks, "chunk_text", ["memory_uid", "chunk_ordinal", "chunk_heading"])
+
+
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Chunks that come in more than one piece."""
+    chunks = chunk_split.latest_chunks(read(spark, root, "memory_chunks"))
+    pieces = chunk_split.split_long(chunks, "chunk_text", ["memory_uid", "chunk_ordinal"])
+    return pieces.where((F.col("piece") == 1)).select("memory_uid", "chunk_ordinal").distinct()
+
+
+def _sizes(spark: SparkSession, root: str) -> DataFrame:
+    return read(spark, root, "documents").select(F.col("doc_id").alias("item"), F.octet_length("text").cast("long").alias("size"))
+
+
+def p6_containers(spark: SparkSession, root: str) -> DataFrame:
+    """The container of every part of every document."""
+    return packing.pack(_sizes(spark, root), CAPACITY).withColumnRenamed("item", "doc_id")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that had to be cut, since no container holds them whole."""
+    return packing.pack(_sizes(spark, root), CAPACITY).where("split").select(F.col("item").alias("doc_id")).distinct()
+
+
+def p6_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and the share of the room that is used."""
+    boxes = packing.pack(_sizes(spark, root), CAPACITY).groupBy("container").agg(F.sum("size").alias("tokens"))
+    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.round(F.sum("tokens") / (F.count("*") * CAPACITY), 4).alias("fill"))
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return leakage.leaks(read(spark, root, "documents"), "doc_id", "text", read(spark, root, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    """(item, document) pairs that share at least 12 consecutive words."""
+    return _leaks(spark, root).select("item_id", "doc_id").distinct()
+
+
+def p7_passages(spark: SparkSession, root: str) -> DataFrame:
+    """The leaked passages by word position."""
+    return _leaks(spark, root).distinct()
+
+
+def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
+    """Affected documents without the leaked passages."""
+    return leakage.cleaned(read(spark, root, "documents"), "doc_id", "text", _leaks(spark, root))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p6_found": p6_found,
+    "p6_containers": p6_containers,
+    "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_passages": p7_passages,
+    "p7_cleaned": p7_cleaned,
+}
+
+SQL = {
+    "p2_found": """SELECT memory_uid, chunk_ordinal FROM (SELECT memory_uid, chunk_ordinal, arg_max(chunk_text, indexed_at) AS t FROM memory_chunks GROUP BY ALL)
+ WHERE length(t) > 1200""",
+    "p6_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 4096",
+}
