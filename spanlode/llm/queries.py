@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlode.llm import chunk_split, leakage, packing
+from spanlode.llm import chunk_split, leakage, packing, residue
 from spanlode.sources.tables import read
 
 CAPACITY = 4096
@@ -63,6 +63,25 @@ def p7_cleaned(spark: SparkSession, root: str) -> DataFrame:
     return leakage.cleaned(read(spark, root, "documents"), "doc_id", "text", _leaks(spark, root))
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return read(spark, root, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("host"), "text")
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Documents with unfilled slots, filler, errors or notices in place of content."""
+    return residue.residue(_texts(spark, root)).select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The kinds of residue of each such document."""
+    return residue.residue(_texts(spark, root)).withColumnRenamed("id", "doc_id")
+
+
+def p8_line_counts(spark: SparkSession, root: str) -> DataFrame:
+    """How many documents of each source have each normalised line."""
+    return residue.line_counts(_texts(spark, root))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -72,6 +91,9 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_cleaned": p7_cleaned,
+    "p8_found": p8_found,
+    "p8_kinds": p8_kinds,
+    "p8_line_counts": p8_line_counts,
 }
 
 SQL = {
