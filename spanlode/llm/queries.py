@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlode.llm import chunk_split, leakage, packing, residue
+from spanlode.llm import chunk_split, leakage, packing, residue, syntax
 from spanlode.sources.tables import read
 
 CAPACITY = 4096
@@ -24,6 +24,25 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return pieces.where((F.col("piece") == 1)).select("memory_uid", "chunk_ordinal").distinct()
 
 
+def _parsed(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.parsed(read(spark, root, "source_files").where(F.col("file_id").isNotNull()))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files that no dialect of their language accepts."""
+    return _parsed(spark, root).where(F.size("dialects") == 0).select("file_id").distinct()
+
+
+def p5_dialects(spark: SparkSession, root: str) -> DataFrame:
+    """The language of every file and the dialects that accept it."""
+    return _parsed(spark, root).select("file_id", "language", F.array_join("dialects", ",").alias("dialects")).distinct()
+
+
+def p5_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Files that don't parse per project and language, next to the errors that index runs report."""
+    return syntax.rates(read(spark, root, "source_files"), read(spark, root, "index_runs"))
+
+
 def _sizes(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "documents").select(F.col("doc_id").alias("item"), F.octet_length("text").cast("long").alias("size"))
 
@@ -85,6 +104,9 @@ def p8_line_counts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p5_found": p5_found,
+    "p5_dialects": p5_dialects,
+    "p5_rates": p5_rates,
     "p6_found": p6_found,
     "p6_containers": p6_containers,
     "p6_fill": p6_fill,
