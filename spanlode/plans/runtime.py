@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,3 +42,12 @@ def local_session(app: str = "spanlode", cores: str | int = "*", **conf: str) ->
 def salt_of(*cols: str, salts: int):
     """A salt in [0, salts) that depends on the row's values only, so a retried task deals alike."""
     return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers on this host find the package when it runs from a checkout; installed copies are not touched."""
+    home = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if home not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, home])
