@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlode.llm import chunk_split, leakage, packing, residue, syntax
+from spanlode.llm import chunk_split, leakage, origin, packing, residue, syntax
 from spanlode.sources.tables import read
 
 CAPACITY = 4096
@@ -24,6 +24,20 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return pieces.where((F.col("piece") == 1)).select("memory_uid", "chunk_ordinal").distinct()
 
 
+def _origins(spark: SparkSession, root: str) -> DataFrame:
+    return origin.origins(read(spark, root, "source_files"), read(spark, root, "known_files"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    """Files that aren't hand-written for their project."""
+    return _origins(spark, root).select("file_id").distinct()
+
+
+def p4_kinds(spark: SparkSession, root: str) -> DataFrame:
+    """The kinds of origin of each such file."""
+    return _origins(spark, root)
+
+
 def _parsed(spark: SparkSession, root: str) -> DataFrame:
     return syntax.parsed(read(spark, root, "source_files").where(F.col("file_id").isNotNull()))
 
@@ -53,8 +67,9 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    """Documents that had to be cut, since no container holds them whole."""
-    return packing.pack(_sizes(spark, root), CAPACITY).where("split").select(F.col("item").alias("doc_id")).distinct()
+    """Documents whose tokens lie in more than one container, since none holds them whole."""
+    spread = packing.pack(_sizes(spark, root), CAPACITY).groupBy("item").agg(F.min("container").alias("a"), F.max("container").alias("b"))
+    return spread.where(F.col("a") < F.col("b")).select(F.col("item").alias("doc_id"))
 
 
 def p6_fill(spark: SparkSession, root: str) -> DataFrame:
@@ -104,6 +119,8 @@ def p8_line_counts(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_kinds": p4_kinds,
     "p5_found": p5_found,
     "p5_dialects": p5_dialects,
     "p5_rates": p5_rates,
