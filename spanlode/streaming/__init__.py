@@ -1 +1 @@
-"""Package."""
+"""Structured Streaming upkeep of the index."""
