@@ -146,18 +146,24 @@ def normal_line(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"\d+", "0"), r"\s+", " "))
 
 
+#: What every slot has; a fast test before the full one.
+SLOT_START = r"[{%@\[<_]|YOUR_|TODO\("
+
+
 def line_evidence(line: Column, normal: Column) -> Column:
     """``slot``, ``filler``, ``error`` or ``notice``; null for other lines."""
     return (
-        F.when(line.rlike(SLOT), "slot").when(normal.rlike(FILLER_LINE), "filler").when(normal.rlike(ERROR_LINE), "error").when(normal.rlike(NOTICE_LINE), "notice")
+        F.when(line.rlike(SLOT_START) & line.rlike(SLOT), "slot").when(normal.rlike(FILLER_LINE), "filler").when(normal.rlike(ERROR_LINE), "error").when(normal.rlike(NOTICE_LINE), "notice")
     )
 
 
 def evidence_lines(texts: DataFrame) -> DataFrame:
     """(id, host, line, normal, kind): lines that are evidence, before boilerplate is subtracted. Runs in the JVM."""
-    rows = texts.where(F.col("text").isNotNull()).select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode(prose_lines(F.col("text"))).alias("line"))
-    rows = rows.withColumn("normal", normal_line(F.col("line")))
-    return rows.withColumn("kind", line_evidence(F.col("line"), F.col("normal"))).where(F.col("kind").isNotNull())
+    both = F.transform(prose_lines(F.col("text")), lambda x: F.struct(x.alias("line"), normal_line(x).alias("normal")))
+    told = F.transform(both, lambda s: F.struct(s["line"].alias("line"), s["normal"].alias("normal"), line_evidence(s["line"], s["normal"]).alias("kind")))
+    kept = F.filter(told, lambda s: s["kind"].isNotNull())  # nested, so that each pattern runs once a line
+    rows = texts.where(F.col("text").isNotNull()).select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode(kept).alias("s"))
+    return rows.select("id", "host", "s.*")
 
 
 def residue(texts: DataFrame, share: float = BOILERPLATE_SHARE, least: int = BOILERPLATE_TEXTS) -> DataFrame:
