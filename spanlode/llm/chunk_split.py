@@ -27,6 +27,7 @@ BOUNDARIES = (
 )
 _PATTERNS = [(s, re.compile(p)) for s, p in BOUNDARIES]
 NEVER = -1
+BLOCK = 1 << 16
 #: Marks that belong to the character before them, joiners and variation selectors.
 _BOUND = re.compile(r"[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u1ab0-\u1aff\u1dc0-\u1dff\u200d\u20d0-\u20ff\u3099\u309a\ufe00-\ufe0f\ufe20-\ufe2f\U0001f3fb-\U0001f3ff]")
 
@@ -73,10 +74,12 @@ def split(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, in
     if len(text) <= limit:
         return [(0, len(text))]
     strength = strengths(text)
-    levels = sparse_table(strength)
-    pieces, start = [], 0
+    base, levels, pieces, start = 0, [], [], 0
     while len(text) - start > limit:
-        end = strongest(strength, levels, start + least, start + limit)
+        if not levels or start + limit >= base + len(levels[0]):
+            base = start  # the table covers a block at a time, so a text of any length needs no more
+            levels = sparse_table(strength[base : base + BLOCK + limit])
+        end = base + strongest(strength[base:], levels, start + least - base, start + limit - base)
         pieces.append((start, end))
         start = end - overlap
     pieces.append((start, len(text)))
@@ -98,14 +101,11 @@ def split_long(df: DataFrame, text: str, keys: list[str], limit: int = 1200, ove
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = None
         for batch in batches:
-            row, piece, pieces, start, size, out, held = [], [], [], [], [], [], 0
-            flush = []
+            row, piece, pieces, start, size, out = [], [], [], [], [], []
             for i, t in enumerate(batch.column(len(keys)).to_pylist()):
                 spans = split(t, limit, overlap, least)
                 for k, (a, b) in enumerate(spans):
                     row.append(i), piece.append(k), pieces.append(len(spans)), start.append(a), size.append(b - a), out.append(t[a:b])
-                held += len(t)
-            flush.append(row)
             cols = [batch.column(j).take(pa.array(row, pa.int64())) for j in range(len(keys))]
             cols += [pa.array(x, pa.int32()) for x in (piece, pieces, start, size)] + [pa.array(out, pa.string())]
             target = target or pa.schema([batch.schema.field(j) for j in range(len(keys))] + [pa.field(n, t) for n, t in (("piece", pa.int32()), ("pieces", pa.int32()), ("start", pa.int32()), ("n_chars", pa.int32()), ("piece_text", pa.string()))])

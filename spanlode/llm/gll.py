@@ -16,11 +16,14 @@ named by the rules that accept their content. The trees are caches: emptying the
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass, field
 
 END = 0
 NL_BIT = 1 << 30  # set in a token that starts a line
 CACHE = 400_000
+GROUPS = 50_000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # rules nest as deep as a chain of else-ifs is long
 _LEX = re.compile(r"\s*(?:('[^']+')|([bpsi]:\w+|@\w+|\w+)|([|?*+()]))")
 
 
@@ -218,7 +221,7 @@ class Grammar:
                 if rule == "ANY" or (rule == "EMPTY" and not content) or (rule != "EMPTY" and self.accepts(rule, content)):
                     held.add(terminal)
             n = self._token(frozenset(held))
-            if len(cache) > CACHE:
+            if len(cache) > GROUPS:
                 cache.clear()
             cache[key] = n
         return n
