@@ -48,7 +48,7 @@ DOC_LINES = {
 def lines(files: DataFrame) -> DataFrame:
     """(file_id, project_id, path, language, line_no, line) of every distinct file, line ends of any kind. A null
     content has no lines. Bytes that aren't UTF-8 are replaced."""
-    rows = files.where(F.col("content").isNotNull()).select("file_id", "project_id", "path", kinds.language(F.col("path")).alias("language"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.where(F.col("content").isNotNull()).select("file_id", "project_id", "path", kinds.language(F.col("path")).alias("language"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     rows = rows.groupBy("file_id").agg(F.max(F.struct("project_id", "path", "language", "text")).alias("r")).select("file_id", "r.*")
     text = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     out = rows.select("file_id", "project_id", "path", "language", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
