@@ -160,31 +160,49 @@ class Language:
 
     def _fields(self, text: str) -> bool:
         """Whether the replacement fields of an f-string are expressions."""
-        body = _FIELD.sub("", text.replace("{{", "").replace("}}", ""))
-        if "{" not in body and "}" not in body:
+        body = re.sub(r"^[a-zA-Z]+(\"{3}|'{3}|[\"'])([\s\S]*)\1$", r"\2", text)
+        plain = _FIELD.sub("", body)
+        if "{" not in plain and "}" not in plain:
             return True
-        depth, start, fields = 0, 0, []
-        for i, c in enumerate(body):
-            if c == "{":
-                depth += 1
-                if depth == 1:
-                    start = i + 1
-            elif c == "}":
-                depth -= 1
-                if depth < 0:
+        at = 0
+        while at < len(body):
+            c = body[at]
+            if body[at : at + 2] in ("{{", "}}"):
+                at += 2
+            elif c == "{":
+                at = self._field_end(body, at)
+                if at < 0:
                     return False
-                if depth == 0:
-                    fields.append(body[start:i])
-        return depth == 0 and all(self._field(f) for f in fields)
+            elif c == "}":
+                return False
+            else:
+                at += 1
+        return True
 
-    def _field(self, field: str) -> bool:
-        level = 0
-        for i, c in enumerate(field):
-            level += (c in "([{") - (c in ")]}")
-            if level == 0 and (c == ":" or c == "!" and field[i + 1 : i + 2] in ("r", "s", "a") and field[i + 2 : i + 3] in ("", ":")):
-                if self._part("(" + field[:i].rstrip("= ") + ")", "FString"):
-                    return True
-        return self._part("(" + field.rstrip("= ") + ")", "FString")
+    def _field_end(self, body: str, at: int) -> int:
+        """One past the replacement field that opens at ``at``; -1 if it holds no expression or doesn't end."""
+        level, i, end, n = 0, at + 1, -1, len(body)
+        while i < n:
+            c = body[i]
+            if c in "\"'":
+                quote = body[i : i + 3] if body[i : i + 3] == c * 3 else c
+                i = body.find(quote, i + len(quote)) + len(quote)
+                if i < len(quote):
+                    return -1
+                continue
+            level += (c in "([{") - (c in ")]" or c == "}" and level > 0)
+            if level == 0 and (c in ":}" or c == "!" and body[i + 1 : i + 2] in ("r", "s", "a") and body[i + 2 : i + 3] in (":", "}")):
+                end = i
+                break
+            i += 1
+        if end < 0 or not self._part("(" + body[at + 1 : end].rstrip("= ") + ")", "FString"):
+            return -1
+        i = end + 2 if body[end] == "!" else end
+        while i < n and body[i] != "}":  # the format, which may hold fields again
+            i = self._field_end(body, i) if body[i] == "{" else i + 1
+            if i < 0:
+                return -1
+        return i + 1 if i < n else -1
 
     def _scan(self, text: str) -> list[int]:
         """Token by token, for script texts in which a slash or a back-tick needs what stands before it."""
