@@ -136,3 +136,43 @@ def glob_pattern(glob: str) -> str:
             out += "\\" + c if c in r".^$+{}()|[]\\" else c
         i += 1
     return f"^{out}$"
+
+
+#: What the source line of a usage says about it, by class: (definition kinds it fits, factor, factor otherwise).
+LINE_FIT = {
+    1: ([*TYPES, "constructor"], 2.0, 0.5),
+    2: (TYPES, 2.0, 0.5),
+    3: (["field", "property", "method"], 2.0, 0.8),
+    4: (CALLABLES, 2.0, 0.7),
+    5: (TYPES, 1.6, 1.0),
+}
+#: Patterns of the line classes 1, 2 and 5.
+NEW_LINE, BASE_LINE, HINT_LINE = r"\bnew\s+[0-9A-Za-z_]+", r"\b(extends|implements)\s+[0-9A-Za-z_]+", r":\s*[A-Z][0-9A-Za-z_]*|->\s*[A-Za-z_]"
+
+
+def line_class(line: Column, name: Column) -> Column:
+    """Which class of ``LINE_FIT`` a source line puts the usage in; 0 for none, for empty lines and lines without the name."""
+    text = F.coalesce(line, F.lit(""))
+    there = (text != "") & text.contains(name)
+    return (
+        F.when(~there, 0).when(text.rlike(NEW_LINE), 1).when(text.rlike(BASE_LINE), 2).when(text.contains(F.concat(F.lit("."), name)), 3)
+        .when(text.contains(F.concat(name, F.lit("("))), 4).when(text.rlike(HINT_LINE), 5).otherwise(0)
+    )
+
+
+def line_fit(cls: Column, definition_kind: Column) -> Column:
+    out = F.lit(1.0)
+    for n, (kinds, yes, no) in LINE_FIT.items():
+        out = F.when(cls == n, F.when(definition_kind.isin(kinds), yes).otherwise(no)).otherwise(out)
+    return out
+
+
+def escalated(base: Column, name: Column, line: Column) -> Column:
+    """Coupling raised by what the line does with the name: inheriting from it, or making one of it."""
+    text = F.coalesce(line, F.lit(""))
+    has = lambda before, after: text.contains(F.concat(F.lit(before), name, F.lit(after)))
+    makes = F.lit(False)
+    for before, after in (("new ", "("), ("new ", "{"), ("new ", " {"), ("&", "{"), ("&", " {"), ("", "{"), ("", " {"), ("", "::new"), ("", "::New")):
+        makes |= has(before, after)
+    raised = F.when(has("extends ", "") | has("implements ", ""), 1.0).when(makes, F.greatest(base, F.lit(0.95))).otherwise(base)
+    return F.when((base >= 0.99) | (text == ""), base).otherwise(raised)

@@ -24,21 +24,29 @@ SYMBOL = ["project_id", "name", "lang"]
 PARTS = [((), 1.0, 1.0), (("dir",), 0.5, 1.5), (("file_id",), 1.5, 3.0), (("box",), 0.5, 1.5), (("dir", "box"), 0.25, 2.25), (("file_id", "box"), 0.75, 4.5)]
 
 
+def _fit(x):
+    return kinds.fit(F.col("kind"), x["kind"]) * kinds.line_fit(F.col("_line_class"), x["kind"])
+
+
 def _weighed(weight: float):
-    return lambda x: F.struct((-F.lit(weight) * kinds.fit(F.col("kind"), x["kind"])).alias("w"), x["o"].alias("o"))
+    return lambda x: F.struct((-F.lit(weight) * _fit(x)).alias("w"), x["o"].alias("o"))
 
 
-def resolved_usages(usages: DataFrame, definitions: DataFrame) -> DataFrame:
+def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Each usage with ``candidates``, ``confidence`` (the best candidate's share of the weight, four places) and
     ``best_def_id`` (of equals the first by kind, path and place). Without candidates: 0, 0.0 and null.
 
     Only definitions of the usage's project, name and language are candidates. Empty or null containers agree with
-    nothing. Weights that the source line would add count as 1.
+    nothing. With ``lines`` (file_id, line_no, line) the
+    class of the usage's source line counts as a factor too; a line that isn't there counts as 1.
     """
     d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), "kind", in_order().alias("o"))
     u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
     scores, bests, drop = F.lit(0.0), [], []
-    out = u
+    out = u.withColumn("_line_class", F.lit(0))
+    if lines is not None:
+        at = lines.select(F.col("file_id"), F.col("line_no").alias("start_line"), "line")
+        out = u.join(at, ["file_id", "start_line"], "left").withColumn("_line_class", kinds.line_class(F.col("line"), F.col("name"))).drop("line")
     for i, (more, factor, weight) in enumerate(PARTS):
         cols = [*SYMBOL, *more]
         rows = d.where(F.coalesce(F.col("box"), F.lit("")) != "") if "box" in more else d
@@ -46,13 +54,13 @@ def resolved_usages(usages: DataFrame, definitions: DataFrame) -> DataFrame:
         table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", "o")).alias(f"p{i}"))  # one entry a kind, 16 at most
         out = out.join(table, cols, "left")
         held = F.coalesce(F.col(f"p{i}"), F.array().cast(table.schema[f"p{i}"].dataType))
-        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0.0), lambda a, x: a + x["n"] * kinds.fit(F.col("kind"), x["kind"]))
+        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0.0), lambda a, x: a + x["n"] * _fit(x))
         bests.append(F.transform(held, _weighed(weight)))
         drop.append(f"p{i}")
     best = F.array_min(F.flatten(F.array(*bests)))
     out = out.withColumn("_total", scores).withColumn("_best", best).withColumn("candidates", F.coalesce(F.aggregate("p0", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0)))
     share = F.when(F.col("candidates") > 0, kinds.rounded(-F.col("_best.w") / F.col("_total"))).otherwise(0.0)
-    return out.withColumn("confidence", share).withColumn("best_def_id", F.col("_best.o.def_id")).drop("_total", "_best", "dir", "box", *drop)
+    return out.withColumn("confidence", share).withColumn("best_def_id", F.col("_best.o.def_id")).drop("_total", "_best", "_line_class", "dir", "box", *drop)
 
 
 def filtered_usages(usages: DataFrame, definitions: DataFrame, least: float = 0.55) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
-from spanlode.operators import corpus, graph, grouping, navigation, notes, resolution
+from spanlode.functions.paths import resolved
+from spanlode.operators import corpus, graph, grouping, navigation, note_files, notes, patterns, render, resolution
 from spanlode.operators.index_references import latest_notes, latest_symbols
 from spanlode.sources.tables import files_in_index, once, read
 from spanlode.streaming import upkeep
@@ -14,6 +15,9 @@ from spanlode.streaming import upkeep
 GLOBS = {"tests": "*_test.go", "scripts": "scripts/*", "internal_one_deep": "internal/*/*", "typescript": "*.[mt]s*", "one_letter": "?ib/*.rs"}
 SEARCHED = "stale cache lookup of the narrow parser"
 PATTERN = r"\b[a-z]+_(ticket|report|cache)\b"
+GETTERS = '(function) @name (#match? @name "^get") (#not-eq? @lang "java")'
+CALLS = '(ref_call) @name (#any-of? @name "get" "append" "run")'
+CHANGED = "2026-02-01 00:00:00"
 BEFORE, AFTER = "2025-09-01 00:00:00", "2026-03-01 00:00:00"
 
 
@@ -80,6 +84,60 @@ def resolution_scores(spark, root):
     return resolution.resolved_usages(u, d).select("usage_id", "candidates", "confidence", "best_def_id")
 
 
+def resolution_scores_by_line(spark, root):
+    """The same with what the source line of each usage says."""
+    u, d = _pair(spark, root)
+    lines = corpus.lines(read(spark, root, "source_files"))
+    return resolution.resolved_usages(u, d, lines).select("usage_id", "candidates", "confidence", "best_def_id")
+
+
+def coupling_scores_by_line(spark, root):
+    """Coupling strength of every usage, raised by what its source line does."""
+    lines = corpus.lines(read(spark, root, "source_files")).select("file_id", F.col("line_no").alias("start_line"), "line")
+    rows = graph.coupled(read(spark, root, "usages")).join(lines, ["file_id", "start_line"], "left")
+    return rows.select("usage_id", F.col("line").isNotNull().alias("has_line"), kinds.escalated(F.col("score"), F.col("name"), F.col("line")).alias("score"))
+
+
+def definition_code(spark, root):
+    """The numbered source lines of every definition."""
+    return render.definition_code(read(spark, root, "definitions"), corpus.lines(read(spark, root, "source_files")))
+
+
+def pattern_matches(spark, root):
+    """Definitions and usages that structural patterns find."""
+    u, d = _pair(spark, root)
+    return patterns.search(d, u, GETTERS).unionByName(patterns.search(d, u, CALLS))
+
+
+def capped_matches(spark, root):
+    """The first calls by place, at most 100 of a file and 500 in all."""
+    u, d = _pair(spark, root)
+    return patterns.search(d, u, CALLS, per_file=100, most=500)
+
+
+def note_markdown(spark, root):
+    """Every note written as markdown with its symbols and read back."""
+    symbols = latest_symbols(spark, root).groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("language", "name", F.coalesce("status", F.lit("active")).alias("status")))).alias("symbols"))  # the symbols of one note
+    rows = latest_notes(spark, root).join(once(read(spark, root, "memories").select("memory_id", "title"), "memory_id"), "memory_id").join(symbols, "memory_id", "left")
+    rows = rows.select("memory_id", F.col("memory_uid").alias("id"), "scope", F.col("file_path").alias("file"), "title", "status", F.col("file_status").alias("fileStatus"), F.lit("body\n").alias("body"), F.coalesce("symbols", F.array().cast("array<struct<language:string,name:string,status:string>>")).alias("symbols"))
+    back = note_files.parsed(note_files.written(rows).select("memory_id", "markdown"))
+    return back.select("memory_id", "id", "scope", "file", "title", "status", "fileStatus", F.size("symbols").alias("n_symbols"), "body")
+
+
+def note_upserts(spark, root):
+    """The table of notes after the changes of some months are laid over what it held before."""
+    rows = read(spark, root, "memories")
+    at = F.to_timestamp(F.lit(CHANGED))
+    return note_files.upserted(rows.where(F.col("updated_at") < at), rows.where(F.col("updated_at") >= at), "memory_id", "updated_at", ["title", "file_path", "body_hash"])
+
+
+def note_file_status(spark, root):
+    """The file status every file-scoped note should have, next to the one it has."""
+    paths = files_in_index(spark, root).select("project_id", resolved(F.col("path")).alias("file")).distinct().withColumn("there", F.lit(True))
+    bound = latest_notes(spark, root).where((F.col("scope") == "file") & (F.col("file_path") != "")).withColumn("file", resolved(F.col("file_path")))
+    return bound.join(paths, ["project_id", "file"], "left").select("memory_id", "file_status", F.when(F.col("there"), "active").otherwise("deleted").alias("should_be"))
+
+
 def filtered_usages(spark, root):
     """Usages that are left once unlikely ones are removed."""
     u, d = _pair(spark, root)
@@ -223,6 +281,6 @@ QUERIES = {
         primary_definitions, ranked_definitions, ranked_definitions_with_noise, noisy_paths, identifiers_at_cursors, words_at_columns, deduplicated_captures, usages_not_definitions,
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
-        streamed_index_state,
+        streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status,
     )
 }

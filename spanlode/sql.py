@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from spanlode.functions import kinds
 from spanlode.operators.corpus import DEFINES, DOC_LINES
-from spanlode.queries import AFTER, BEFORE, GLOBS, PATTERN, SEARCHED
+from spanlode.queries import AFTER, BEFORE, CHANGED, GLOBS, PATTERN, SEARCHED
 
 
 def _list(values) -> str:
@@ -73,7 +73,29 @@ _CHUNKS = "chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '')"
 _HEAD = "^#{1,6}[ \\t]+(\\S.*)$"
 
+_TYPES = _list(kinds.TYPES)
+_ON_LINE = f"""(CASE WHEN coalesce(l.line, '') = '' OR NOT contains(l.line, u.name) THEN 1.0 WHEN regexp_matches(l.line, '{kinds.NEW_LINE}') THEN CASE WHEN d.kind IN {_TYPES} OR d.kind = 'constructor' THEN 2.0 ELSE 0.5 END
+  WHEN regexp_matches(l.line, '{kinds.BASE_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 2.0 ELSE 0.5 END WHEN contains(l.line, '.' || u.name) THEN CASE WHEN d.kind IN ('field', 'property', 'method') THEN 2.0 ELSE 0.8 END
+  WHEN contains(l.line, u.name || '(') THEN CASE WHEN d.kind IN {_list(kinds.CALLABLES)} THEN 2.0 ELSE 0.7 END WHEN regexp_matches(l.line, '{kinds.HINT_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 1.6 ELSE 1.0 END ELSE 1.0 END)::DOUBLE"""
+_RESOLVED_ON_LINE = _RESOLVED.replace(f"{_FIT} AS w", f"{_FIT} * {_ON_LINE} AS w").replace("FROM u JOIN d USING (project_id, name, lang))", "FROM u JOIN d USING (project_id, name, lang) LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)")
+_MAKES = " OR ".join(f"contains(line, '{a}' || name || '{b}')" for a, b in (("new ", "("), ("new ", "{"), ("new ", " {"), ("&", "{"), ("&", " {"), ("", "{"), ("", " {"), ("", "::new"), ("", "::New")))
+_CLEAN = "array_to_string(list_reduce(list_prepend([], list_transform(list_filter(string_split({p}, '/'), lambda s: s NOT IN ('', '.')), lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN a[:-2] ELSE a || s END), '/')"
+_CALLS = "SELECT file_id, path, lang, name, start_line, start_col, min(usage_id) AS id FROM usages WHERE kind = 'call' AND name IN ('get', 'append', 'run') GROUP BY ALL"
+
 SQL = {
+    "resolution_scores_by_line": f"WITH {_U}, {_D}, {_LINES}, {_RESOLVED_ON_LINE} SELECT usage_id, candidates, confidence, best_def_id FROM resolved",
+    "coupling_scores_by_line": f"""WITH {_U}, {_LINES}, s AS (SELECT usage_id, u.name, l.line, {_COUPLING} AS b FROM u LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)
+ SELECT usage_id, line IS NOT NULL AS has_line, CASE WHEN b >= 0.99 OR coalesce(line, '') = '' THEN b WHEN contains(line, 'extends ' || name) OR contains(line, 'implements ' || name) THEN 1.0 WHEN {_MAKES} THEN greatest(b, 0.95) ELSE b END::DOUBLE AS score FROM s""",
+    "definition_code": f"""WITH {_LINES}, {_D}, r AS (SELECT def_id, any_value('--- ' || d.path || ':' || start_line || '-' || greatest(start_line, end_line) || ' (' || d.name || ' ' || d.kind || ') ---') AS h, string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS b
+  FROM d JOIN lines l ON l.file_id = d.file_id AND l.line_no BETWEEN start_line AND greatest(start_line, end_line) GROUP BY def_id), c AS (SELECT def_id, h || chr(10) || b AS code FROM r)
+ SELECT def_id, CASE WHEN length(code) > 100000 THEN substr(code, 1, 100000) || chr(10) || '... truncated' ELSE code END AS code FROM c""",
+    "pattern_matches": f"SELECT file_id, path, lang, name, start_line, start_col, min(def_id) AS id FROM definitions WHERE kind = 'function' AND regexp_matches(name, '^get') AND lang <> 'java' GROUP BY ALL UNION ALL {_CALLS}",
+    "capped_matches": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path, start_line, start_col, name, id) AS r FROM ({_CALLS})) WHERE r <= 100 ORDER BY path, start_line, start_col, name, id LIMIT 500",
+    "note_markdown": """WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
+ SELECT n.memory_id, memory_uid AS id, coalesce(nullif(scope, ''), 'project') AS scope, coalesce(file_path, '') AS file, coalesce(title, '') AS title, status, file_status AS "fileStatus", coalesce(c.n, 0) AS n_symbols, 'body' || chr(10) AS body FROM n LEFT JOIN c USING (memory_id)""",
+    "note_upserts": f"""SELECT memory_id, max(updated_at) AS updated_at, arg_max(title, updated_at) AS title, arg_max(file_path, updated_at) AS file_path, arg_max(body_hash, updated_at) AS body_hash FROM memories WHERE updated_at < TIMESTAMPTZ '{CHANGED}+00' OR updated_at >= TIMESTAMPTZ '{CHANGED}+00' GROUP BY memory_id""",
+    "note_file_status": f"""WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), l AS (SELECT DISTINCT project_id, path FROM source_files WHERE removed_at IS NULL)
+ SELECT memory_id, file_status, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.project_id = n.project_id AND l.path = {_CLEAN.format(p="n.file_path")}) THEN 'active' ELSE 'deleted' END AS should_be FROM n WHERE scope = 'file' AND file_path <> ''""",
     "primary_definitions": f"WITH {_D}, {_FIRST} SELECT project_id, name, lang, def_id, kind, path, candidates FROM prime",
     "ranked_definitions": f"""WITH {_D}, c AS (SELECT *, {_CONFIDENCE} AS confidence, kind IN {_list(kinds.TYPES)} AS t, kind IN {_list(kinds.VALUES)} AS v FROM d),
  l AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY project_id, name, lang) AS has FROM c) WHERE NOT (has AND v)),
