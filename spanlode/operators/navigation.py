@@ -57,13 +57,17 @@ def ranked_definitions(definitions: DataFrame, least: float = 0.55, include_nois
 
 def at_cursor(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) -> DataFrame:
     """(cursor_id, name, source): the identifier at file_id, line and col of each cursor: a definition whose name
-    covers the column, else a usage that does, else null. Of several the least by start and name counts."""
+    covers the column, else a usage that does, else null. Of several the least by start and name counts.
+
+    Places and spans are made distinct before they meet, so a crowded line costs its width, not its rows."""
     d = definitions_once(definitions).select("file_id", "start_line", "start_col", "end_col", "name", F.lit(0).alias("p"))
     u = usages.select("file_id", "start_line", "start_col", "end_col", "name", F.lit(1).alias("p")).distinct()
-    spans = d.unionByName(u).distinct()
-    met = cursors.join(spans, (F.col("at_file") == F.col("file_id")) & (F.col("at_line") == F.col("start_line")) & F.col("at_col").between(F.col("start_col"), F.col("end_col")), "left")
-    best = met.groupBy("cursor_id").agg(F.min(F.when(F.col("name").isNotNull(), F.struct("p", "start_col", "name"))).alias("b"))
-    return best.select("cursor_id", F.col("b.name").alias("name"), F.when(F.col("b.p") == 0, "definition").when(F.col("b.p") == 1, "usage").alias("source"))
+    spans = d.unionByName(u).where(F.col("name").isNotNull()).groupBy("file_id", "start_line", "start_col", "end_col", "p").agg(F.min("name").alias("name"))
+    place = ["at_file", "at_line", "at_col"]
+    places = cursors.select(*place).distinct()
+    met = places.join(spans, (F.col("at_file") == F.col("file_id")) & (F.col("at_line") == F.col("start_line")) & F.col("at_col").between(F.col("start_col"), F.col("end_col")))
+    best = met.groupBy(*place).agg(F.min(F.struct("p", "start_col", "name")).alias("b"))
+    return cursors.select("cursor_id", *place).join(best, place, "left").select("cursor_id", F.col("b.name").alias("name"), F.when(F.col("b.p") == 0, "definition").when(F.col("b.p") == 1, "usage").alias("source"))
 
 
 def word_at(text, col):

@@ -14,20 +14,18 @@ def sections(texts: DataFrame) -> DataFrame:
     """(doc_id, ordinal, heading, n_lines, n_chars): texts cut before every heading of level 1 to 6; what stands before
     the first heading has an empty one; sections of blank text are dropped and the rest numbered from 0.
 
-    Texts are folded line by line within their row, so there is no exchange. Null and blank texts have no section.
+    Each text is cut within its row at the places of its headings, so there is no exchange and the work grows with its
+    length. Null and blank texts have no section.
     """
-    line = F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n")
-    start = F.array(F.struct(F.lit("").alias("h"), F.array().cast("array<string>").alias("l")))
-    is_heading = lambda x: x.rlike(HEADING)
-    last = lambda a: F.element_at(a, -1)
-    fold = F.aggregate(
-        line, start,
-        lambda a, x: F.when(is_heading(x), F.concat(a, F.array(F.struct(F.regexp_extract(x, HEADING, 1).alias("h"), F.array(x).alias("l")))))
-        .otherwise(F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["h"].alias("h"), F.concat(last(a)["l"], F.array(x)).alias("l"))))),
-    )
-    kept = F.filter(fold, lambda s: F.trim(F.array_join(s["l"], "")) != "")
-    rows = texts.where(F.col("text").isNotNull()).select("doc_id", F.posexplode(kept).alias("ordinal", "s"))
-    return rows.select("doc_id", "ordinal", F.trim("s.h").alias("heading"), F.size("s.l").alias("n_lines"), F.length(F.array_join("s.l", "\n")).alias("n_chars"))
+    rows = texts.where(F.col("text").isNotNull()).select("doc_id", F.split(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), "\n").alias("l"))
+    heads = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(HEADING), i + 1)), lambda i: i.isNotNull())
+    rows = rows.withColumn("h", heads).withColumn("s", F.when((F.size("h") > 0) & (F.try_element_at("h", F.lit(1)) == 1), F.col("h")).otherwise(F.concat(F.array(F.lit(1)), "h")))
+    end = lambda k: F.coalesce(F.try_element_at("s", k + 2), F.size("l") + 1)
+    parts = F.transform("s", lambda at, k: F.slice("l", at, end(k) - at))
+    kept = F.filter(parts, lambda p: F.trim(F.array_join(p, "")) != "")
+    rows = rows.select("doc_id", F.posexplode(kept).alias("ordinal", "p"))
+    heading = F.trim(F.regexp_extract(F.element_at("p", 1), HEADING, 1))
+    return rows.select("doc_id", "ordinal", heading.alias("heading"), F.size("p").alias("n_lines"), F.length(F.array_join("p", "\n")).alias("n_chars"))
 
 
 def terms(text):

@@ -127,7 +127,7 @@ def note_markdown(spark, root):
 def note_upserts(spark, root):
     """The table of notes after the changes of some months are laid over what it held before."""
     rows = read(spark, root, "memories")
-    at = F.to_timestamp(F.lit(CHANGED))
+    at = F.to_timestamp(F.lit(CHANGED + "+00:00"))
     return note_files.upserted(rows.where(F.col("updated_at") < at), rows.where(F.col("updated_at") >= at), "memory_id", "updated_at", ["title", "file_path", "body_hash"])
 
 
@@ -188,7 +188,7 @@ def graph_metrics(spark, root):
 def index_changes(spark, root):
     """What a reconcile between two days would do to every path."""
     files = once(read(spark, root, "source_files").select("file_id", "project_id", "path", "sha256", "indexed_at", "removed_at"), "file_id")
-    old, new = (corpus.snapshot(files, F.to_timestamp(F.lit(t))) for t in (BEFORE, AFTER))
+    old, new = (corpus.snapshot(files, F.to_timestamp(F.lit(t + "+00:00"))) for t in (BEFORE, AFTER))
     return corpus.reconcile(new, old, ["project_id", "path"], "sha256")
 
 
