@@ -103,6 +103,12 @@ def definition_code(spark, root):
     return render.definition_code(read(spark, root, "definitions"), corpus.lines(read(spark, root, "source_files")))
 
 
+def usage_code(spark, root):
+    """The source lines around the usages of every file, merged where they touch."""
+    windows = grouping.code_windows(navigation.usages_once(read(spark, root, "usages")), ["file_id"], 2)
+    return render.window_code(windows, corpus.lines(read(spark, root, "source_files")))
+
+
 def pattern_matches(spark, root):
     """Definitions and usages that structural patterns find."""
     u, d = _pair(spark, root)
@@ -281,6 +287,6 @@ QUERIES = {
         primary_definitions, ranked_definitions, ranked_definitions_with_noise, noisy_paths, identifiers_at_cursors, words_at_columns, deduplicated_captures, usages_not_definitions,
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
-        streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status,
+        streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status,
     )
 }

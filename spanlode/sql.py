@@ -89,6 +89,11 @@ SQL = {
     "definition_code": f"""WITH {_LINES}, {_D}, r AS (SELECT def_id, any_value('--- ' || d.path || ':' || start_line || '-' || greatest(start_line, end_line) || ' (' || d.name || ' ' || d.kind || ') ---') AS h, string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS b
   FROM d JOIN lines l ON l.file_id = d.file_id AND l.line_no BETWEEN start_line AND greatest(start_line, end_line) GROUP BY def_id), c AS (SELECT def_id, h || chr(10) || b AS code FROM r)
  SELECT def_id, CASE WHEN length(code) > 100000 THEN substr(code, 1, 100000) || chr(10) || '... truncated' ELSE code END AS code FROM c""",
+    "usage_code": f"""WITH {_LINES}, {_U}, s AS (SELECT DISTINCT file_id, greatest(start_line - 2, 1) AS a, end_line + 2 AS b FROM u), m AS (SELECT file_id, a, max(b) AS b FROM s GROUP BY ALL),
+ n AS (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY a) AS island FROM n),
+ w AS (SELECT file_id, min(a) AS a, max(b) AS b FROM i GROUP BY file_id, island), r AS (SELECT w.file_id, a, any_value('--- ' || a || '-' || b || ' ---') || chr(10) || string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS code
+  FROM w JOIN lines l ON l.file_id = w.file_id AND l.line_no BETWEEN a AND b GROUP BY w.file_id, a)
+ SELECT file_id, a AS first_line, CASE WHEN length(code) > 100000 THEN substr(code, 1, 100000) || chr(10) || '... truncated' ELSE code END AS code FROM r""",
     "pattern_matches": f"SELECT file_id, path, lang, name, start_line, start_col, min(def_id) AS id FROM definitions WHERE kind = 'function' AND regexp_matches(name, '^get') AND lang <> 'java' GROUP BY ALL UNION ALL {_CALLS}",
     "capped_matches": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path, start_line, start_col, name, id) AS r FROM ({_CALLS})) WHERE r <= 100 ORDER BY path, start_line, start_col, name, id LIMIT 500",
     "note_markdown": """WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
