@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanlode.plans.runtime import cut, salt_of
+from spanlode.plans.runtime import cut, salt_of, written
 
 BITS = 8
 HOT_SHARE = 200
@@ -32,7 +32,7 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFr
     ``values`` has the columns k, v (long) and n (times). Null values don't count; a key without values has no row.
     A null key is a key like any other; values lie within ±2**62. The result is a value that occurs, never an interpolation.
     """
-    values = cut(values)
+    values = written(values)
     per_key = values.groupBy("k").agg(F.sum("n").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     per_key = cut(per_key)
     facts = per_key.agg(F.sum("rows"), F.max(F.col("hi") - F.col("lo"))).first()
@@ -86,7 +86,7 @@ def key_figures(df: DataFrame, key: str, row_id: str, value: str, distinct: dict
     rest = [c for c in used if c not in (key, row_id)]
     rows = rows.groupBy(row_id, key).agg(*[F.max(c).alias(c) for c in rest])  # by id, so evenly dealt
     counts = rows.groupBy(F.col(key).alias("k"), *[F.col(c).alias(f"_d{i}") for i, c in enumerate(distinct)], F.col(value).cast("long").alias("v")).agg(F.count("*").alias("n"))
-    counts = cut(counts)
+    counts = written(counts)
     out = counts.groupBy("k").agg(F.sum("n").alias("n_rows"))
     for i, name in enumerate(distinct.values()):
         per = distinct_per_key(counts, "k", f"_d{i}", name).withColumnRenamed("k", "k2")

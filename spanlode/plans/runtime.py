@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 from pathlib import Path
@@ -9,20 +10,46 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, so later reads don't run its plan again.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset, as in local tests, a
-    temporary one is made.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for intermediate results; a temporary one where none is set, as in local tests."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
+    if spark.conf.get("spark.checkpoint.dir", ""):
+        return spark.conf.get("spark.checkpoint.dir")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, so later reads don't run its plan again."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: smaller than a checkpoint where values repeat, and later reads take
+    the columns they need. The table is deleted when the program ends."""
+    spark = df.sparkSession
+    path = f"{_checkpoint_folder(spark).rstrip('/')}/table-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _delete_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001, S110 - the session has ended before
+            pass
+
+
 def local_session(app: str = "spanlode", cores: str | int = "*", **conf: str) -> SparkSession:
     """A local session with the settings the queries are tested under."""
     settings = {
