@@ -24,8 +24,8 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     parts = []
     for table in TABLES:
         figures = name_figures(spark, root, table)
-        total = figures.agg(F.sum("n_rows").alias("total"))
-        hot = figures.join(F.broadcast(total), F.col("n_rows") >= F.lit(HOT_SHARE) * F.col("total"))  # total is one row
+        total = figures.agg(F.sum("n_rows")).scalar()
+        hot = figures.where(F.col("n_rows") >= F.lit(HOT_SHARE) * total)
         parts.append(hot.select(F.lit(table).alias("tbl"), "name"))
     return parts[0].unionByName(parts[1]).distinct()
 
