@@ -43,17 +43,18 @@ def search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
     wanted = sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
     fields = active.select("memory_uid", "chunk_ordinal", *[terms(F.col(f)).alias(f) for f in BOOST])
     total = fields.agg(F.count("*").alias("n"), *[F.sum(F.greatest(*[F.array_contains(f, t).cast("int") for f in BOOST])).alias(f"d{i}") for i, t in enumerate(wanted)])
+    seen = total.select(F.struct("*")).scalar()
     hit = F.lit(0.0)
     times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
     for i, t in enumerate(wanted):
-        weight = F.pow(1 + F.log(F.col("n") / F.greatest(F.col(f"d{i}"), F.lit(1))), 2)
+        weight = F.pow(1 + F.log(seen["n"] / F.greatest(seen[f"d{i}"], F.lit(1))), 2)
         for f, boost in BOOST.items():
             hit = hit + F.when(F.size(f) > 0, boost * F.sqrt(times(f, t)) * weight / F.sqrt(F.size(f))).otherwise(0.0)
     anything = F.lit(False)
     for t in wanted:
         for f in BOOST:
             anything |= F.array_contains(f, t)
-    scored = fields.where(anything).join(F.broadcast(total)).select("memory_uid", "chunk_ordinal", F.round(hit, 6).alias("score"))  # total is one row
+    scored = fields.where(anything).select("memory_uid", "chunk_ordinal", F.round(hit, 6).alias("score"))
     top = scored.orderBy(F.desc("score"), "memory_uid", "chunk_ordinal").limit(limit)
     best = Window.partitionBy("memory_uid").orderBy(F.desc("score"), "chunk_ordinal")  # limit rows at most
     return top.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")

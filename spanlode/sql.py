@@ -97,7 +97,7 @@ SQL = {
     "pattern_matches": f"SELECT file_id, path, lang, name, start_line, start_col, min(def_id) AS id FROM definitions WHERE kind = 'function' AND regexp_matches(name, '^get') AND lang <> 'java' GROUP BY ALL UNION ALL {_CALLS}",
     "capped_matches": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path, start_line, start_col, name, id) AS r FROM ({_CALLS})) WHERE r <= 100 ORDER BY path, start_line, start_col, name, id LIMIT 500",
     "note_markdown": """WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
- SELECT n.memory_id, memory_uid AS id, coalesce(nullif(scope, ''), 'project') AS scope, coalesce(file_path, '') AS file, coalesce(title, '') AS title, status, file_status AS "fileStatus", coalesce(c.n, 0) AS n_symbols, 'body' || chr(10) AS body FROM n LEFT JOIN c USING (memory_id)""",
+ SELECT n.memory_id, memory_uid AS id, coalesce(nullif(scope, ''), 'project') AS scope, coalesce(file_path, '') AS file, coalesce(title, '') AS title, status, file_status AS "fileStatus", coalesce(c.n, 0)::INTEGER AS n_symbols, 'body' || chr(10) AS body FROM n LEFT JOIN c USING (memory_id)""",
     "note_upserts": f"""SELECT memory_id, max(updated_at) AS updated_at, arg_max(title, updated_at) AS title, arg_max(file_path, updated_at) AS file_path, arg_max(body_hash, updated_at) AS body_hash FROM memories WHERE updated_at < TIMESTAMPTZ '{CHANGED}+00' OR updated_at >= TIMESTAMPTZ '{CHANGED}+00' GROUP BY memory_id""",
     "note_file_status": f"""WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), l AS (SELECT DISTINCT project_id, path FROM source_files WHERE removed_at IS NULL)
  SELECT memory_id, file_status, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.project_id = n.project_id AND l.path = {_CLEAN.format(p="n.file_path")}) THEN 'active' ELSE 'deleted' END AS should_be FROM n WHERE scope = 'file' AND file_path <> ''""",
@@ -159,13 +159,13 @@ SQL = {
     ),
     "extracted_definitions": f"""WITH {_LINES}, {_CAPTURES}, dl AS (SELECT file_id, line_no, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS run FROM lines WHERE {_DOC}),
  runs AS (SELECT file_id, min(line_no) AS a, max(line_no) + 1 AS below FROM dl GROUP BY file_id, run)
- SELECT c.file_id, c.language, c.kind, c.name, c.line_no, coalesce(r.a, c.line_no) AS doc_line FROM captures c LEFT JOIN runs r ON r.file_id = c.file_id AND r.below = c.line_no""",
+ SELECT c.file_id, c.language, c.kind, c.name, c.line_no::INTEGER AS line_no, coalesce(r.a, c.line_no)::INTEGER AS doc_line FROM captures c LEFT JOIN runs r ON r.file_id = c.file_id AND r.below = c.line_no""",
     "structural_matches": f"""WITH {_LINES}, {_CAPTURES}, p AS (SELECT file_id, language, kind, count(*) AS n FROM captures GROUP BY ALL)
  SELECT project_id, p.language, kind, count(*) AS n_files, sum(n)::BIGINT AS n_matches, max(n) AS most FROM p JOIN texts USING (file_id) GROUP BY ALL""",
     "note_sections": f"""WITH s AS (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS l FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM s),
  h AS (SELECT *, regexp_matches(line, '{_HEAD}') AS head FROM x), g AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sec FROM h),
  a AS (SELECT doc_id, sec, trim(coalesce(max(regexp_extract(line, '{_HEAD}', 1)) FILTER (head), '')) AS heading, count(*) AS n_lines, (sum(length(line)) + count(*) - 1)::BIGINT AS n_chars, trim(string_agg(line, '')) AS body FROM g GROUP BY ALL)
- SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS ordinal, heading, n_lines, n_chars FROM a WHERE body <> ''""",
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INTEGER AS ordinal, heading, n_lines::INTEGER AS n_lines, n_chars::INTEGER AS n_chars FROM a WHERE body <> ''""",
     "note_search": f"""WITH {_CHUNKS}, f AS (SELECT memory_uid, chunk_ordinal, [{", ".join(f"{{'b': {b}::DOUBLE, 't': {_TERMS.format(c=c)}}}" for c, b in (("title", 2.0), ("chunk_heading", 1.5), ("chunk_text", 1.0), ("symbol_text", 1.0)))}] AS fs
   FROM chunks WHERE status = 'active' AND file_status = 'active'),
  q AS (SELECT unnest([{", ".join(repr(t) for t in sorted(set(SEARCHED.split())))}]) AS q), e AS (SELECT memory_uid, chunk_ordinal, unnest(fs) AS f FROM f),
@@ -173,7 +173,7 @@ SQL = {
  df AS (SELECT q, count(DISTINCT (memory_uid, chunk_ordinal)) AS df FROM h GROUP BY q),
  sc AS (SELECT memory_uid, chunk_ordinal, round(sum(b * sqrt(tf) * power(1 + ln((SELECT count(*) FROM f) / df), 2) / sqrt(n)), 6) AS score FROM h JOIN df USING (q) GROUP BY ALL),
  top AS (SELECT * FROM sc ORDER BY score DESC, memory_uid, chunk_ordinal LIMIT 20) SELECT memory_uid, chunk_ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY memory_uid ORDER BY score DESC, chunk_ordinal) AS r FROM top) WHERE r = 1""",
-    "note_replacements": f"WITH {_CHUNKS} SELECT memory_uid, chunk_ordinal, len(regexp_extract_all(chunk_text, '{PATTERN}')) AS matches, length(regexp_replace(chunk_text, '{PATTERN}', 'NAME', 'g')) AS new_chars FROM chunks WHERE regexp_matches(chunk_text, '{PATTERN}')",
+    "note_replacements": f"WITH {_CHUNKS} SELECT memory_uid, chunk_ordinal, len(regexp_extract_all(chunk_text, '{PATTERN}'))::INTEGER AS matches, length(regexp_replace(chunk_text, '{PATTERN}', 'NAME', 'g'))::INTEGER AS new_chars FROM chunks WHERE regexp_matches(chunk_text, '{PATTERN}')",
     "note_symbol_status": """WITH live AS (SELECT DISTINCT file_id FROM source_files WHERE removed_at IS NULL), k AS (SELECT DISTINCT project_id, name, lower(trim(lang)) AS language FROM definitions SEMI JOIN live USING (file_id)),
  s AS (SELECT memory_symbol_id, max(struct_pack(t := coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00'), m := memory_id, l := language, n := name, s := coalesce(status, ''))) AS r FROM memory_symbols GROUP BY 1),
  m AS (SELECT DISTINCT memory_id, project_id FROM memories)

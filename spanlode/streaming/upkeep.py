@@ -52,4 +52,5 @@ def quiet_periods(events: DataFrame, key: str, at: str, gap_seconds: int) -> Dat
     new = F.coalesce(F.col("s") - F.lag("s").over(order) > gap_seconds, F.lit(True)).cast("int")
     runs = seconds.withColumn("new", new).withColumn("period", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = runs.groupBy(key, "period").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.sum("n").alias("n_events"))
-    return out.select(key, "period", F.timestamp_seconds("a").alias("first_at"), F.timestamp_seconds("b").alias("last_at"), "n_events")
+    kind = events.schema[at].dataType
+    return out.select(key, "period", F.timestamp_seconds("a").cast(kind).alias("first_at"), F.timestamp_seconds("b").cast(kind).alias("last_at"), "n_events")
