@@ -20,15 +20,17 @@ from spanlode.functions.paths import directory
 from spanlode.operators.navigation import definitions_once, in_order, primary_definitions, usages_once
 
 SYMBOL = ["project_id", "name", "lang"]
-#: (columns besides the symbol, factor in the sum, weight of a candidate that agrees in just these).
-PARTS = [((), 1.0, 1.0), (("dir",), 0.5, 1.5), (("file_id",), 1.5, 3.0), (("box",), 0.5, 1.5), (("dir", "box"), 0.25, 2.25), (("file_id", "box"), 0.75, 4.5)]
+#: (columns besides the symbol, factor in the sum, weight of a candidate that agrees in just these), both times 8.
+PARTS = [((), 8, 8), (("dir",), 4, 12), (("file_id",), 12, 24), (("box",), 4, 12), (("dir", "box"), 2, 18), (("file_id", "box"), 6, 36)]
 
 
 def _fit(x):
-    return kinds.fit(F.col("kind"), x["kind"]) * kinds.line_fit(F.col("_line_class"), x["kind"])
+    """Both fits times 10 as whole numbers: weights add up exactly, in whatever order."""
+    tens = lambda c: F.round(c * 10).cast("long")
+    return tens(kinds.fit(F.col("kind"), x["kind"])) * tens(kinds.line_fit(F.col("_line_class"), x["kind"]))
 
 
-def _weighed(weight: float):
+def _weighed(weight: int):
     return lambda x: F.struct((-F.lit(weight) * _fit(x)).alias("w"), x["o"].alias("o"))
 
 
@@ -42,7 +44,7 @@ def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame
     """
     d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), "kind", in_order().alias("o"))
     u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
-    scores, bests, drop = F.lit(0.0), [], []
+    scores, bests, drop = F.lit(0).cast("long"), [], []
     out = u.withColumn("_line_class", F.lit(0))
     if lines is not None:
         at = lines.select(F.col("file_id"), F.col("line_no").alias("start_line"), "line")
@@ -54,7 +56,7 @@ def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame
         table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", "o")).alias(f"p{i}"))  # one entry a kind, 16 at most
         out = out.join(table, cols, "left")
         held = F.coalesce(F.col(f"p{i}"), F.array().cast(table.schema[f"p{i}"].dataType))
-        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0.0), lambda a, x: a + x["n"] * _fit(x))
+        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x))
         bests.append(F.transform(held, _weighed(weight)))
         drop.append(f"p{i}")
     best = F.array_min(F.flatten(F.array(*bests)))

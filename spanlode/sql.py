@@ -33,21 +33,21 @@ _DIR = "CASE WHEN regexp_replace({p}, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_
 _FIT = (
     "CASE u.kind "
     + " ".join(
-        f"WHEN '{k}' THEN " + (f"CASE WHEN d.kind IN {_list(fits)} THEN {yes}::DOUBLE ELSE {no}::DOUBLE END" if fits else f"{yes}::DOUBLE") for k, (fits, yes, no) in kinds.FIT.items()
+        f"WHEN '{k}' THEN " + (f"CASE WHEN d.kind IN {_list(fits)} THEN {round(yes * 10)} ELSE {round(no * 10)} END" if fits else f"{round(yes * 10)}") for k, (fits, yes, no) in kinds.FIT.items()
     )
-    + " ELSE 1.0::DOUBLE END"
+    + " ELSE 10 END::BIGINT"
 )
 _U = "u AS (SELECT DISTINCT usage_id, project_id, file_id, path, lang, name, kind, context_container, relation, start_line, start_col, end_line FROM usages)"
 _D = "d AS (SELECT DISTINCT def_id, project_id, file_id, path, lang, name, kind, container, start_line, start_col, end_line, end_col FROM definitions)"
 _FIRST = f"""first AS (SELECT *, row_number() OVER (PARTITION BY project_id, name, lang ORDER BY {_ORDER}, path, start_line, start_col, def_id) AS r,
   count(*) OVER (PARTITION BY project_id, name, lang) AS candidates FROM d), prime AS (SELECT * FROM first WHERE r = 1)"""
 _RESOLVED = f"""pairs AS (SELECT u.usage_id, d.def_id,
-  (CASE WHEN u.file_id = d.file_id THEN 3.0 WHEN {_DIR.format(p="u.path")} = {_DIR.format(p="d.path")} THEN 1.5 ELSE 1.0 END)::DOUBLE
-  * (CASE WHEN u.context_container <> '' AND u.context_container = d.container THEN 1.5 ELSE 1.0 END)::DOUBLE * {_FIT} AS w, {_ORDER} AS o, d.path, d.start_line, d.start_col
+  (CASE WHEN u.file_id = d.file_id THEN 12 WHEN {_DIR.format(p="u.path")} = {_DIR.format(p="d.path")} THEN 6 ELSE 4 END)
+  * (CASE WHEN u.context_container <> '' AND u.context_container = d.container THEN 3 ELSE 2 END) * {_FIT} AS w, {_ORDER} AS o, d.path, d.start_line, d.start_col
   FROM u JOIN d USING (project_id, name, lang)),
  sums AS (SELECT usage_id, count(*) AS candidates, sum(w) AS total, max(w) AS top FROM pairs GROUP BY usage_id),
  best AS (SELECT usage_id, def_id FROM (SELECT *, row_number() OVER (PARTITION BY usage_id ORDER BY w DESC, o, path, start_line, start_col, def_id) AS r FROM pairs) WHERE r = 1),
- resolved AS (SELECT u.*, coalesce(candidates, 0) AS candidates, coalesce(round(top / total * 10000) / 10000, 0.0)::DOUBLE AS confidence, best.def_id AS best_def_id
+ resolved AS (SELECT u.*, coalesce(candidates, 0) AS candidates, coalesce(round(top::DOUBLE / total::DOUBLE * 10000) / 10000, 0.0)::DOUBLE AS confidence, best.def_id AS best_def_id
   FROM u LEFT JOIN sums USING (usage_id) LEFT JOIN best USING (usage_id))"""
 _EDGES = f"""scored AS (SELECT *, {_COUPLING} AS score FROM u),
  edges AS (SELECT project_id, name, lang, path, count(*) OVER w AS n_usages, round(max(score) OVER w * 10000) / 10000 AS max_score, kind, relation,
@@ -74,9 +74,9 @@ _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}
 _HEAD = "^#{1,6}[ \\t]+(\\S.*)$"
 
 _TYPES = _list(kinds.TYPES)
-_ON_LINE = f"""(CASE WHEN coalesce(l.line, '') = '' OR NOT contains(l.line, u.name) THEN 1.0 WHEN regexp_matches(l.line, '{kinds.NEW_LINE}') THEN CASE WHEN d.kind IN {_TYPES} OR d.kind = 'constructor' THEN 2.0 ELSE 0.5 END
-  WHEN regexp_matches(l.line, '{kinds.BASE_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 2.0 ELSE 0.5 END WHEN contains(l.line, '.' || u.name) THEN CASE WHEN d.kind IN ('field', 'property', 'method') THEN 2.0 ELSE 0.8 END
-  WHEN contains(l.line, u.name || '(') THEN CASE WHEN d.kind IN {_list(kinds.CALLABLES)} THEN 2.0 ELSE 0.7 END WHEN regexp_matches(l.line, '{kinds.HINT_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 1.6 ELSE 1.0 END ELSE 1.0 END)::DOUBLE"""
+_ON_LINE = f"""(CASE WHEN coalesce(l.line, '') = '' OR NOT contains(l.line, u.name) THEN 10 WHEN regexp_matches(l.line, '{kinds.NEW_LINE}') THEN CASE WHEN d.kind IN {_TYPES} OR d.kind = 'constructor' THEN 20 ELSE 5 END
+  WHEN regexp_matches(l.line, '{kinds.BASE_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 20 ELSE 5 END WHEN contains(l.line, '.' || u.name) THEN CASE WHEN d.kind IN ('field', 'property', 'method') THEN 20 ELSE 8 END
+  WHEN contains(l.line, u.name || '(') THEN CASE WHEN d.kind IN {_list(kinds.CALLABLES)} THEN 20 ELSE 7 END WHEN regexp_matches(l.line, '{kinds.HINT_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 16 ELSE 10 END ELSE 10 END)"""
 _RESOLVED_ON_LINE = _RESOLVED.replace(f"{_FIT} AS w", f"{_FIT} * {_ON_LINE} AS w").replace("FROM u JOIN d USING (project_id, name, lang))", "FROM u JOIN d USING (project_id, name, lang) LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)")
 _MAKES = " OR ".join(f"contains(line, '{a}' || name || '{b}')" for a, b in (("new ", "("), ("new ", "{"), ("new ", " {"), ("&", "{"), ("&", " {"), ("", "{"), ("", " {"), ("", "::new"), ("", "::New")))
 _CLEAN = "array_to_string(list_reduce(list_prepend([], list_transform(list_filter(string_split({p}, '/'), lambda s: s NOT IN ('', '.')), lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN a[:-2] ELSE a || s END), '/')"
