@@ -3,7 +3,8 @@
 Every file becomes a set of hashed five-token shingles in which identifiers, short strings and small numbers are masked. Phrases
 without a literal are the language's and everybody's, so the set keeps the shingles that hold one, unless the file has
 too few of those; then it keeps all. Files with the same set are one class. Classes meet
-through MinHash bands, each band's members against one of them at a time, and a meeting counts only if the exact
+through MinHash bands, each band's members against one of them at a time and at the end those that missed each other,
+and a meeting counts only if the exact
 Jaccard similarity of the two sets is at least 0.8; connected classes form a family. A family whose files lie in
 several projects is a vendored copy; one that repeats the same masked phrases over and over, or that recurs under
 other names within one project, is the output of a tool; one made of literals only is data. Checks on the single file
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from spanlode.llm import lexers
 from spanlode.llm.syntax import language_of
-from spanlode.plans.runtime import cut
+from spanlode.plans.runtime import cut, salt_of
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -31,6 +32,7 @@ BANDS, ROWS = 32, 6  # a pair of similarity s shares a band in 1 - (1 - s ** ROW
 SHORT_STRING = 6  # with its quotes; shorter strings and numbers of up to two digits are masked
 LEAST_LITERAL_SHINGLES = 10  # from which only shingles with a literal count
 LEAST_TOKENS = 60
+SALTS = 16
 REPEATS = 4.0  # tokens per different phrase from which a file repeats itself
 LEAST_LITERAL_BYTES = 400
 LITERAL_TOKENS, LITERAL_BYTES = 0.6, 0.7
@@ -209,29 +211,50 @@ def described(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, schema)
 
 
-def _links(rows: DataFrame) -> DataFrame:
-    """(a, b): similar classes. Each band's members meet its first class; those not similar to it meet the first of
-    themselves in the next round, until none are left, so a round holds one pair a member and band at most. Only
-    classes that share a band with another are carried on, and only theirs are the sets that get exchanged."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class_id, pivot, share, n, similar): the exact Jaccard similarity of pairs of classes and the size of the first one's set."""
+    left = sets.select(F.col("class_id"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("class_id").alias("pivot"), F.col("shingles").alias("y"))
+    both = pairs.join(left, "class_id").join(right, "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
+    either = F.size("x") + F.size("y") - F.col("common")
+    return both.select("class_id", "pivot", (F.col("common") / either).alias("share"), F.size("x").alias("n"), (F.col("common") >= SIMILAR * either).alias("similar"))
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """(class_id, family): classes connected by pairs that share a band and are similar; classes without such a pair have no row.
+
+    Each band's members meet its first class; those not similar to it meet the first of themselves in the next round,
+    until none are left, so a round holds one pair a member and band at most. Only classes that share a band with
+    another are carried on, and only theirs are the sets that get exchanged. What never met is one member that left
+    with a pivot and one that stayed: such pairs meet at the end, unless they are of one family by then or can't be
+    similar by their sizes or by their distances to the pivot (Jaccard distance keeps the triangle inequality)."""
     banded = rows.select("class_id", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "language"))).alias("band")).distinct()  # copies of a file end here
     first = banded.groupBy("band").agg(F.min("class_id").alias("pivot"), F.max("class_id").alias("most")).where(F.col("pivot") < F.col("most"))
     members = cut(banded.join(first.select("band"), "band"))
     needed = members.select("class_id").distinct()
     sets = cut(rows.select("class_id", "shingles").join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.max("shingles").alias("shingles")))
-    links = None
+    met_all = None
     while True:
         first = members.groupBy("band").agg(F.min("class_id").alias("pivot"))
         met = cut(members.join(first, "band").where(F.col("class_id") != F.col("pivot")))
-        pairs = met.select("class_id", "pivot").distinct()
-        left = sets.select(F.col("class_id"), F.col("shingles").alias("x"))
-        right = sets.select(F.col("class_id").alias("pivot"), F.col("shingles").alias("y"))
-        both = pairs.join(left, "class_id").join(right, "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
-        judged = cut(both.select("class_id", "pivot", (F.col("common") >= SIMILAR * (F.size("x") + F.size("y") - F.col("common"))).alias("similar")))
-        good = judged.where("similar").select(F.col("class_id").alias("a"), F.col("pivot").alias("b"))
-        links = good if links is None else links.unionByName(good)
+        judged = cut(_compared(met.select("class_id", "pivot").distinct(), sets))
+        met_all = judged if met_all is None else met_all.unionByName(judged)
         members = cut(met.join(judged.where(~F.col("similar")).select("class_id", "pivot"), ["class_id", "pivot"], "left_semi").select("class_id", "band"))
         if members.isEmpty():
-            return cut(links.distinct())
+            break
+    reach = 1 - SIMILAR + 1e-9
+    close = cut(met_all.where("similar").distinct())
+    links = close.select(F.col("class_id").alias("a"), F.col("pivot").alias("b"))
+    family = _families(links)
+    stayed = met_all.where(~F.col("similar") & (F.col("share") >= SIMILAR - reach)).select(F.col("class_id").alias("b"), "pivot", F.col("share").alias("b_share"), F.col("n").alias("b_n")).distinct()
+    own = stayed.join(family.select(F.col("class_id").alias("b"), F.col("family").alias("b_family")), "b", "left")
+    apart = own.join(family.select(F.col("class_id").alias("pivot"), "family"), "pivot").where(~F.col("family").eqNullSafe(F.col("b_family")))
+    apart = apart.select("b", "pivot", "b_share", "b_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    left = close.select(F.col("class_id").alias("a"), "pivot", "share", "n", salt_of("class_id", salts=SALTS).alias("salt"))  # one class can be the pivot of many
+    may = (F.col("share") - F.col("b_share") <= reach) & (F.least("n", "b_n") >= SIMILAR * F.greatest("n", "b_n"))
+    late = left.join(apart, ["pivot", "salt"]).where(may).select(F.col("a").alias("class_id"), F.col("b").alias("pivot")).distinct()
+    more = cut(_compared(late, sets).where("similar").select(F.col("class_id").alias("a"), F.col("pivot").alias("b")))
+    return family if more.isEmpty() else _families(links.unionByName(more))
 
 
 def _families(links: DataFrame) -> DataFrame:
@@ -264,7 +287,7 @@ def origins(files: DataFrame, known: DataFrame) -> DataFrame:
         F.max("tokens").alias("tokens"), F.max("phrases").alias("phrases"),
     )
     per_class = cut(per_class)
-    family = _families(_links(counted.select("class_id", "language", "bands", "shingles")))
+    family = _clusters(counted.select("class_id", "language", "bands", "shingles"))
     placed = per_class.join(family, "class_id", "left").withColumn("family", F.coalesce("family", "class_id"))
     whole = placed.groupBy("family").agg((F.min("p0") < F.max("p1")).alias("several_projects"), (F.min("f0") < F.max("f1")).alias("several_places"))
     judged = placed.join(whole, "family").withColumn("repeats", F.col("tokens") >= REPEATS * F.col("phrases"))

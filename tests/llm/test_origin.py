@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from spanlode.llm.origin import band_hashes, features, origins
+from spanlode.llm.origin import _clusters, band_hashes, features, origins
 from tests.conftest import rows
 
 COLS = "file_id long, project_id long, path string, content binary, kind string, class_id long"
@@ -79,3 +79,9 @@ def test_pairs_at_the_threshold_share_a_band():
         assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) == 0.8
         missed += not (band_hashes(a) == band_hashes(b)).any()
     assert missed <= 3  # 0.2 are expected; 16 bands miss 17 of these pairs
+
+
+def test_members_that_left_with_a_pivot_meet_those_that_stayed(spark):
+    sets = {1: range(100), 2: range(5, 105), 3: range(12, 112), 4: range(40, 140), 5: [*range(75), *range(200, 225)]}  # 1 ~ 2 ~ 3, but 1 and 3 share 88 of 112
+    classes = spark.createDataFrame([(i, "go", [7], list(s)) for i, s in sets.items()], "class_id long, language string, bands array<long>, shingles array<int>")
+    assert rows(_clusters(classes), "class_id", "family") == [(1, 1), (2, 1), (3, 1)]
