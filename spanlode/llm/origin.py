@@ -4,11 +4,12 @@ Every file becomes a set of hashed five-token shingles in which identifiers, sho
 without a literal are the language's and everybody's, so the set keeps the shingles that hold one, unless the file has
 too few of those; then it keeps all. Files with the same set are one class. Classes meet
 through MinHash bands, each band's members against one of them at a time and at the end those that missed each other,
-and a meeting counts only if the exact
-Jaccard similarity of the two sets is at least 0.8; connected classes form a family. A family whose files lie in
-several projects is a vendored copy; one that repeats the same masked phrases over and over, or that recurs under
-other names within one project, is the output of a tool; one made of literals only is data. Checks on the single file
-follow: hashes of known third-party files, notices of generators and headers of releases in comments, and the layout of minified scripts.
+and a meeting counts only if the exact Jaccard similarity of the two sets is at least 0.8; connected classes form a
+family. A family of several files that are made of literals is data, literals being masked there; another whose files
+lie in several projects is a vendored copy; one that repeats the same masked phrases over and over, or that recurs
+under other names within one project, is the output of a tool. What has no family is found by other means, tests of
+each file by itself that neither come from nor follow a family: a lone file of many literals, hashes of known
+third-party files, notices of generators and headers of releases in comments, and the layout of minified scripts.
 """
 
 from __future__ import annotations
@@ -146,8 +147,8 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, int, bool, bool, bool, bool, bool]:
-    """(shingles, band hashes, tokens, different phrases, only shingles with literals, literals only, minified, has a notice, has a third-party header) of a file."""
+def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, int, bool, bool, bool, bool, bool, bool]:
+    """(shingles, band hashes, tokens, different phrases, only shingles with literals, literals only, minified, has a notice, has a third-party header, literals by share) of a file."""
     text = content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     table = _TABLES.get(name) or _TABLES.setdefault(name, _Tokens(name))
     get, code = table.known.get, table.code
@@ -156,19 +157,20 @@ def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, in
     codes = all_codes[all_codes >= 0].astype(np.uint64)
     notice, header = has_notice(name, text), third_party_header(text)
     if not len(codes):
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), 0, 0, False, False, False, notice, header
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), 0, 0, False, False, False, notice, header, False
     kinds = codes & np.uint64(3)
     literal = (kinds == 1) | (kinds == 3)
     separators = sum(map(words.count, ",:;-()[]{}"))
     share = float(literal.sum()) / max(1, len(codes) - separators)
     literal_bytes = sum(len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 1 == 1)))
-    only = literal_bytes >= LEAST_LITERAL_BYTES and (share >= LITERAL_TOKENS or literal_bytes >= LITERAL_BYTES * max(1, len(text)))
+    literals = share >= LITERAL_TOKENS or literal_bytes >= LITERAL_BYTES * max(1, len(text))
+    only = literals and literal_bytes >= LEAST_LITERAL_BYTES
     minified = False
     if name in ("javascript", "typescript") and not only and len(codes) > MINIFIED_TOKENS_A_LINE * (text.count("\n") + 1):
         names = [len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 3 == 2))]
         minified = len(codes) >= 200 and bool(names) and sum(names) / len(names) < MINIFIED_NAME
     hashes = codes >> np.uint64(2)
-    if only:
+    if literals:
         hashes = np.where(literal, np.uint64(3), hashes)
     if len(hashes) < SHINGLE:
         hashes = np.concatenate([hashes, np.zeros(SHINGLE - len(hashes), dtype=np.uint64)])
@@ -180,12 +182,12 @@ def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, in
     mixed = (mixed >> np.uint64(32)).astype(np.uint32)
     shingles = np.unique(mixed)
     phrases, special = len(shingles), False
-    if not only and len(codes) >= SHINGLE:
+    if not literals and len(codes) >= SHINGLE:
         held = np.concatenate([[0], np.cumsum(kinds == 1)])
         own = np.unique(mixed[held[SHINGLE:] > held[:-SHINGLE]])
         special = len(own) >= LEAST_LITERAL_SHINGLES
         shingles = own if special else shingles
-    return shingles.view(np.int32), band_hashes(shingles), len(codes), phrases, special, only, minified, notice, header
+    return shingles.view(np.int32), band_hashes(shingles), len(codes), phrases, special, only, minified, notice, header, literals
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -194,17 +196,17 @@ def described(files: DataFrame) -> DataFrame:
         "file_id", F.coalesce("project_id", F.lit(-1)).alias("project_id"), F.xxhash64("path").alias("place"), language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("sha"), "content"
     )
     rows = rows.where(F.col("language").isNotNull())
-    schema = "file_id long, project_id long, place long, language string, sha string, tokens int, phrases int, special boolean, literal_only boolean, minified boolean, notice boolean, header boolean, shingles array<int>, bands array<long>"
+    schema = "file_id long, project_id long, place long, language string, sha string, tokens int, phrases int, special boolean, literal_only boolean, minified boolean, notice boolean, header boolean, literals boolean, shingles array<int>, bands array<long>"
     out = pa.schema([
         ("file_id", pa.int64()), ("project_id", pa.int64()), ("place", pa.int64()), ("language", pa.string()), ("sha", pa.string()), ("tokens", pa.int32()),
-        ("phrases", pa.int32()), ("special", pa.bool_()), ("literal_only", pa.bool_()), ("minified", pa.bool_()), ("notice", pa.bool_()), ("header", pa.bool_()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())),
+        ("phrases", pa.int32()), ("special", pa.bool_()), ("literal_only", pa.bool_()), ("minified", pa.bool_()), ("notice", pa.bool_()), ("header", pa.bool_()), ("literals", pa.bool_()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(name, c.as_py() or b"") for name, c in zip(batch.column(3).to_pylist(), batch.column(5), strict=True)]
             cols = [batch.column(i).cast(out.field(i).type) for i in range(5)]
-            cols += [pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), *[pa.array([f[i] for f in found], pa.bool_()) for i in range(4, 9)]]
+            cols += [pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), *[pa.array([f[i] for f in found], pa.bool_()) for i in range(4, 10)]]
             cols += [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
@@ -278,22 +280,24 @@ def origins(files: DataFrame, known: DataFrame) -> DataFrame:
     Files of unknown extension and null ids are left out; null and empty contents are never named. Redelivered rows
     and a file that comes back under its path in its project count as one file. A file of fewer
     than ``LEAST_TOKENS`` tokens, or with few literals of its own and without repetition, has too little to be told
-    by and forms no family, so package markers and re-exports stay. ``known`` has sha256.
+    by and forms no family, so package markers and re-exports stay. A file of literals that has no other of its shape
+    is data from ``LEAST_LITERAL_BYTES`` on, so that short lists kept by hand stay. ``known`` has sha256.
     """
     rows = cut(described(files).withColumn("class_id", F.xxhash64("language", "shingles")))
-    counted = rows.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("special") | (F.col("tokens") >= REPEATS * F.col("phrases"))))
+    counted = rows.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("special") | F.col("literals") | (F.col("tokens") >= REPEATS * F.col("phrases"))))
     per_class = counted.groupBy("class_id").agg(
         F.min("project_id").alias("p0"), F.max("project_id").alias("p1"), F.min("place").alias("f0"), F.max("place").alias("f1"),
-        F.max("tokens").alias("tokens"), F.max("phrases").alias("phrases"),
+        F.max("tokens").alias("tokens"), F.max("phrases").alias("phrases"), F.min("literals").alias("literals"),
     )
     per_class = cut(per_class)
     family = _clusters(counted.select("class_id", "language", "bands", "shingles"))
     placed = per_class.join(family, "class_id", "left").withColumn("family", F.coalesce("family", "class_id"))
-    whole = placed.groupBy("family").agg((F.min("p0") < F.max("p1")).alias("several_projects"), (F.min("f0") < F.max("f1")).alias("several_places"))
+    whole = placed.groupBy("family").agg((F.min("p0") < F.max("p1")).alias("several_projects"), (F.min("f0") < F.max("f1")).alias("several_places"), F.min("literals").alias("of_literals"))
     judged = placed.join(whole, "family").withColumn("repeats", F.col("tokens") >= REPEATS * F.col("phrases"))
-    kind = F.when(F.col("repeats"), "generated").when(F.col("several_projects"), "vendored").when(F.col("several_places"), "generated")
+    blobs = F.when(F.col("several_projects") | F.col("several_places"), "data")
+    kind = F.when(F.col("of_literals"), blobs).when(F.col("repeats"), "generated").when(F.col("several_projects"), "vendored").when(F.col("several_places"), "generated")
     by_class = judged.select("class_id", kind.alias("kind")).where(F.col("kind").isNotNull())
-    clustered = counted.where(~F.col("literal_only")).select("file_id", "class_id").join(by_class, "class_id").select("file_id", "kind")
+    clustered = counted.select("file_id", "class_id").join(by_class, "class_id").select("file_id", "kind")
     single = rows.select("file_id", F.explode(F.filter(F.array(
         F.when(F.col("literal_only"), "data"), F.when(F.col("notice"), "notice"), F.when(F.col("header"), "header"), F.when(F.col("minified"), "minified")), lambda k: k.isNotNull())).alias("kind"))
     listed = known.where(F.col("sha256") != "").select(F.lower("sha256").alias("sha")).distinct()

@@ -85,3 +85,11 @@ def test_members_that_left_with_a_pivot_meet_those_that_stayed(spark):
     sets = {1: range(100), 2: range(5, 105), 3: range(12, 112), 4: range(40, 140), 5: [*range(75), *range(200, 225)]}  # 1 ~ 2 ~ 3, but 1 and 3 share 88 of 112
     classes = spark.createDataFrame([(i, "go", [7], list(s)) for i, s in sets.items()], "class_id long, language string, bands array<long>, shingles array<int>")
     assert rows(_clusters(classes), "class_id", "family") == [(1, 1), (2, 1), (3, 1)]
+
+
+def test_families_of_literals_are_data(spark):
+    numbers = lambda seed, n: ", ".join(str(random.Random(seed * 1000 + i).randint(1000, 9999)) for i in range(n))
+    data = [(1, 1, "a/t.js", f"export const a = [{numbers(1, 50)}];\n"), (2, 2, "b/u.js", f"export const other = [{numbers(2, 70)}];\n")]  # each under 400 bytes
+    data += [(3, 1, "list.py", f"CODES = [{numbers(3, 50)}]\n"), (4, 1, "lone.go", f"package p\n\nvar x = []int{{{numbers(4, 200)}}}\n")]
+    data += [(5, 1, "h.js", hand(5)), (6, 2, "few.js", "export const a = [1000, 2000, 3000];\n")]
+    assert kinds(spark, data) == {1: {"data"}, 2: {"data"}, 4: {"data"}}
