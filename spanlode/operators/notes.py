@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanlode.plans.runtime import cut, salt_of
+
 HEADING = r"^#{1,6}[ \t]+(\S.*)$"
 #: What a hit in a field counts.
 BOOST = {"title": 2.0, "chunk_heading": 1.5, "chunk_text": 1.0, "symbol_text": 1.0}
+SALTS = 16
 
 
 def sections(texts: DataFrame) -> DataFrame:
@@ -33,31 +36,40 @@ def terms(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
 
 
-def search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Notes by their best chunk: (memory_uid, chunk_ordinal, score), at most ``limit`` chunks before notes are told apart.
+def searches(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, memory_uid, chunk_ordinal, score): for every row of ``queries`` (query_id, text) the notes by their
+    best chunk, of its ``limit`` best chunks.
 
     A chunk's score is, over fields and distinct query terms, boost * sqrt(times) * (1 + ln(chunks / chunks with the
     term))**2 / sqrt(terms in the field). Only active notes with an active file count. A blank query has no hits.
+
+    Terms are counted once per chunk and meet the queries by term, hot ones dealt by chunk. Queries with the same terms
+    are searched once. What is joined grows with queries times chunks that share a term.
     """
     active = chunks.where((F.col("status") == "active") & (F.col("file_status") == "active"))
-    wanted = sorted(set("".join(c if c.isalnum() else " " for c in query.lower()).split()))
-    fields = active.select("memory_uid", "chunk_ordinal", *[terms(F.col(f)).alias(f) for f in BOOST])
-    total = fields.agg(F.count("*").alias("n"), *[F.sum(F.greatest(*[F.array_contains(f, t).cast("int") for f in BOOST])).alias(f"d{i}") for i, t in enumerate(wanted)])
-    seen = total.select(F.struct("*")).scalar()
-    hit = F.lit(0.0)
-    times = lambda f, t: F.size(F.filter(f, lambda x: x == t))
-    for i, t in enumerate(wanted):
-        weight = F.pow(1 + F.log(seen["n"] / F.greatest(seen[f"d{i}"], F.lit(1))), 2)
-        for f, boost in BOOST.items():
-            hit = hit + F.when(F.size(f) > 0, boost * F.sqrt(times(f, t)) * weight / F.sqrt(F.size(f))).otherwise(0.0)
-    anything = F.lit(False)
-    for t in wanted:
-        for f in BOOST:
-            anything |= F.array_contains(f, t)
-    scored = fields.where(anything).select("memory_uid", "chunk_ordinal", F.round(hit, 6).alias("score"))
-    top = scored.orderBy(F.desc("score"), "memory_uid", "chunk_ordinal").limit(limit)
-    best = Window.partitionBy("memory_uid").orderBy(F.desc("score"), "chunk_ordinal")  # limit rows at most
-    return top.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    asked = queries.select("query_id", F.array_sort(F.array_distinct(terms(F.col("text")))).alias("asked")).where(F.size("asked") > 0)
+    wanted = asked.select("asked").distinct().select("asked", F.explode("asked").alias("term"))
+    fields = active.select("memory_uid", "chunk_ordinal", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(b).alias("boost"), terms(F.col(f)).alias("t")) for f, b in BOOST.items()])).alias("f"))
+    words = fields.select("memory_uid", "chunk_ordinal", "f.field", "f.boost", F.size("f.t").alias("n"), F.explode("f.t").alias("term"))
+    words = words.join(wanted.select("term").distinct(), "term", "left_semi")
+    times = words.groupBy("memory_uid", "chunk_ordinal", "term", "field", "boost", "n").agg(F.count("*").alias("times"))
+    held = times.groupBy("memory_uid", "chunk_ordinal", "term").agg(F.sum(F.col("boost") * F.sqrt("times") / F.sqrt("n")).alias("held"))
+    held = cut(held.withColumn("salt", salt_of("memory_uid", "chunk_ordinal", salts=SALTS)))
+    found_in = held.groupBy("term").agg(F.count("*").alias("found_in"))
+    weighed = wanted.join(found_in, "term").withColumn("weight", F.pow(1 + F.log(active.agg(F.count("*").alias("n")).scalar() / F.col("found_in")), 2))
+    weighed = weighed.select("asked", "term", "weight", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    scored = held.join(weighed, ["term", "salt"]).groupBy("asked", "memory_uid", "chunk_ordinal").agg(F.round(F.sum(F.col("held") * F.col("weight")), 6).alias("score"))
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "memory_uid", "chunk_ordinal")
+    top = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit)
+    best = Window.partitionBy("asked", "memory_uid").orderBy(F.desc("score"), "chunk_ordinal")
+    top = top.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
+    return asked.join(top, "asked").select("query_id", "memory_uid", "chunk_ordinal", "score")
+
+
+def search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """(memory_uid, chunk_ordinal, score): ``searches`` for one query."""
+    one = chunks.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("text"))
+    return searches(chunks, one, limit).select("memory_uid", "chunk_ordinal", "score")
 
 
 def replaced(texts: DataFrame, pattern: str, replacement: str) -> DataFrame:

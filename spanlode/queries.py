@@ -248,6 +248,13 @@ def note_search(spark, root):
     return notes.search(_chunks(spark, root), SEARCHED)
 
 
+def note_title_searches(spark, root):
+    """The notes that the title of every twentieth note finds, best first."""
+    rows = read(spark, root, "memories").where(F.col("memory_id") % 20 == 0)
+    titles = rows.groupBy("memory_id").agg(F.max(F.struct("updated_at", "title")).alias("r")).select(F.col("memory_id").alias("query_id"), F.col("r.title").alias("text"))
+    return notes.searches(_chunks(spark, root), titles).withColumnRenamed("query_id", "memory_id")
+
+
 def note_replacements(spark, root):
     """Matches of a pattern in every note chunk and how long the text is once they are replaced."""
     rows = _chunks(spark, root).select("memory_uid", "chunk_ordinal", F.col("chunk_text").alias("text"))
@@ -287,6 +294,6 @@ QUERIES = {
         primary_definitions, ranked_definitions, ranked_definitions_with_noise, noisy_paths, identifiers_at_cursors, words_at_columns, deduplicated_captures, usages_not_definitions,
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
-        streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status,
+        streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status, note_title_searches,
     )
 }

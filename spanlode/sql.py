@@ -173,6 +173,14 @@ SQL = {
  df AS (SELECT q, count(DISTINCT (memory_uid, chunk_ordinal)) AS df FROM h GROUP BY q),
  sc AS (SELECT memory_uid, chunk_ordinal, round(sum(b * sqrt(tf) * power(1 + ln((SELECT count(*) FROM f) / df), 2) / sqrt(n)), 6) AS score FROM h JOIN df USING (q) GROUP BY ALL),
  top AS (SELECT * FROM sc ORDER BY score DESC, memory_uid, chunk_ordinal LIMIT 20) SELECT memory_uid, chunk_ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY memory_uid ORDER BY score DESC, chunk_ordinal) AS r FROM top) WHERE r = 1""",
+    "note_title_searches": f"""WITH {_CHUNKS}, a AS (SELECT * FROM chunks WHERE status = 'active' AND file_status = 'active'),
+ m AS (SELECT DISTINCT ON (memory_id) memory_id, title FROM memories WHERE memory_id % 20 = 0 ORDER BY memory_id, updated_at DESC NULLS LAST, title DESC NULLS LAST), q AS (SELECT DISTINCT memory_id, unnest({_TERMS.format(c="title")}) AS q FROM m),
+ l AS ({" UNION ALL ".join(f"SELECT memory_uid, chunk_ordinal, '{c}' AS c, {b}::DOUBLE AS b, {_TERMS.format(c=c)} AS t FROM a" for c, b in (("title", 2.0), ("chunk_heading", 1.5), ("chunk_text", 1.0), ("symbol_text", 1.0)))}),
+ h AS (SELECT memory_uid, chunk_ordinal, c, b, n, q, count(*) AS tf FROM (SELECT memory_uid, chunk_ordinal, c, b, len(t) AS n, unnest(t) AS q FROM l) WHERE q IN (SELECT q FROM q) GROUP BY ALL),
+ df AS (SELECT q, count(DISTINCT (memory_uid, chunk_ordinal)) AS df FROM h GROUP BY q),
+ sc AS (SELECT memory_id, memory_uid, chunk_ordinal, round(sum(b * sqrt(tf) * power(1 + ln((SELECT count(*) FROM a) / df), 2) / sqrt(n)), 6) AS score FROM q JOIN h USING (q) JOIN df USING (q) GROUP BY ALL),
+ t AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY memory_id ORDER BY score DESC, memory_uid, chunk_ordinal) <= 20)
+ SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY memory_id, memory_uid ORDER BY score DESC, chunk_ordinal) = 1""",
     "note_replacements": f"WITH {_CHUNKS} SELECT memory_uid, chunk_ordinal, len(regexp_extract_all(chunk_text, '{PATTERN}'))::INTEGER AS matches, length(regexp_replace(chunk_text, '{PATTERN}', 'NAME', 'g'))::INTEGER AS new_chars FROM chunks WHERE regexp_matches(chunk_text, '{PATTERN}')",
     "note_symbol_status": """WITH live AS (SELECT DISTINCT file_id FROM source_files WHERE removed_at IS NULL), k AS (SELECT DISTINCT project_id, name, lower(trim(lang)) AS language FROM definitions SEMI JOIN live USING (file_id)),
  s AS (SELECT memory_symbol_id, max(struct_pack(t := coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00'), m := memory_id, l := language, n := name, s := coalesce(status, ''))) AS r FROM memory_symbols GROUP BY 1),

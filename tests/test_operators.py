@@ -131,3 +131,12 @@ def test_quiet_periods_and_stream(spark, tmp_path):
         spark.createDataFrame(batch, cols).coalesce(1).write.mode("append").parquet(source)
     state = upkeep.index_state(spark, source, spark.read.parquet(source).schema, ["path"], "version", ["sha"])
     assert rows(state, "path", "seq", "sha") == [("a", 2, "new"), ("b", 1, "b"), ("c", 1, None)]
+
+
+def test_many_searches_rank_for_each_query(spark):
+    cols = "memory_uid string, chunk_ordinal int, status string, file_status string, title string, chunk_heading string, chunk_text string, symbol_text string"
+    data = [("a", 0, "active", "active", "parser notes", "", "about the parser", ""), ("b", 0, "active", "active", "cache", None, "nothing here", ""), ("d", 0, "active", "active", "x", "", "a parser", "")]
+    queries = spark.createDataFrame([(1, "Parser!"), (2, "cache parser"), (3, " "), (4, "parser")], "query_id long, text string")
+    got = notes.searches(spark.createDataFrame(data, cols), queries)
+    ranked = {q: [r.memory_uid for r in sorted(got.collect(), key=lambda r: -r.score) if r.query_id == q] for q in (1, 2, 3, 4)}
+    assert ranked == {1: ["a", "d"], 2: ["b", "a", "d"], 3: [], 4: ["a", "d"]}
