@@ -18,24 +18,41 @@ DEFINES = (
     ("go", "variable", r"^var (\w+) ="),
     ("java", "class", r"^(?:public |final |abstract )*class (\w+)"),
     ("java", "interface", r"^(?:public )?interface (\w+)"),
-    ("java", "method", r"^\s+(?:public |private |protected |static |final )*[\w<>,\[\]]+ (\w+)\([^;=]*\) \{"),
-    ("java", "field", r"^\s+(?:private|public|protected|static) [\w<>,\[\] ]+ (\w+) ="),
+    ("java", "constructor", r"^\s+(?:public |private |protected )?([A-Z]\w*)\([^;=()]*\) (?:throws [\w., ]+ )?\{"),
+    ("java", "method", r"^\s+(?:public |private |protected |static |final )*[\w<>,\[\]]+ (\w+)\([^;=]*\) (?:throws [\w., ]+ )?\{"),
+    ("java", "enum", r"^\s*(?:public |private |protected |static )*enum (\w+)"),
+    ("java", "field", r"^\s+(?:private|public|protected|static) [\w<>,\[\] ]+ (\w+)(?: =|;)"),
+    ("java", "variable", r"^\s+(?:final )?[\w.]+(?:<[\w<>,.? ]*>)?(?:\[\])* (\w+) = "),
     ("python", "class", r"^class (\w+)"),
-    ("python", "function", r"^def (\w+)"),
-    ("python", "method", r"^\s+def (\w+)"),
-    ("rust", "function", r"^(?:pub )?fn (\w+)"),
-    ("rust", "method", r"^\s+(?:pub )?fn (\w+)"),
-    ("rust", "struct", r"^(?:pub )?struct (\w+)"),
-    ("rust", "enum", r"^(?:pub )?enum (\w+)"),
-    ("rust", "constant", r"^(?:pub )?(?:const|static) (\w+):"),
+    ("python", "function", r"^(?:async )?def (\w+)"),
+    ("python", "method", r"^\s+(?:async )?def (\w+)"),
+    ("python", "constant", r"^\s*([A-Z0-9_]*[A-Z][A-Z0-9_]*)(?:: [^=]+)? (?://|\*\*|<<|>>|[-+*/%&|^@])?= "),
+    ("python", "variable", r"^\s*([A-Za-z_]\w*)(?:: [^=]+)? (?://|\*\*|<<|>>|[-+*/%&|^@])?= "),
+    ("rust", "function", r"^(?:pub(?:\([\w: ]+\))? )?(?:const |async |unsafe )*fn (\w+)"),
+    ("rust", "method", r"^\s+(?:pub(?:\([\w: ]+\))? )?(?:const |async |unsafe )*fn (\w+)"),
+    ("rust", "struct", r"^(?:pub(?:\([\w: ]+\))? )?struct (\w+)"),
+    ("rust", "enum", r"^(?:pub(?:\([\w: ]+\))? )?enum (\w+)"),
+    ("rust", "constant", r"^\s*(?:pub(?:\([\w: ]+\))? )?(?:const|static)(?: mut)? (\w+):"),
+    ("rust", "trait", r"^\s*(?:pub(?:\([\w: ]+\))? )?(?:unsafe )?trait (\w+)"),
+    ("rust", "type_alias", r"^\s*(?:pub(?:\([\w: ]+\))? )?type (\w+)"),
+    ("rust", "module", r"^\s*(?:pub(?:\([\w: ]+\))? )?mod (\w+)"),
+    ("rust", "variable", r"^\s*let (?:mut )?([a-z_]\w*)"),
     ("javascript", "class", r"^(?:export )?(?:default )?class (\w+)"),
     ("javascript", "function", r"^(?:export )?(?:async )?function (\w+)"),
-    ("javascript", "variable", r"^(?:export )?(?:const|let|var) (\w+) ="),
+    ("javascript", "variable", r"^\s*(?:export )?(?:const|let|var) (\w+)(?: =|;)"),
+    ("javascript", "constructor", r"^\s+(constructor)\("),
+    ("javascript", "method", r"^\s+(?:static |async |get |set )*(#?\w+)\([^()]*\) \{"),
     ("typescript", "class", r"^(?:export )?(?:abstract )?class (\w+)"),
     ("typescript", "interface", r"^(?:export )?interface (\w+)"),
     ("typescript", "type_alias", r"^(?:export )?type (\w+) ="),
     ("typescript", "function", r"^(?:export )?(?:async )?function (\w+)"),
-    ("typescript", "variable", r"^(?:export )?(?:const|let|var) (\w+)(?::[^=]*)? ="),
+    ("typescript", "enum", r"^\s*(?:export )?(?:declare )?(?:const )?enum (\w+)"),
+    ("typescript", "module", r"^\s*(?:export )?(?:declare )?(?:namespace|module) (\w+)"),
+    ("typescript", "variable", r"^\s*(?:export )?(?:const|let|var) (\w+)(?::[^=;]*)?(?: =|;)"),
+    ("typescript", "constructor", r"^\s+(?:public |private |protected )?(constructor)\("),
+    ("typescript", "method", r"^\s+(?:public |private |protected |static |override |async |get |set )*(#?\w+)(?:<[^>]*>)?\([^()]*\)(?:: [^;{]+)? \{"),
+    ("typescript", "method", r"^\s+(?:public |protected )?abstract (\w+)(?:<[^>]*>)?\([^()]*\)(?:: [^{]+)?;"),
+    ("typescript", "field", r"^\s+(?:public |private |protected |static |readonly |declare )+(#?\w+)[?!]?(?:: [^=;]+)?(?: =|;)"),
 )
 
 #: How a documentation line begins, by language.

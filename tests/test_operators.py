@@ -140,3 +140,17 @@ def test_many_searches_rank_for_each_query(spark):
     got = notes.searches(spark.createDataFrame(data, cols), queries)
     ranked = {q: [r.memory_uid for r in sorted(got.collect(), key=lambda r: -r.score) if r.query_id == q] for q in (1, 2, 3, 4)}
     assert ranked == {1: ["a", "d"], 2: ["b", "a", "d"], 3: [], 4: ["a", "d"]}
+
+
+def test_kinds_of_definitions(spark):
+    held = {
+        "a.js": ("class A {\n  constructor(x) {\n  async load(y) {\n    if (x) {\n    let n = 1;", [("A", "class"), ("constructor", "constructor"), ("load", "method"), ("n", "variable")]),
+        "a.ts": ("export enum E {\nnamespace N {\n  private readonly f: number = 1;\n  constructor(a: T) {\n  get(a: T): R {\n  abstract go(): void;", [("E", "enum"), ("N", "module"), ("constructor", "constructor"), ("f", "field"), ("get", "method"), ("go", "method")]),
+        "A.java": ("public enum E {\n    public A(int x) {\n    void run(int a) throws X, Y {\n        int n = 1;\n        return n;\n    private int m;", [("A", "constructor"), ("E", "enum"), ("m", "field"), ("n", "variable"), ("run", "method")]),
+        "a.rs": ("pub(crate) async fn f() {\npub trait T {\ntype U = V;\nmod m;\n    let mut x = 1;\n    if let Some(y) = z {", [("T", "trait"), ("U", "type_alias"), ("f", "function"), ("m", "module"), ("x", "variable")]),
+        "a.py": ("async def f():\n    y = 1\nMAX_N: int = 3\nif x == 2:\nf(a=1)", [("MAX_N", "constant"), ("f", "function"), ("y", "variable")]),
+    }
+    files = spark.createDataFrame([(i, 1, p, bytearray(t.encode())) for i, (p, (t, _)) in enumerate(held.items())], "file_id long, project_id long, path string, content binary")
+    got = corpus.captures(corpus.lines(files)).collect()
+    for path, (_, want) in held.items():
+        assert sorted((r.name, r.kind) for r in got if r.path == path) == want, path
