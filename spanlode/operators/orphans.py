@@ -44,7 +44,7 @@ def _met(on: dict[str, str]):
     return met
 
 
-def orphans(references: Sequence[Reference], max_rounds: int = 50) -> DataFrame:
+def orphans(references: Sequence[Reference]) -> DataFrame:
     """(tbl, ref_id, reason, orphan): every orphan row once per reason.
 
     ``orphan`` is ``direct`` or ``inherited``; ``reason`` is the reference's name. A row whose key columns are null
@@ -60,7 +60,7 @@ def orphans(references: Sequence[Reference], max_rounds: int = 50) -> DataFrame:
     found = cut(found.distinct())
     handed = [r for r in references if r.parent]
     fresh = found.select("tbl", "ref_id").distinct()
-    for _ in range(max_rounds):
+    while True:
         grown = None
         for r in handed:
             lost = fresh.where(F.col("tbl") == r.parent).select(F.col("ref_id").alias("_lost"))

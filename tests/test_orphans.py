@@ -36,6 +36,12 @@ def test_cycle_ends(spark):
     assert rows(got, "ref_id", "orphan") == [(3, "direct"), (4, "inherited")]
 
 
+def test_deep_chain_is_followed_to_its_end(spark):
+    a = spark.createDataFrame([(i, i - 1) for i in range(1, 54)], CHILD).coalesce(1).cache()
+    got = orphans([Reference("a", a, a.select(F.col("ref_id").alias("id"), "ref_id"), {"parent": "id"}, parent="a")])
+    assert rows(got, "ref_id", "orphan") == [(1, "direct")] + [(i, "inherited") for i in range(2, 54)]
+
+
 def test_paths_are_resolved(spark):
     cases = {"./a/b.go": "a/b.go", "a//b.go": "a/b.go", "x/../a/b.go": "a/b.go", "A/b.go": "A/b.go", "../a": "a", "a/./b/../c": "a/c", "": "", None: None}
     df = spark.createDataFrame([(p,) for p in cases], "p string").select("p", resolved(F.col("p")).alias("r"))
