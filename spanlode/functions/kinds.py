@@ -28,8 +28,8 @@ FIT = {
     "annotation": ([], 1.2, 1.2),
 }
 
-#: Factor of a usage's relation.
-RELATION = {"implements": 1.5, "inherits": 1.3, "prototype": 1.2, "annotation": 1.1}
+#: Which usage of a name within a definition stands for the others.
+OUTBOUND_RANK = {"inherit": 100, "call": 70, "write": 60, "import": 50, "type_ref": 40, "read": 30}
 
 #: What a definition's kind adds to its confidence.
 KIND_WEIGHT = {
@@ -72,16 +72,8 @@ def coupling(kind: Column, relation: Column) -> Column:
     return F.when(relation.isin("inherits", "implements"), 1.0).when(relation == "prototype", F.greatest(base, F.lit(0.8))).otherwise(base)
 
 
-def fit(usage_kind: Column, definition_kind: Column) -> Column:
-    """How well a usage of one kind fits a definition of another."""
-    out = F.lit(1.0)
-    for key, (kinds, yes, no) in FIT.items():
-        out = F.when(usage_kind == key, F.when(definition_kind.isin(kinds), yes).otherwise(no) if kinds else F.lit(yes)).otherwise(out)
-    return out
-
-
-def relation_factor(relation: Column) -> Column:
-    return _chosen(relation, RELATION, 1.0)
+def outbound_rank(kind: Column) -> Column:
+    return _chosen(kind, OUTBOUND_RANK, 10)
 
 
 def kind_weight(kind: Column) -> Column:
@@ -160,11 +152,20 @@ def line_class(line: Column, name: Column) -> Column:
     )
 
 
-def line_fit(cls: Column, definition_kind: Column) -> Column:
-    out = F.lit(1.0)
-    for n, (kinds, yes, no) in LINE_FIT.items():
-        out = F.when(cls == n, F.when(definition_kind.isin(kinds), yes).otherwise(no)).otherwise(out)
-    return out
+def _factor(row, kind: str) -> int:
+    fitting, yes, no = row or ([], 1.0, 1.0)
+    return round(10 * (yes if not fitting or kind in fitting else no))
+
+
+#: Both factors of a usage and a definition, times 10 each, at place(usage kind, line class) + kind_order(definition kind).
+FACTORS = [_factor(FIT.get(u), d) * _factor(LINE_FIT.get(c), d) for u in (*FIT, None) for c in range(6) for d in DEFINITION_KINDS]
+
+
+def place(usage_kind: Column, cls: Column) -> Column:
+    """Where the factors of a usage's kind and line class begin in ``FACTORS``."""
+    known = F.array_position(F.lit(list(FIT)), usage_kind)
+    row = F.when(known > 0, known - 1).otherwise(F.lit(len(FIT)))
+    return ((row * 6 + cls) * len(DEFINITION_KINDS)).cast("int")
 
 
 def escalated(base: Column, name: Column, line: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Dependency edges between files and symbols."""
+"""Dependency edges between files and symbols, for all symbols at once."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
-from spanlode.operators.navigation import definitions_once, primary_definitions, usages_once
+from spanlode.functions.paths import directory
+from spanlode.operators.navigation import definitions_once, in_order, primary_definitions, usages_once
+from spanlode.operators.resolution import primary_scores
 
 SYMBOL = ["project_id", "name", "lang"]
+LEAST = 0.2
 BIN = 64
+_META = ["kind", "relation", "receiver_type", "target_type"]
 
 
 def coupled(usages: DataFrame) -> DataFrame:
@@ -17,60 +21,84 @@ def coupled(usages: DataFrame) -> DataFrame:
     return usages_once(usages).withColumn("score", kinds.coupling(F.col("kind"), F.col("relation")))
 
 
-def inbound_edges(usages: DataFrame) -> DataFrame:
-    """Per symbol and file that uses it: usages, highest score, and kind and relation of the highest (of equals the
-    first by place and id). One aggregation; the best row travels as the maximum of a struct."""
+def inbound_edges(usages: DataFrame, definitions: DataFrame, least: float = LEAST, lines: DataFrame | None = None) -> DataFrame:
+    """Per symbol with a definition and file that uses it: usages, highest score, and what the usage of that score is
+    (of equals the first by place and id). The score is the primary definition's share of the candidates' weight.
+
+    Usages under ``least`` don't count. A symbol that would have none left keeps one usage a file, the highest. Both
+    ways follow from one aggregation per symbol and file, whose partial results leave the map side; the flag that
+    decides between them is aggregated from the edges.
+    """
+    scored = primary_scores(usages, definitions, lines)
     order = F.struct("score", (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
-    best = coupled(usages).groupBy(*SYMBOL, "path").agg(F.count("*").alias("n_usages"), F.max(F.struct(order.alias("o"), "kind", "relation")).alias("b"))
-    return best.select(*SYMBOL, "path", "n_usages", kinds.rounded(F.col("b.o.score")).alias("max_score"), "b.kind", "b.relation")
+    passes = F.sum((F.col("score") >= least).cast("long")).alias("passing")
+    edges = scored.groupBy(*SYMBOL, "path").agg(passes, F.max(F.struct(order.alias("o"), "primary_path", *_META)).alias("b"))
+    some = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in SYMBOL]).agg(F.max(F.col("passing") > 0).alias("some"))
+    met = edges.join(some, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SYMBOL]).where((F.col("passing") > 0) | ~F.col("some"))
+    n = F.when(F.col("some"), F.col("passing")).otherwise(F.lit(1).cast("long"))
+    return met.select(*SYMBOL, "path", F.col("b.primary_path").alias("to_path"), n.alias("n_usages"), F.col("b.o.score").alias("max_score"), *[F.col(f"b.{c}").alias(c) for c in _META])
 
 
-def kept_edges(edges: DataFrame, least: float = 0.2) -> DataFrame:
-    """Edges with at least ``least``; a symbol that has none such keeps all of its edges."""
-    flags = edges.groupBy(*SYMBOL).agg(F.max(F.col("max_score") >= least).alias("some"))
-    flags = flags.select(*[F.col(c).alias(f"_{c}") for c in SYMBOL], "some")
-    met = edges.join(flags, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SYMBOL])
-    return met.where((F.col("max_score") >= least) | ~F.col("some")).select(*edges.columns)
+def _targets(definitions: DataFrame, more: list[str], name: str) -> DataFrame:
+    return definitions.groupBy(*SYMBOL, *more).agg(F.min("o").alias(name))
 
 
 def outbound_edges(usages: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Per definition and name used within its lines: usages, the highest-priority kind, and 1/sqrt(candidates) of the
-    name as score. A definition's own name doesn't count.
+    """Per definition and name used within its lines: usages, what the first usage of the highest rank is, 1/sqrt of
+    the candidates of the name as score, and the target: the first candidate in the same file, else in the same
+    directory, else of all. A definition's own name doesn't count, nor do names without a definition.
 
     The range join meets on file and bins of ``BIN`` lines. Both sides are reduced first: usages to counts per file,
-    line and name, definitions to distinct spans, so copies and crowded lines don't multiply.
+    line and name, definitions to distinct spans, so copies and crowded lines don't multiply. Targets are looked up in
+    three aggregates of the definitions; no usage meets all candidates of its name.
     """
     d = definitions_once(definitions).where(F.col("start_line").isNotNull())
     spans = d.select("file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line")).distinct()
     binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
-    priority = kinds._chosen(F.col("kind"), kinds.CAPTURE_PRIORITY | {"inherit": 100}, 10)
-    marks = usages_once(usages).groupBy("project_id", "file_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), F.max(F.struct(priority.alias("p"), "kind")).alias("k"))
+    rank = F.struct(kinds.outbound_rank(F.col("kind")).alias("p"), (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
+    marks = usages_once(usages).groupBy("project_id", "file_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), "path", *_META)).alias("k"))
     marks = marks.withColumn("bin", F.floor(F.col("line") / BIN))
     met = binned.join(marks, ["file_id", "bin"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    per_span = met.groupBy("project_id", "file_id", "start_line", "end_line", "lang", "name").agg(F.sum("n").alias("n_usages"), F.max("k").alias("k"))
-    candidates = d.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"))
-    scored = per_span.join(candidates, SYMBOL).select(
-        "file_id", "start_line", "end_line", F.col("name").alias("used_name"), "n_usages", F.col("k.kind").alias("kind"), F.round(1 / F.sqrt(F.col("candidates")), 6).alias("score")
-    )
+    per_span = met.groupBy("project_id", "file_id", "start_line", "end_line", "lang", "name").agg(F.sum("n").alias("n_usages"), F.max("k").alias("k")).withColumn("dir", directory(F.col("k.path")))
+    placed = definitions_once(definitions).withColumn("dir", directory(F.col("path"))).withColumn("o", in_order())
+    candidates = placed.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"), F.min("o").alias("t3"))
+    found = per_span.join(candidates, SYMBOL).join(_targets(placed, ["file_id"], "t1"), [*SYMBOL, "file_id"], "left").join(_targets(placed, ["dir"], "t2"), [*SYMBOL, "dir"], "left")
+    scored = found.withColumn("t", F.coalesce("t1", "t2", "t3")).select(
+        "file_id", "start_line", "end_line", F.col("name").alias("used_name"), "n_usages", *[F.col(f"k.{c}").alias(f"used_{c}") for c in _META],
+        F.round(1 / F.sqrt(F.col("candidates")), 6).alias("score"), F.col("t.def_id").alias("target_def_id"), F.col("t.path").alias("target_path"),
+    )
     own = d.select("def_id", "name", "file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line"))
-    return own.join(scored, ["file_id", "start_line", "end_line"]).where(F.col("name") != F.col("used_name")).select("def_id", "used_name", "n_usages", "kind", "score")
+    out = own.join(scored, ["file_id", "start_line", "end_line"]).where(F.col("name") != F.col("used_name"))
+    return out.select("def_id", "used_name", "n_usages", *[F.col(f"used_{c}").alias(c) for c in _META], "score", "target_def_id", "target_path")
+
+
+def _mean(score: str, unit: int):
+    """The average to four places, from a sum of whole numbers: the same in whatever order the scores come."""
+    return F.round(F.sum(F.round(F.col(score) * unit).cast("long")) / (F.count("*") * F.lit(unit // 10_000))) / 10_000
+
+
+def _graph_of_primaries(usages: DataFrame, definitions: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    first = primary_definitions(definitions).select(*SYMBOL, "def_id", F.col("path").alias("at_path"))
+    return first, inbound_edges(usages, definitions, least), outbound_edges(usages, definitions).join(first, "def_id")
 
 
-def file_graph(usages: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Edges from a file that uses a symbol to the file of the symbol's primary definition: usages and highest score;
-    a file's edges to itself are left out."""
-    first = primary_definitions(definitions).select(*SYMBOL, F.col("path").alias("to_path"))
-    edges = inbound_edges(usages).join(first, SYMBOL).where(F.col("path") != F.col("to_path"))
-    return edges.groupBy("project_id", F.col("path").alias("from_path"), "to_path").agg(F.sum("n_usages").alias("n_usages"), F.max("max_score").alias("max_score"))
+def file_graph(usages: DataFrame, definitions: DataFrame, least: float = LEAST) -> DataFrame:
+    """Per symbol the edges between files: from those that use it to that of its primary definition, and from there to
+    those of the names it uses: usages and highest score, four places. Edges of a file to itself are left out."""
+    _, inward, outward = _graph_of_primaries(usages, definitions, least)
+    cols = lambda a, b, s: [*SYMBOL, F.col(a).alias("from_path"), F.col(b).alias("to_path"), "n_usages", F.col(s).alias("score")]
+    edges = inward.select(*cols("path", "to_path", "max_score")).unionByName(outward.select(*cols("at_path", "target_path", "score")))
+    edges = edges.where(F.col("from_path") != F.col("to_path"))
+    return edges.groupBy(*SYMBOL, "from_path", "to_path").agg(F.sum("n_usages").alias("n_usages"), kinds.rounded(F.max("score")).alias("max_score"))
 
 
-def graph_metrics(usages: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Per symbol with a definition: inbound files and usages, impact (average score over the inbound edges, 0 without),
-    and coupling (average score over the names used within its primary definition, 0 without)."""
-    first = primary_definitions(definitions).select(*SYMBOL, "def_id")
-    inbound = inbound_edges(usages).groupBy(*SYMBOL).agg(F.count("*").alias("inbound_files"), F.sum("n_usages").alias("inbound_usages"), F.avg("max_score").alias("impact"))
-    outbound = outbound_edges(usages, definitions).join(first.select("def_id"), "def_id", "left_semi").groupBy("def_id").agg(F.count("*").alias("outbound_names"), F.avg("score").alias("coupling"))
+def graph_metrics(usages: DataFrame, definitions: DataFrame, least: float = LEAST) -> DataFrame:
+    """Per symbol with a definition: inbound files, usages and impact (average score of the inbound edges), outbound
+    names, files and coupling (average score of its primary definition's outbound edges); 0 without edges."""
+    first, inward, outward = _graph_of_primaries(usages, definitions, least)
+    inbound = inward.groupBy(*SYMBOL).agg(F.count("*").alias("inbound_files"), F.sum("n_usages").alias("inbound_usages"), _mean("max_score", 10_000).alias("impact"))
+    outbound = outward.groupBy("def_id").agg(F.count("*").alias("outbound_names"), F.count_distinct("target_path").alias("outbound_files"), _mean("score", 1_000_000).alias("coupling"))
     out = first.join(inbound, SYMBOL, "left").join(outbound, "def_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    mean = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c)
-    return out.select(*SYMBOL, zero("inbound_files"), zero("inbound_usages"), mean("impact"), zero("outbound_names"), mean("coupling"))
+    mean = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
+    return out.select(*SYMBOL, zero("inbound_files"), zero("inbound_usages"), mean("impact"), zero("outbound_names"), zero("outbound_files"), mean("coupling"))

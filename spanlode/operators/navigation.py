@@ -18,7 +18,7 @@ def definitions_once(definitions: DataFrame) -> DataFrame:
 
 def usages_once(usages: DataFrame) -> DataFrame:
     """One row per usage_id."""
-    cols = ["usage_id", "project_id", "file_id", "path", "lang", "name", "kind", "context_container", "relation", "start_line", "start_col", "end_line"]
+    cols = ["usage_id", "project_id", "file_id", "path", "lang", "name", "kind", "context_container", "relation", "receiver_type", "target_type", "start_line", "start_col", "end_line"]
     return once(usages.select(*cols).where(F.col("usage_id").isNotNull()), "usage_id")
 
 
@@ -34,9 +34,9 @@ def primary_definitions(definitions: DataFrame) -> DataFrame:
     definitions costs a task no more than another. Null languages and names are symbols of their own.
     """
     d = definitions_once(definitions)
-    best = d.groupBy(*SYMBOL).agg(F.min(F.struct(in_order().alias("o"), "file_id", "kind", "container")).alias("b"), F.count("*").alias("candidates"))
+    best = d.groupBy(*SYMBOL).agg(F.min(F.struct(in_order().alias("o"), "file_id", "kind", "container", "end_line")).alias("b"), F.count("*").alias("candidates"))
     return best.select(
-        *SYMBOL, F.col("b.o.def_id").alias("def_id"), "b.file_id", F.col("b.o.path").alias("path"), "b.kind", F.col("b.o.start_line").alias("start_line"), F.col("b.o.start_col").alias("start_col"), "candidates"
+        *SYMBOL, F.col("b.o.def_id").alias("def_id"), "b.file_id", F.col("b.o.path").alias("path"), "b.kind", "b.container", F.col("b.o.start_line").alias("start_line"), F.col("b.o.start_col").alias("start_col"), "b.end_line", "candidates"
     )
 
 
@@ -72,8 +72,8 @@ def at_cursor(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) ->
 
 def word_at(text, col):
     """The identifier around the zero-based column of a line; empty where there is none."""
-    before = F.regexp_extract(F.substring(text, 1, 1_000_000).substr(F.lit(1), col), r"[\p{L}\p{Nd}_]*$", 0)
-    after = F.regexp_extract(text.substr(col + 1, F.lit(1_000_000)), r"^[\p{L}\p{Nd}_]+", 0)
+    before = F.regexp_extract(F.left(text, col), r"[\p{L}\p{Nd}_]*$", 0)
+    after = F.regexp_extract(text.substr(col + 1, F.length(text)), r"^[\p{L}\p{Nd}_]+", 0)
     return F.when(after == "", "").otherwise(F.concat(before, after))
 
 

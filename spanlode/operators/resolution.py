@@ -5,7 +5,7 @@ the kinds. With f, d, c as 0 or 1 the place and container part is
 
     (1 + 0.5 d + 1.5 f) (1 + 0.5 c) = 1 + 0.5 d + 1.5 f + 0.5 c + 0.25 d c + 0.75 f c
 
-so a usage's total weight is a sum over six counts per kind of definition: of its name, and of its name within the
+(the factor of a usage's relation is the same for all candidates and cancels) so a usage's total weight is a sum over six counts per kind of definition: of its name, and of its name within the
 file, directory, container, and the last with each of the first two. Each count is an aggregate with at most one entry
 per kind, joined by equality; no pair of a usage and a candidate is ever made, however many a hot name has of both.
 """
@@ -24,31 +24,26 @@ SYMBOL = ["project_id", "name", "lang"]
 PARTS = [((), 8, 8), (("dir",), 4, 12), (("file_id",), 12, 24), (("box",), 4, 12), (("dir", "box"), 2, 18), (("file_id", "box"), 6, 36)]
 
 
-def _fit(x):
-    """Both fits times 10 as whole numbers: weights add up exactly, in whatever order."""
-    tens = lambda c: F.round(c * 10).cast("long")
-    return tens(kinds.fit(F.col("kind"), x["kind"])) * tens(kinds.line_fit(F.col("_line_class"), x["kind"]))
+def _fit(order):
+    """Both factors as a whole number: weights add up exactly, in whatever order."""
+    table = F.split(F.lit(" ".join(map(str, kinds.FACTORS))), " ").cast("array<long>")  # folded to one literal
+    return F.get(table, F.col("_place") + order)
 
 
 def _weighed(weight: int):
-    return lambda x: F.struct((-F.lit(weight) * _fit(x)).alias("w"), x["o"].alias("o"))
+    return lambda x: F.struct((-F.lit(weight) * _fit(x["kind"])).alias("w"), x["o"].alias("o"))
 
 
-def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """Each usage with ``candidates``, ``confidence`` (the best candidate's share of the weight, four places) and
-    ``best_def_id`` (of equals the first by kind, path and place). Without candidates: 0, 0.0 and null.
-
-    Only definitions of the usage's project, name and language are candidates. Empty or null containers agree with
-    nothing. With ``lines`` (file_id, line_no, line) the
-    class of the usage's source line counts as a factor too; a line that isn't there counts as 1.
-    """
-    d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), "kind", in_order().alias("o"))
+def _weighed_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Usages once with dir, box, _place, ``candidates``, ``_total`` (the candidates' weight) and ``_best``."""
+    d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), kinds.kind_order(F.col("kind")).alias("kind"), in_order().alias("o"))
     u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
     scores, bests, drop = F.lit(0).cast("long"), [], []
-    out = u.withColumn("_line_class", F.lit(0))
+    out, cls = u, F.lit(0)
     if lines is not None:
         at = lines.select(F.col("file_id"), F.col("line_no").alias("start_line"), "line")
-        out = u.join(at, ["file_id", "start_line"], "left").withColumn("_line_class", kinds.line_class(F.col("line"), F.col("name"))).drop("line")
+        out, cls = u.join(at, ["file_id", "start_line"], "left"), kinds.line_class(F.col("line"), F.col("name"))
+    out = out.withColumn("_place", kinds.place(F.col("kind"), cls)).drop("line")
     for i, (more, factor, weight) in enumerate(PARTS):
         cols = [*SYMBOL, *more]
         rows = d.where(F.coalesce(F.col("box"), F.lit("")) != "") if "box" in more else d
@@ -56,13 +51,38 @@ def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame
         table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", "o")).alias(f"p{i}"))  # one entry a kind, 16 at most
         out = out.join(table, cols, "left")
         held = F.coalesce(F.col(f"p{i}"), F.array().cast(table.schema[f"p{i}"].dataType))
-        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x))
+        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x["kind"]))
         bests.append(F.transform(held, _weighed(weight)))
         drop.append(f"p{i}")
     best = F.array_min(F.flatten(F.array(*bests)))
-    out = out.withColumn("_total", scores).withColumn("_best", best).withColumn("candidates", F.coalesce(F.aggregate("p0", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0)))
+    out = out.withColumn("_total", scores).withColumn("_best", best)
+    return out.withColumn("candidates", F.coalesce(F.aggregate("p0", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))).drop(*drop)
+
+
+def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Each usage with ``candidates``, ``confidence`` (the best candidate's share of the weight, four places) and
+    ``best_def_id`` (of equals the first by kind, path and place). Without candidates: 0, 0.0 and null.
+
+    Only definitions of the usage's project, name and language are candidates. Empty or null containers agree with
+    nothing. With ``lines`` (file_id, line_no, line) the
+    class of the usage's source line counts as a factor too; a line that isn't there counts as 1.
+    """
+    out = _weighed_usages(usages, definitions, lines)
     share = F.when(F.col("candidates") > 0, kinds.rounded(-F.col("_best.w") / F.col("_total"))).otherwise(0.0)
-    return out.withColumn("confidence", share).withColumn("best_def_id", F.col("_best.o.def_id")).drop("_total", "_best", "_line_class", "dir", "box", *drop)
+    return out.withColumn("confidence", share).withColumn("best_def_id", F.col("_best.o.def_id")).drop("_total", "_best", "_place", "dir", "box")
+
+
+def primary_scores(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """Usages of symbols that have a definition, with the primary one (``primary_def_id``, ``primary_path``) and
+    ``score``: that definition's share of the weight of all candidates, four places.
+
+    The primary's own weight needs no other candidate: it follows from the usage's row and the one row of its symbol."""
+    first = primary_definitions(definitions).select(*SYMBOL, F.col("def_id").alias("primary_def_id"), F.col("path").alias("primary_path"), F.struct(kinds.kind_order(F.col("kind")).alias("kind"), "file_id", directory(F.col("path")).alias("dir"), "container").alias("_p"))
+    rows = _weighed_usages(usages, definitions, lines).join(first, SYMBOL)
+    place = F.when(F.col("file_id") == F.col("_p.file_id"), 12).when(F.col("dir") == F.col("_p.dir"), 6).otherwise(4)
+    box = F.when(F.col("box") == F.col("_p.container"), 3).otherwise(2)
+    score = kinds.rounded((place * box * _fit(F.col("_p.kind"))).cast("double") / F.col("_total"))
+    return rows.withColumn("score", score).drop("_total", "_best", "_place", "dir", "box", "_p")
 
 
 def filtered_usages(usages: DataFrame, definitions: DataFrame, least: float = 0.55) -> DataFrame:

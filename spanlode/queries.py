@@ -99,8 +99,10 @@ def coupling_scores_by_line(spark, root):
 
 
 def definition_code(spark, root):
-    """The numbered source lines of every definition."""
-    return render.definition_code(read(spark, root, "definitions"), corpus.lines(read(spark, root, "source_files")))
+    """The numbered source lines of every definition with the documentation above it."""
+    lines, d = corpus.lines(read(spark, root, "source_files")), read(spark, root, "definitions")
+    docs = corpus.doc_starts(lines, d.select("file_id", F.col("start_line").alias("line_no")).distinct())
+    return render.definition_code(d, lines, docs)
 
 
 def usage_code(spark, root):
@@ -167,13 +169,13 @@ def code_windows(spark, root):
 
 
 def inbound_edges(spark, root):
-    """Files that use each symbol."""
-    return graph.inbound_edges(read(spark, root, "usages"))
+    """Files that use each symbol, by usages that most likely mean its primary definition."""
+    return graph.inbound_edges(*_pair(spark, root))
 
 
 def kept_inbound_edges(spark, root):
-    """Files that use each symbol strongly, or all where none does."""
-    return graph.kept_edges(graph.inbound_edges(read(spark, root, "usages")), 0.4)
+    """The same with twice the least score, so that more symbols fall back to one usage a file."""
+    return graph.inbound_edges(*_pair(spark, root), least=0.4)
 
 
 def outbound_edges(spark, root):
@@ -182,7 +184,7 @@ def outbound_edges(spark, root):
 
 
 def file_graph(spark, root):
-    """Files that depend on files."""
+    """Files that depend on files, per symbol."""
     return graph.file_graph(*_pair(spark, root))
 
 

@@ -1,43 +1,44 @@
-"""SQL of the queries in ``queries``, written pair by pair and row by row, not the way the operators work."""
-
-from __future__ import annotations
-
-from spanlode.functions import kinds
-from spanlode.operators.corpus import DEFINES, DOC_LINES
-from spanlode.queries import AFTER, BEFORE, CHANGED, GLOBS, PATTERN, SEARCHED
+"""SQL of the queries in ``queries``, written pair by pair and row by row, not the way the operators work.
 
+Weights, word lists and patterns are written out here again, so that a wrong one in the operators shows.
+"""
 
-def _list(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+from __future__ import annotations
 
+from spanlode.queries import AFTER, BEFORE, CHANGED, PATTERN, SEARCHED
 
-def _case(column: str, table: dict, other) -> str:
-    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {float(v)}::DOUBLE" for k, v in table.items()) + f" ELSE {float(other)}::DOUBLE END"
+_SEGMENTS = "list_has_any(string_split(lower({p}), '/'), {names})"
+_MIGRATIONS = "['migrations', 'migration', 'migrate', 'db_migrate', 'alembic', 'flyway', 'liquibase']"
+_FAKES = "['fixtures', '__fixtures__', 'mocks', 'stubs', 'fake', 'fakes']"
+_TESTS = "['testdata', 'test', 'tests', '__tests__', 'spec', 'specs', 'generated', 'gen', 'vendor', 'pb', 'proto']"
+_SUFFIX = "regexp_matches(lower({p}), '(_test\\.go|\\.(test|spec)\\.(ts|tsx|js|jsx))$')"
 
 
 def _noise(path: str) -> str:
-    any_of = lambda names: f"list_has_any(string_split(lower({path}), '/'), [{', '.join(repr(n) for n in names)}])"
-    costs = " ".join(f"WHEN {any_of(names)} THEN {cost}::DOUBLE" for cost, names in sorted(kinds.NOISE_SEGMENTS.items(), reverse=True) if cost)
-    return f"CASE {costs} WHEN regexp_matches(lower({path}), '{kinds.NOISE_SUFFIX}') THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END"
+    of = lambda names: _SEGMENTS.format(p=path, names=names)
+    return f"CASE WHEN {of(_MIGRATIONS)} THEN 0.45::DOUBLE WHEN {of(_FAKES)} THEN 0.4::DOUBLE WHEN {of(_TESTS)} THEN 0.35::DOUBLE WHEN {_SUFFIX.format(p=path)} THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END"
 
 
 def _noisy(path: str) -> str:
-    names = [n for held in kinds.NOISE_SEGMENTS.values() for n in held]
-    return f"(list_has_any(string_split(lower({path}), '/'), [{', '.join(repr(n) for n in names)}]) OR regexp_matches(lower({path}), '{kinds.NOISE_SUFFIX}'))"
+    lists = " OR ".join(_SEGMENTS.format(p=path, names=n) for n in (_MIGRATIONS, _FAKES, _TESTS, "['db_migration']"))
+    return f"({lists} OR {_SUFFIX.format(p=path)})"
 
 
-_ORDER = "CASE d.kind " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(kinds.DEFINITION_KINDS)) + " ELSE 0 END"
-_CONFIDENCE = f"round(greatest(0.0, least(1.0, 0.5::DOUBLE + {_case('kind', kinds.KIND_WEIGHT, kinds.OTHER_KIND_WEIGHT)} - {_noise('path')})) * 10000) / 10000"
-_COUPLING = f"CASE WHEN relation IN ('inherits', 'implements') THEN 1.0::DOUBLE WHEN relation = 'prototype' THEN greatest({_case('kind', kinds.COUPLING, 0.1)}, 0.8::DOUBLE) ELSE {_case('kind', kinds.COUPLING, 0.1)} END"
+_TYPES = "('class', 'struct', 'interface', 'enum', 'type_alias', 'trait')"
+_VALUES = "('variable', 'field', 'property', 'parameter')"
+_CALLABLES = "('function', 'method', 'constructor')"
+_ORDER = """CASE d.kind WHEN 'package' THEN 1 WHEN 'class' THEN 2 WHEN 'interface' THEN 3 WHEN 'struct' THEN 4 WHEN 'enum' THEN 5 WHEN 'function' THEN 6 WHEN 'method' THEN 7 WHEN 'property' THEN 8
+  WHEN 'field' THEN 9 WHEN 'variable' THEN 10 WHEN 'constant' THEN 11 WHEN 'constructor' THEN 12 WHEN 'type_alias' THEN 13 WHEN 'trait' THEN 14 WHEN 'module' THEN 15 ELSE 0 END"""
+_KIND_WEIGHT = """CASE WHEN kind IN ('class', 'interface', 'struct', 'enum', 'trait') THEN 0.4::DOUBLE WHEN kind = 'type_alias' THEN 0.3::DOUBLE WHEN kind IN ('function', 'method', 'constructor') THEN 0.2::DOUBLE
+  WHEN kind = 'constant' THEN 0.1::DOUBLE WHEN kind IN ('variable', 'field', 'property', 'parameter') THEN 0.0::DOUBLE ELSE 0.05::DOUBLE END"""
+_CONFIDENCE = f"round(greatest(0.0, least(1.0, 0.5::DOUBLE + {_KIND_WEIGHT} - {_noise('path')})) * 10000) / 10000"
+_STRENGTH = "CASE kind WHEN 'inherit' THEN 1.0::DOUBLE WHEN 'call' THEN 0.65::DOUBLE WHEN 'write' THEN 0.55::DOUBLE WHEN 'read' THEN 0.5::DOUBLE WHEN 'import' THEN 0.4::DOUBLE WHEN 'type_ref' THEN 0.25::DOUBLE WHEN 'annotation' THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END"
+_COUPLING = f"CASE WHEN relation IN ('inherits', 'implements') THEN 1.0::DOUBLE WHEN relation = 'prototype' THEN greatest({_STRENGTH}, 0.8::DOUBLE) ELSE {_STRENGTH} END"
 _DIR = "CASE WHEN regexp_replace({p}, '/?[^/]*$', '') = '' THEN '.' ELSE regexp_replace({p}, '/?[^/]*$', '') END"
-_FIT = (
-    "CASE u.kind "
-    + " ".join(
-        f"WHEN '{k}' THEN " + (f"CASE WHEN d.kind IN {_list(fits)} THEN {round(yes * 10)} ELSE {round(no * 10)} END" if fits else f"{round(yes * 10)}") for k, (fits, yes, no) in kinds.FIT.items()
-    )
-    + " ELSE 10 END::BIGINT"
-)
-_U = "u AS (SELECT DISTINCT usage_id, project_id, file_id, path, lang, name, kind, context_container, relation, start_line, start_col, end_line FROM usages)"
+_FIT = f"""CASE u.kind WHEN 'import' THEN 30 WHEN 'type_ref' THEN CASE WHEN d.kind IN {_TYPES} THEN 25 ELSE 6 END WHEN 'inherit' THEN CASE WHEN d.kind IN ('class', 'interface', 'trait') THEN 30 ELSE 5 END
+  WHEN 'call' THEN CASE WHEN d.kind IN {_CALLABLES} THEN 25 ELSE 6 END WHEN 'write' THEN CASE WHEN d.kind IN ('field', 'variable', 'property') THEN 20 ELSE 7 END
+  WHEN 'read' THEN CASE WHEN d.kind IN ('field', 'variable', 'property', 'constant') THEN 15 ELSE 8 END WHEN 'annotation' THEN 12 ELSE 10 END::BIGINT"""
+_U = "u AS (SELECT DISTINCT usage_id, project_id, file_id, path, lang, name, kind, context_container, relation, receiver_type, target_type, start_line, start_col, end_line FROM usages)"
 _D = "d AS (SELECT DISTINCT def_id, project_id, file_id, path, lang, name, kind, container, start_line, start_col, end_line, end_col FROM definitions)"
 _FIRST = f"""first AS (SELECT *, row_number() OVER (PARTITION BY project_id, name, lang ORDER BY {_ORDER}, path, start_line, start_col, def_id) AS r,
   count(*) OVER (PARTITION BY project_id, name, lang) AS candidates FROM d), prime AS (SELECT * FROM first WHERE r = 1)"""
@@ -49,51 +50,109 @@ _RESOLVED = f"""pairs AS (SELECT u.usage_id, d.def_id,
  best AS (SELECT usage_id, def_id FROM (SELECT *, row_number() OVER (PARTITION BY usage_id ORDER BY w DESC, o, path, start_line, start_col, def_id) AS r FROM pairs) WHERE r = 1),
  resolved AS (SELECT u.*, coalesce(candidates, 0) AS candidates, coalesce(round(top::DOUBLE / total::DOUBLE * 10000) / 10000, 0.0)::DOUBLE AS confidence, best.def_id AS best_def_id
   FROM u LEFT JOIN sums USING (usage_id) LEFT JOIN best USING (usage_id))"""
-_EDGES = f"""scored AS (SELECT *, {_COUPLING} AS score FROM u),
- edges AS (SELECT project_id, name, lang, path, count(*) OVER w AS n_usages, round(max(score) OVER w * 10000) / 10000 AS max_score, kind, relation,
-   row_number() OVER (PARTITION BY project_id, name, lang, path ORDER BY score DESC, start_line, start_col, usage_id) AS r FROM scored WINDOW w AS (PARTITION BY project_id, name, lang, path)),
- inbound AS (SELECT project_id, name, lang, path, n_usages, max_score, kind, relation FROM edges WHERE r = 1)"""
-_OUT = """spans AS (SELECT d.def_id, d.name AS own, m.project_id, m.lang, m.name, m.usage_id, m.kind FROM d JOIN u m ON m.file_id = d.file_id AND m.start_line BETWEEN d.start_line AND greatest(d.end_line, d.start_line) WHERE m.name <> d.name),
- many AS (SELECT project_id, name, lang, count(*) AS candidates FROM d GROUP BY ALL),
- outbound AS (SELECT def_id, name AS used_name, count(*) AS n_usages,
-   arg_max(kind, struct_pack(p := {priority}, k := kind)) AS kind, round(1 / sqrt(any_value(candidates)), 6) AS score
-  FROM spans JOIN many USING (project_id, name, lang) GROUP BY def_id, project_id, lang, name)""".format(
-    priority="CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in (kinds.CAPTURE_PRIORITY | {"inherit": 100}).items()) + " ELSE 10 END"
-)
-_LANGUAGE = "CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.EXTENSIONS.items()) + " END"
+
+
+def _edges(least: float) -> str:
+    return f"""meant AS (SELECT u.*, prime.path AS to_path, round(pairs.w::DOUBLE / sums.total::DOUBLE * 10000) / 10000 AS score FROM u JOIN prime USING (project_id, name, lang) JOIN sums USING (usage_id) JOIN pairs ON pairs.usage_id = u.usage_id AND pairs.def_id = prime.def_id),
+ flagged AS (SELECT *, max(score >= {least}) OVER (PARTITION BY project_id, name, lang) AS any_left FROM meant),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id, name, lang, path ORDER BY score DESC, start_line, start_col, usage_id) AS r, count(*) OVER (PARTITION BY project_id, name, lang, path) AS n FROM flagged WHERE score >= {least} OR NOT any_left),
+ inbound AS (SELECT project_id, name, lang, path, to_path, CASE WHEN any_left THEN n ELSE 1 END AS n_usages, score AS max_score, kind, relation, receiver_type, target_type FROM numbered WHERE r = 1)"""
+
+
+_OUT = f"""spans AS (SELECT d.def_id, d.file_id, d.path AS at_path, m.project_id, m.lang, m.name, m.kind, m.relation, m.receiver_type, m.target_type, m.start_line, m.start_col, m.usage_id,
+   CASE m.kind WHEN 'inherit' THEN 100 WHEN 'call' THEN 70 WHEN 'write' THEN 60 WHEN 'import' THEN 50 WHEN 'type_ref' THEN 40 WHEN 'read' THEN 30 ELSE 10 END AS p
+  FROM d JOIN u m ON m.file_id = d.file_id AND m.start_line BETWEEN d.start_line AND greatest(d.end_line, d.start_line) WHERE m.name <> d.name),
+ told AS (SELECT *, row_number() OVER (PARTITION BY def_id, lang, name ORDER BY p DESC, start_line, start_col, usage_id) AS r, count(*) OVER (PARTITION BY def_id, lang, name) AS n_usages FROM spans),
+ aims AS (SELECT t.def_id AS from_id, t.name AS used_name, t.n_usages, t.kind, t.relation, t.receiver_type, t.target_type, d.def_id AS target_def_id, d.path AS target_path, t.at_path,
+   row_number() OVER (PARTITION BY t.def_id, t.lang, t.name ORDER BY CASE WHEN d.file_id = t.file_id THEN 0 WHEN {_DIR.format(p="d.path")} = {_DIR.format(p="t.at_path")} THEN 1 ELSE 2 END, {_ORDER}, d.path, d.start_line, d.start_col, d.def_id) AS r,
+   count(*) OVER (PARTITION BY t.def_id, t.lang, t.name) AS candidates FROM told t JOIN d USING (project_id, name, lang) WHERE t.r = 1),
+ outbound AS (SELECT from_id AS def_id, used_name, n_usages, kind, relation, receiver_type, target_type, round(1 / sqrt(candidates), 6) AS score, target_def_id, target_path, at_path FROM aims WHERE r = 1)"""
+_LANGUAGE = """CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' WHEN 'rs' THEN 'rust' WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python'
+  WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'mts' THEN 'typescript' WHEN 'cts' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript' END"""
 _LINES = f"""texts AS (SELECT DISTINCT ON (file_id) file_id, project_id, path, {_LANGUAGE} AS language, string_split(replace(replace(decode(content), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM source_files),
  lines AS (SELECT file_id, project_id, path, language, unnest(l) AS line, generate_subscripts(l, 1) AS line_no FROM texts)"""
+_DEFINITIONS = (
+    ("go", "function", r"^func (\w+)"),
+    ("go", "method", r"^func \([^)]*\) (\w+)"),
+    ("go", "struct", r"^type (\w+) struct\b"),
+    ("go", "interface", r"^type (\w+) interface\b"),
+    ("go", "constant", r"^const (\w+) ="),
+    ("go", "variable", r"^var (\w+) ="),
+    ("java", "class", r"^(?:public |final |abstract )*class (\w+)"),
+    ("java", "interface", r"^(?:public )?interface (\w+)"),
+    ("java", "constructor", r"^\s+(?:public |private |protected )?([A-Z]\w*)\([^;=()]*\) (?:throws [\w., ]+ )?\{"),
+    ("java", "method", r"^\s+(?:public |private |protected |static |final )*[\w<>,\[\]]+ (\w+)\([^;=]*\) (?:throws [\w., ]+ )?\{"),
+    ("java", "enum", r"^\s*(?:public |private |protected |static )*enum (\w+)"),
+    ("java", "field", r"^\s+(?:private|public|protected|static) [\w<>,\[\] ]+ (\w+)(?: =|;)"),
+    ("java", "variable", r"^\s+(?:final )?[\w.]+(?:<[\w<>,.? ]*>)?(?:\[\])* (\w+) = "),
+    ("python", "class", r"^class (\w+)"),
+    ("python", "function", r"^(?:async )?def (\w+)"),
+    ("python", "method", r"^\s+(?:async )?def (\w+)"),
+    ("python", "constant", r"^\s*([A-Z0-9_]*[A-Z][A-Z0-9_]*)(?:: [^=]+)? (?://|\*\*|<<|>>|[-+*/%&|^@])?= "),
+    ("python", "variable", r"^\s*([A-Za-z_]\w*)(?:: [^=]+)? (?://|\*\*|<<|>>|[-+*/%&|^@])?= "),
+    ("rust", "function", r"^(?:pub(?:\([\w: ]+\))? )?(?:const |async |unsafe )*fn (\w+)"),
+    ("rust", "method", r"^\s+(?:pub(?:\([\w: ]+\))? )?(?:const |async |unsafe )*fn (\w+)"),
+    ("rust", "struct", r"^(?:pub(?:\([\w: ]+\))? )?struct (\w+)"),
+    ("rust", "enum", r"^(?:pub(?:\([\w: ]+\))? )?enum (\w+)"),
+    ("rust", "constant", r"^\s*(?:pub(?:\([\w: ]+\))? )?(?:const|static)(?: mut)? (\w+):"),
+    ("rust", "trait", r"^\s*(?:pub(?:\([\w: ]+\))? )?(?:unsafe )?trait (\w+)"),
+    ("rust", "type_alias", r"^\s*(?:pub(?:\([\w: ]+\))? )?type (\w+)"),
+    ("rust", "module", r"^\s*(?:pub(?:\([\w: ]+\))? )?mod (\w+)"),
+    ("rust", "variable", r"^\s*let (?:mut )?([a-z_]\w*)"),
+    ("javascript", "class", r"^(?:export )?(?:default )?class (\w+)"),
+    ("javascript", "function", r"^(?:export )?(?:async )?function (\w+)"),
+    ("javascript", "variable", r"^\s*(?:export )?(?:const|let|var) (\w+)(?: =|;)"),
+    ("javascript", "constructor", r"^\s+(constructor)\("),
+    ("javascript", "method", r"^\s+(?:static |async |get |set )*(#?\w+)\([^()]*\) \{"),
+    ("typescript", "class", r"^(?:export )?(?:abstract )?class (\w+)"),
+    ("typescript", "interface", r"^(?:export )?interface (\w+)"),
+    ("typescript", "type_alias", r"^(?:export )?type (\w+) ="),
+    ("typescript", "function", r"^(?:export )?(?:async )?function (\w+)"),
+    ("typescript", "enum", r"^\s*(?:export )?(?:declare )?(?:const )?enum (\w+)"),
+    ("typescript", "module", r"^\s*(?:export )?(?:declare )?(?:namespace|module) (\w+)"),
+    ("typescript", "variable", r"^\s*(?:export )?(?:const|let|var) (\w+)(?::[^=;]*)?(?: =|;)"),
+    ("typescript", "constructor", r"^\s+(?:public |private |protected )?(constructor)\("),
+    ("typescript", "method", r"^\s+(?:public |private |protected |static |override |async |get |set )*(#?\w+)(?:<[^>]*>)?\([^()]*\)(?:: [^;{]+)? \{"),
+    ("typescript", "method", r"^\s+(?:public |protected )?abstract (\w+)(?:<[^>]*>)?\([^()]*\)(?:: [^{]+)?;"),
+    ("typescript", "field", r"^\s+(?:public |private |protected |static |readonly |declare )+(#?\w+)[?!]?(?:: [^=;]+)?(?: =|;)"),
+)
 _CAPTURES = (
     "captures AS (SELECT file_id, path, language, line_no, c.kind AS kind, c.name AS name FROM (SELECT *, CASE "
-    + " ".join(f"WHEN language = '{lang}' AND regexp_matches(line, '{p}') THEN {{'kind': '{kind}', 'name': regexp_extract(line, '{p}', 1)}}" for lang, kind, p in DEFINES)
+    + " ".join(f"WHEN language = '{lang}' AND regexp_matches(line, '{p}') THEN {{'kind': '{kind}', 'name': regexp_extract(line, '{p}', 1)}}" for lang, kind, p in _DEFINITIONS)
     + " END AS c FROM lines) WHERE c IS NOT NULL)"
 )
-_DOC = "CASE language " + " ".join(f"WHEN '{lang}' THEN regexp_matches(trim(line), '{p}')" for lang, p in DOC_LINES.items()) + " ELSE false END"
+_DOC_LINES = {
+    "go": r"^(//|/\*|\*)|\*/$", "java": r"^(//|/\*|\*|@)|\*/$", "typescript": r"^(//|/\*|\*|@)|\*/$", "javascript": r"^(//|/\*|\*|@)|\*/$",
+    "rust": r"^(///|//!|//|#\[|#!\[)", "python": r"^(#|@)",
+}
+_DOC = "CASE language " + " ".join(f"WHEN '{lang}' THEN regexp_matches(trim(line), '{p}')" for lang, p in _DOC_LINES.items()) + " ELSE false END"
+_DOCS = f"""dl AS (SELECT file_id, line_no, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS run FROM lines WHERE {_DOC}),
+ runs AS (SELECT file_id, min(line_no) AS a, max(line_no) + 1 AS below FROM dl GROUP BY file_id, run)"""
 _CHUNKS = "chunks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_uid, chunk_ordinal ORDER BY indexed_at DESC NULLS LAST, status DESC NULLS LAST, file_status DESC NULLS LAST, title DESC NULLS LAST, chunk_heading DESC NULLS LAST, chunk_text DESC NULLS LAST, symbol_text DESC NULLS LAST) AS r FROM memory_chunks) WHERE r = 1)"
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{Nd}}]+'), lambda t: t <> '')"
 _HEAD = "^#{1,6}[ \\t]+(\\S.*)$"
 
-_TYPES = _list(kinds.TYPES)
-_ON_LINE = f"""(CASE WHEN coalesce(l.line, '') = '' OR NOT contains(l.line, u.name) THEN 10 WHEN regexp_matches(l.line, '{kinds.NEW_LINE}') THEN CASE WHEN d.kind IN {_TYPES} OR d.kind = 'constructor' THEN 20 ELSE 5 END
-  WHEN regexp_matches(l.line, '{kinds.BASE_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 20 ELSE 5 END WHEN contains(l.line, '.' || u.name) THEN CASE WHEN d.kind IN ('field', 'property', 'method') THEN 20 ELSE 8 END
-  WHEN contains(l.line, u.name || '(') THEN CASE WHEN d.kind IN {_list(kinds.CALLABLES)} THEN 20 ELSE 7 END WHEN regexp_matches(l.line, '{kinds.HINT_LINE}') THEN CASE WHEN d.kind IN {_TYPES} THEN 16 ELSE 10 END ELSE 10 END)"""
+_ON_LINE = f"""(CASE WHEN coalesce(l.line, '') = '' OR NOT contains(l.line, u.name) THEN 10 WHEN regexp_matches(l.line, '\\bnew\\s+[0-9A-Za-z_]+') THEN CASE WHEN d.kind IN {_TYPES} OR d.kind = 'constructor' THEN 20 ELSE 5 END
+  WHEN regexp_matches(l.line, '\\b(extends|implements)\\s+[0-9A-Za-z_]+') THEN CASE WHEN d.kind IN {_TYPES} THEN 20 ELSE 5 END WHEN contains(l.line, '.' || u.name) THEN CASE WHEN d.kind IN ('field', 'property', 'method') THEN 20 ELSE 8 END
+  WHEN contains(l.line, u.name || '(') THEN CASE WHEN d.kind IN {_CALLABLES} THEN 20 ELSE 7 END WHEN regexp_matches(l.line, ':\\s*[A-Z][0-9A-Za-z_]*|->\\s*[A-Za-z_]') THEN CASE WHEN d.kind IN {_TYPES} THEN 16 ELSE 10 END ELSE 10 END)"""
 _RESOLVED_ON_LINE = _RESOLVED.replace(f"{_FIT} AS w", f"{_FIT} * {_ON_LINE} AS w").replace("FROM u JOIN d USING (project_id, name, lang))", "FROM u JOIN d USING (project_id, name, lang) LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)")
 _MAKES = " OR ".join(f"contains(line, '{a}' || name || '{b}')" for a, b in (("new ", "("), ("new ", "{"), ("new ", " {"), ("&", "{"), ("&", " {"), ("", "{"), ("", " {"), ("", "::new"), ("", "::New")))
 _CLEAN = "array_to_string(list_reduce(list_prepend([], list_transform(list_filter(string_split({p}, '/'), lambda s: s NOT IN ('', '.')), lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN a[:-2] ELSE a || s END), '/')"
 _CALLS = "SELECT file_id, path, lang, name, start_line, start_col, min(usage_id) AS id FROM usages WHERE kind = 'call' AND name IN ('get', 'append', 'run') GROUP BY ALL"
+_GLOBS = {"tests": "[^/]*_test\\.go", "scripts": "scripts/[^/]*", "internal_one_deep": "internal/[^/]*/[^/]*", "typescript": "[^/]*\\.[mt]s[^/]*", "one_letter": "[^/]ib/[^/]*\\.rs"}
 
 SQL = {
     "resolution_scores_by_line": f"WITH {_U}, {_D}, {_LINES}, {_RESOLVED_ON_LINE} SELECT usage_id, candidates, confidence, best_def_id FROM resolved",
     "coupling_scores_by_line": f"""WITH {_U}, {_LINES}, s AS (SELECT usage_id, u.name, l.line, {_COUPLING} AS b FROM u LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)
  SELECT usage_id, line IS NOT NULL AS has_line, CASE WHEN b >= 0.99 OR coalesce(line, '') = '' THEN b WHEN contains(line, 'extends ' || name) OR contains(line, 'implements ' || name) THEN 1.0 WHEN {_MAKES} THEN greatest(b, 0.95) ELSE b END::DOUBLE AS score FROM s""",
-    "definition_code": f"""WITH {_LINES}, {_D}, r AS (SELECT def_id, any_value('--- ' || d.path || ':' || start_line || '-' || greatest(start_line, end_line) || ' (' || d.name || ' ' || d.kind || ') ---') AS h, string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS b
-  FROM d JOIN lines l ON l.file_id = d.file_id AND l.line_no BETWEEN start_line AND greatest(start_line, end_line) GROUP BY def_id), c AS (SELECT def_id, h || chr(10) || b AS code FROM r)
- SELECT def_id, CASE WHEN length(code) > 100000 THEN substr(code, 1, 100000) || chr(10) || '... truncated' ELSE code END AS code FROM c""",
+    "definition_code": f"""WITH {_LINES}, {_D}, {_DOCS}, x AS (SELECT d.def_id, d.file_id, d.path, d.name, d.kind, coalesce(r.a, d.start_line) AS a, greatest(d.start_line, d.end_line) AS b FROM d LEFT JOIN runs r ON r.file_id = d.file_id AND r.below = d.start_line),
+ r AS (SELECT def_id, any_value('--- ' || x.path || ':' || a || '-' || b || ' (' || x.name || ' ' || x.kind || ') ---') AS h, string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS c
+  FROM x JOIN lines l ON l.file_id = x.file_id AND l.line_no BETWEEN a AND b GROUP BY def_id) SELECT def_id, h || chr(10) || c AS code FROM r""",
     "usage_code": f"""WITH {_LINES}, {_U}, s AS (SELECT DISTINCT file_id, greatest(start_line - 2, 1) AS a, end_line + 2 AS b FROM u), m AS (SELECT file_id, a, max(b) AS b FROM s GROUP BY ALL),
  n AS (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m), i AS (SELECT *, sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY a) AS island FROM n),
  w AS (SELECT file_id, min(a) AS a, max(b) AS b FROM i GROUP BY file_id, island), r AS (SELECT w.file_id, a, any_value('--- ' || a || '-' || b || ' ---') || chr(10) || string_agg(format('{{:6d}}| {{}}', line_no, line), chr(10) ORDER BY line_no) AS code
   FROM w JOIN lines l ON l.file_id = w.file_id AND l.line_no BETWEEN a AND b GROUP BY w.file_id, a)
- SELECT file_id, a AS first_line, CASE WHEN length(code) > 100000 THEN substr(code, 1, 100000) || chr(10) || '... truncated' ELSE code END AS code FROM r""",
+ SELECT file_id, a AS first_line, code FROM r""",
     "pattern_matches": f"SELECT file_id, path, lang, name, start_line, start_col, min(def_id) AS id FROM definitions WHERE kind = 'function' AND regexp_matches(name, '^get') AND lang <> 'java' GROUP BY ALL UNION ALL {_CALLS}",
     "capped_matches": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path, start_line, start_col, name, id) AS r FROM ({_CALLS})) WHERE r <= 100 ORDER BY path, start_line, start_col, name, id LIMIT 500",
     "note_markdown": """WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
@@ -102,7 +161,7 @@ SQL = {
     "note_file_status": f"""WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), l AS (SELECT DISTINCT project_id, path FROM source_files WHERE removed_at IS NULL)
  SELECT memory_id, file_status, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.project_id = n.project_id AND l.path = {_CLEAN.format(p="n.file_path")}) THEN 'active' ELSE 'deleted' END AS should_be FROM n WHERE scope = 'file' AND file_path <> ''""",
     "primary_definitions": f"WITH {_D}, {_FIRST} SELECT project_id, name, lang, def_id, kind, path, candidates FROM prime",
-    "ranked_definitions": f"""WITH {_D}, c AS (SELECT *, {_CONFIDENCE} AS confidence, kind IN {_list(kinds.TYPES)} AS t, kind IN {_list(kinds.VALUES)} AS v FROM d),
+    "ranked_definitions": f"""WITH {_D}, c AS (SELECT *, {_CONFIDENCE} AS confidence, kind IN {_TYPES} AS t, kind IN {_VALUES} AS v FROM d),
  l AS (SELECT * FROM (SELECT *, max(t) OVER (PARTITION BY project_id, name, lang) AS has FROM c) WHERE NOT (has AND v)),
  f AS (SELECT *, max(confidence >= 0.55) OVER (PARTITION BY project_id, name, lang) AS any_left FROM l) SELECT def_id, confidence FROM f WHERE confidence >= 0.55 OR NOT any_left""",
     "ranked_definitions_with_noise": f"WITH {_D} SELECT def_id, {_CONFIDENCE} AS confidence FROM d",
@@ -114,9 +173,8 @@ SQL = {
     "words_at_columns": f"""WITH {_LINES}, {_D} SELECT def_id, CASE WHEN regexp_extract(substr(line, start_col + 1), '^[\\p{{L}}\\p{{Nd}}_]+', 0) = '' THEN ''
  ELSE regexp_extract(substr(line, 1, start_col), '[\\p{{L}}\\p{{Nd}}_]*$', 0) || regexp_extract(substr(line, start_col + 1), '^[\\p{{L}}\\p{{Nd}}_]+', 0) END AS word
  FROM d JOIN lines ON lines.file_id = d.file_id AND lines.line_no = d.start_line WHERE length(line) > start_col""",
-    "deduplicated_captures": "WITH r AS (SELECT DISTINCT usage_id, file_id, name, start_line, start_col, kind FROM usages), o AS (SELECT *, row_number() OVER (PARTITION BY file_id, name, start_line, start_col ORDER BY CASE kind "
-    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in kinds.CAPTURE_PRIORITY.items())
-    + " ELSE 10 END DESC, usage_id) AS i, count(*) OVER (PARTITION BY file_id, name, start_line, start_col) AS captures FROM r) SELECT file_id, name, start_line, start_col, usage_id, kind, captures FROM o WHERE i = 1",
+    "deduplicated_captures": """WITH r AS (SELECT DISTINCT usage_id, file_id, name, start_line, start_col, kind FROM usages), o AS (SELECT *, row_number() OVER (PARTITION BY file_id, name, start_line, start_col
+ ORDER BY CASE kind WHEN 'inherit' THEN 90 WHEN 'annotation' THEN 80 WHEN 'call' THEN 70 WHEN 'write' THEN 60 WHEN 'import' THEN 50 WHEN 'type_ref' THEN 40 WHEN 'read' THEN 30 ELSE 10 END DESC, usage_id) AS i, count(*) OVER (PARTITION BY file_id, name, start_line, start_col) AS captures FROM r) SELECT file_id, name, start_line, start_col, usage_id, kind, captures FROM o WHERE i = 1""",
     "usages_not_definitions": f"WITH {_U} SELECT usage_id FROM u WHERE NOT EXISTS (SELECT 1 FROM definitions d WHERE d.file_id = u.file_id AND d.name = u.name AND d.start_line = u.start_line AND d.start_col = u.start_col)",
     "resolution_scores": f"WITH {_U}, {_D}, {_RESOLVED} SELECT usage_id, candidates, confidence, best_def_id FROM resolved",
     "filtered_usages": f"""WITH {_U}, {_D}, {_FIRST}, {_RESOLVED},
@@ -131,14 +189,16 @@ SQL = {
     "code_windows": f"""WITH {_U}, s AS (SELECT DISTINCT file_id, greatest(start_line - 2, 1) AS a, end_line + 2 AS b FROM u), l AS (SELECT file_id, a, max(b) AS b FROM s GROUP BY ALL),
  m AS (SELECT *, max(b) OVER (PARTITION BY file_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM l), i AS (SELECT *, (sum(CASE WHEN before IS NULL OR a > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY a))::BIGINT AS island FROM m)
  SELECT file_id, island, min(a) AS first_line, max(b) AS last_line, count(*) AS windows FROM i GROUP BY ALL""",
-    "inbound_edges": f"WITH {_U}, {_EDGES} SELECT * FROM inbound",
-    "kept_inbound_edges": f"WITH {_U}, {_EDGES}, f AS (SELECT *, max(max_score >= 0.4) OVER (PARTITION BY project_id, name, lang) AS any_left FROM inbound) SELECT * EXCLUDE any_left FROM f WHERE max_score >= 0.4 OR NOT any_left",
-    "outbound_edges": f"WITH {_U}, {_D}, {_OUT} SELECT * FROM outbound",
-    "file_graph": f"""WITH {_U}, {_D}, {_FIRST}, {_EDGES} SELECT i.project_id, i.path AS from_path, p.path AS to_path, sum(n_usages)::BIGINT AS n_usages, max(max_score) AS max_score
- FROM inbound i JOIN prime p USING (project_id, name, lang) WHERE i.path <> p.path GROUP BY ALL""",
-    "graph_metrics": f"""WITH {_U}, {_D}, {_FIRST}, {_EDGES}, {_OUT}, a AS (SELECT project_id, name, lang, count(*) AS f, sum(n_usages)::BIGINT AS n, avg(max_score) AS s FROM inbound GROUP BY ALL), b AS (SELECT def_id, count(*) AS n, avg(score) AS s FROM outbound GROUP BY ALL)
- SELECT p.project_id, p.name, p.lang, coalesce(a.f, 0) AS inbound_files, coalesce(a.n, 0) AS inbound_usages, round(coalesce(a.s, 0.0)::DOUBLE, 4) AS impact, coalesce(b.n, 0) AS outbound_names, round(coalesce(b.s, 0.0)::DOUBLE, 4) AS coupling
- FROM prime p LEFT JOIN a USING (project_id, name, lang) LEFT JOIN b USING (def_id)""",
+    "inbound_edges": f"WITH {_U}, {_D}, {_FIRST}, {_RESOLVED}, {_edges(0.2)} SELECT * FROM inbound",
+    "kept_inbound_edges": f"WITH {_U}, {_D}, {_FIRST}, {_RESOLVED}, {_edges(0.4)} SELECT * FROM inbound",
+    "outbound_edges": f"WITH {_U}, {_D}, {_OUT} SELECT * EXCLUDE at_path FROM outbound",
+    "file_graph": f"""WITH {_U}, {_D}, {_FIRST}, {_RESOLVED}, {_edges(0.2)}, {_OUT}, e AS (SELECT project_id, name, lang, path AS from_path, to_path, n_usages, max_score AS s FROM inbound
+  UNION ALL SELECT p.project_id, p.name, p.lang, at_path, target_path, n_usages, score FROM outbound JOIN prime p USING (def_id))
+ SELECT project_id, name, lang, from_path, to_path, sum(n_usages)::BIGINT AS n_usages, round(max(s) * 10000) / 10000 AS max_score FROM e WHERE from_path <> to_path GROUP BY ALL""",
+    "graph_metrics": f"""WITH {_U}, {_D}, {_FIRST}, {_RESOLVED}, {_edges(0.2)}, {_OUT}, a AS (SELECT project_id, name, lang, count(*) AS f, sum(n_usages)::BIGINT AS n, round(sum(round(max_score * 10000)::BIGINT)::DOUBLE / count(*)) / 10000 AS s FROM inbound GROUP BY ALL),
+  b AS (SELECT def_id, count(*) AS n, count(DISTINCT target_path) AS f, round(sum(round(score * 1000000)::BIGINT)::DOUBLE / (count(*) * 100)) / 10000 AS s FROM outbound GROUP BY ALL)
+ SELECT p.project_id, p.name, p.lang, coalesce(a.f, 0) AS inbound_files, coalesce(a.n, 0) AS inbound_usages, coalesce(a.s, 0.0)::DOUBLE AS impact, coalesce(b.n, 0) AS outbound_names,
+  coalesce(b.f, 0) AS outbound_files, coalesce(b.s, 0.0)::DOUBLE AS coupling FROM prime p LEFT JOIN a USING (project_id, name, lang) LEFT JOIN b USING (def_id)""",
     "index_changes": """WITH f AS (SELECT DISTINCT file_id, project_id, path, sha256, indexed_at, removed_at FROM source_files),
  """
     + ", ".join(
@@ -155,10 +215,9 @@ SQL = {
  coalesce(files, 0) AS files, coalesce(definitions, 0) AS definitions, coalesce(usages, 0) AS usages FROM projects p LEFT JOIN t USING (project_id) LEFT JOIN f USING (project_id) LEFT JOIN d USING (project_id) LEFT JOIN u USING (project_id)""",
     "languages": f"SELECT {_LANGUAGE} AS by_extension, lang, count(DISTINCT file_id) AS n_files FROM source_files GROUP BY 1, 2",
     "glob_files": " UNION ALL ".join(
-        f"SELECT DISTINCT file_id, '{n}' AS glob FROM source_files WHERE regexp_matches(path, '{kinds.glob_pattern(g)}') OR regexp_matches(regexp_extract(path, '[^/]*$', 0), '{kinds.glob_pattern(g)}')" for n, g in GLOBS.items()
+        f"SELECT DISTINCT file_id, '{n}' AS glob FROM source_files WHERE regexp_matches(path, '^{p}$') OR regexp_matches(regexp_extract(path, '[^/]*$', 0), '^{p}$')" for n, p in _GLOBS.items()
     ),
-    "extracted_definitions": f"""WITH {_LINES}, {_CAPTURES}, dl AS (SELECT file_id, line_no, line_no - row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS run FROM lines WHERE {_DOC}),
- runs AS (SELECT file_id, min(line_no) AS a, max(line_no) + 1 AS below FROM dl GROUP BY file_id, run)
+    "extracted_definitions": f"""WITH {_LINES}, {_CAPTURES}, {_DOCS}
  SELECT c.file_id, c.language, c.kind, c.name, c.line_no::INTEGER AS line_no, coalesce(r.a, c.line_no)::INTEGER AS doc_line FROM captures c LEFT JOIN runs r ON r.file_id = c.file_id AND r.below = c.line_no""",
     "structural_matches": f"""WITH {_LINES}, {_CAPTURES}, p AS (SELECT file_id, language, kind, count(*) AS n FROM captures GROUP BY ALL)
  SELECT project_id, p.language, kind, count(*) AS n_files, sum(n)::BIGINT AS n_matches, max(n) AS most FROM p JOIN texts USING (file_id) GROUP BY ALL""",

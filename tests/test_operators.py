@@ -10,7 +10,7 @@ from spanlode.streaming import upkeep
 from tests.conftest import rows
 
 D = "def_id long, project_id long, file_id long, path string, lang string, name string, kind string, container string, start_line int, start_col int, end_line int, end_col int"
-U = "usage_id long, project_id long, file_id long, path string, lang string, name string, kind string, context_container string, relation string, start_line int, start_col int, end_line int, end_col int"
+U = "usage_id long, project_id long, file_id long, path string, lang string, name string, kind string, context_container string, relation string, receiver_type string, target_type string, start_line int, start_col int, end_line int, end_col int"
 
 
 def definition(i, path, name="foo", kind="class", line=1, container="", end=None, file=None):
@@ -18,7 +18,7 @@ def definition(i, path, name="foo", kind="class", line=1, container="", end=None
 
 
 def usage(i, path, file=99, name="foo", kind="other", line=1, relation="", container=""):
-    return (i, 1, file, path, "go", name, kind, container, relation, line, 0, line, 3)
+    return (i, 1, file, path, "go", name, kind, container, relation, "R", "T", line, 0, line, 3)
 
 
 def test_weights_of_one_usage(spark):
@@ -59,14 +59,27 @@ def test_groups_and_windows(spark):
         assert rows(grouping.code_windows(df, ["file"], 0), "first_line", "last_line") == want
 
 
-def test_edges(spark):
-    u = spark.createDataFrame([usage(1, "a.go", kind="other", line=5), usage(2, "a.go", kind="call", line=9), usage(3, "a.go", kind="call", line=7), usage(4, "b.go", kind="annotation")], U)
-    assert rows(graph.inbound_edges(u), "path", "n_usages", "max_score", "kind") == [("a.go", 3, 0.65, "call"), ("b.go", 1, 0.2, "annotation")]
-    assert rows(graph.kept_edges(graph.inbound_edges(u), 0.6), "path") == [("a.go",)]
-    assert rows(graph.kept_edges(graph.inbound_edges(u.where("usage_id = 4")), 0.6), "path") == [("b.go",)]
-    d = spark.createDataFrame([definition(1, "m.go", name="outer", line=1, end=300, file=9), definition(2, "m.go", name="foo", line=400, file=9)], D)
-    inside = spark.createDataFrame([usage(1, "m.go", file=9, line=200), usage(2, "m.go", file=9, line=300, kind="call"), usage(3, "m.go", file=9, line=301), usage(4, "m.go", file=9, name="outer", line=2)], U)
-    assert rows(graph.outbound_edges(inside, d), "def_id", "used_name", "n_usages", "kind") == [(1, "foo", 2, "call")]
+def test_inbound_edges(spark):
+    """One class and one variable of the name: a class usage means the class at 25 to 6, a read the variable at 15 to 8."""
+    d = spark.createDataFrame([definition(1, "x/m.go"), definition(2, "y/n.go", kind="variable")], D)
+    u = [usage(1, "a.go", kind="type_ref", line=5), usage(2, "a.go", kind="read", line=9), usage(3, "a.go", kind="type_ref", line=4, relation="r"), usage(4, "b.go", kind="read"), usage(5, "c.go", name="other")]
+    edges = graph.inbound_edges(spark.createDataFrame(u, U), d, 0.5)
+    assert rows(edges, "path", "to_path", "n_usages", "max_score", "kind", "relation", "target_type") == [("a.go", "x/m.go", 2, 0.8065, "type_ref", "r", "T")]
+    reads = spark.createDataFrame([u[1], u[3], usage(6, "a.go", kind="read", line=2)], U)
+    assert rows(graph.inbound_edges(reads, d, 0.5), "path", "n_usages", "max_score") == [("a.go", 1, 0.3478), ("b.go", 1, 0.3478)]
+    assert rows(graph.inbound_edges(reads, d, 0.3), "path", "n_usages") == [("a.go", 2), ("b.go", 1)]
+    assert graph.inbound_edges(reads, d.limit(0)).collect() == [] and graph.inbound_edges(reads.limit(0), d).collect() == []
+
+
+def test_outbound_edges_and_graph(spark):
+    d = [definition(1, "p/m.go", name="outer", line=1, end=300, file=9), definition(2, "p/m.go", line=400, file=9, kind="function"), definition(3, "a/z.go"), definition(4, "p/o.go", name="near", kind="variable"), definition(5, "a/z.go", name="near")]
+    u = [usage(1, "p/m.go", file=9, line=200), usage(2, "p/m.go", file=9, line=300, kind="call"), usage(3, "p/m.go", file=9, line=301), usage(4, "p/m.go", file=9, name="outer", line=2), usage(5, "p/m.go", file=9, name="near", line=3), usage(6, "p/m.go", file=9, name="unknown", line=3), usage(7, "p/m.go", file=9, line=2, kind="annotation")]
+    u, d = spark.createDataFrame(u, U), spark.createDataFrame(d, D)
+    assert rows(graph.outbound_edges(u, d), "def_id", "used_name", "n_usages", "kind", "score", "target_def_id", "target_path") == [(1, "foo", 3, "call", 0.707107, 2, "p/m.go"), (1, "near", 1, "other", 0.707107, 4, "p/o.go")]
+    files = rows(graph.file_graph(u.where("usage_id <= 5"), d), "name", "from_path", "to_path", "n_usages", "max_score")
+    assert [f[:4] for f in files] == [("foo", "p/m.go", "a/z.go", 2), ("near", "p/m.go", "a/z.go", 1), ("outer", "p/m.go", "p/o.go", 1)]
+    got = rows(graph.graph_metrics(u, d), "name", "inbound_files", "outbound_names", "outbound_files", "coupling")
+    assert got == [("foo", 1, 0, 0, 0.0), ("near", 1, 0, 0, 0.0), ("outer", 1, 2, 2, 0.7071)]
 
 
 def test_cursor_and_words(spark):
