@@ -69,8 +69,9 @@ def strongest(strength: np.ndarray, levels: list[np.ndarray], first: int, last:
 
 
 def split(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of ``text``: at most ``limit`` long, neighbours share ``overlap`` characters, each
-    but the last at least ``least`` long. Together they cover the text; a text within the limit is one piece."""
+    """(start, end) of the pieces of ``text``: at most ``limit`` long, neighbours share ``overlap`` code points, and as
+    many more as it takes to begin with a whole character, each but the last at least ``least`` long. Together they
+    cover the text; a text within the limit is one piece."""
     if len(text) <= limit:
         return [(0, len(text))]
     strength = strengths(text)
@@ -81,7 +82,11 @@ def split(text: str, limit: int, overlap: int, least: int) -> list[tuple[int, in
             levels = sparse_table(strength[base : base + BLOCK + limit])
         end = base + strongest(strength[base:], levels, start + least - base, start + limit - base)
         pieces.append((start, end))
-        start = end - overlap
+        before, start = start, end - overlap
+        while start > before + 1 and strength[start] == NEVER:
+            start -= 1  # to the first code point of a character
+        if strength[start] == NEVER:
+            start = end - overlap  # one character longer than a piece
     pieces.append((start, len(text)))
     return pieces
 

@@ -1,16 +1,15 @@
 """Evaluation texts inside training texts.
 
-Texts become runs of normalised words. All word n-grams of the test items form a hash set that every task gets, while
-their number stays under ``BROADCAST_GRAMS``; each training text is scanned once, all its windows hashed together, and
-a window whose hash is in the set counts only if its words equal those of a test item. Above that bound the windows
-meet the n-grams in a join on the hash instead.
+Texts become runs of normalised words. All word n-grams of the test items form a hash set that every task gets; items
+of more than ``PART_CHARS`` characters together come in several such sets, each scanned by itself. Each training text
+is scanned once a set, all its windows hashed together, and a window whose hash is in the set counts only if its words
+equal those of a test item.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 12
-BROADCAST_GRAMS = 4_000_000
+PART_CHARS = 8_000_000  # with n-grams of 12 words and six characters a word, a set takes about 80 MB in a worker
 #: Odd multipliers of the rolling hash.
 _MULTIPLY, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORD = re.compile(r"[^\W_]+")
@@ -51,55 +50,51 @@ def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of the test items: vocabulary, sorted hashes, and for each hash its word tuples with their items."""
+    """The n-grams of the test items: vocabulary, the items' words in one row, and the sorted hashes of its windows with
+    their places; 24 bytes an n-gram besides the words."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.n, self.vocabulary = n, {}
-        held = defaultdict(set)
+        flat, owner = [], []
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for i in range(len(ids) - n + 1):
-                held[tuple(ids[i : i + n])].add(item)
-        self.by_hash = defaultdict(list)
-        if held:
-            for gram, h in zip(held, _window_hashes_of(list(held), n), strict=True):
-                self.by_hash[int(h)].append((gram, sorted(held[gram])))
-        self.hashes = np.array(sorted(self.by_hash), dtype=np.uint64)
-
-    def scan(self, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-        """(row, [(item, first word, last word)]) of the texts that hold an n-gram of an item."""
+            flat += [*ids, -1]
+            owner += [item] * (len(ids) + 1)
+        self.flat, self.owner = np.array(flat, dtype=np.int32), np.array(owner, dtype=np.int64)
+        self.places = _clear(self.flat, n)
+        hashes = _window_hashes(self.flat, n)[self.places] if len(self.places) else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.places = hashes[order], self.places[order]
+
+    def scan(self, texts: list[str | None]) -> dict[int, list[tuple[int, int, int]]]:
+        """{row: [(item, first word, last word)]} of the texts that hold an n-gram of an item."""
         n, get = self.n, self.vocabulary.get
         ids, starts = [], []
         for t in texts:
             starts.append(len(ids))
             if t:
                 ids.extend(get(w, -1) for w in words(t))
-            ids.extend([-1])
-        if not len(self.hashes) or len(ids) < n:
-            return
-        flat = np.array(ids, dtype=np.int64)
-        unknown = np.concatenate([[0], np.cumsum(flat < 0)])
-        clear = np.flatnonzero(unknown[n:] == unknown[:-n])  # windows of known words only; -1 also ends a text
-        if not len(clear):
-            return
+            ids.append(-1)
+        flat, found = np.array(ids, dtype=np.int32), {}
+        clear = _clear(flat, n)
+        if not len(clear) or not len(self.hashes):
+            return found
         hashes = _window_hashes(flat, n)[clear]
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        hits = clear[self.hashes[at] == hashes]
-        rows = np.searchsorted(np.array(starts), hits, side="right") - 1
-        found = defaultdict(list)
-        for p, r in zip(hits.tolist(), rows.tolist(), strict=True):
-            h = int(_window_hashes(flat[p : p + n], n)[0])
-            gram = tuple(flat[p : p + n].tolist())
-            for known, items in self.by_hash[h]:
-                if known == gram:
-                    found[r].extend((item, p - starts[r], p - starts[r] + n - 1) for item in items)
-        yield from found.items()
+        first, last = np.searchsorted(self.hashes, hashes, side="left"), np.searchsorted(self.hashes, hashes, side="right")
+        hit = np.flatnonzero(last > first)
+        rows = np.searchsorted(np.array(starts), clear[hit], side="right") - 1
+        for p, r, a, b in zip(clear[hit].tolist(), rows.tolist(), first[hit].tolist(), last[hit].tolist(), strict=True):
+            window = flat[p : p + n]
+            for at in self.places[a:b].tolist():
+                if np.array_equal(self.flat[at : at + n], window):
+                    found.setdefault(r, []).append((int(self.owner[at]), p - starts[r], p - starts[r] + n - 1))
+        return found
 
 
-def _window_hashes_of(grams: list[tuple[int, ...]], n: int) -> np.ndarray:
-    flat = np.array(grams, dtype=np.int64).reshape(-1)
-    return _window_hashes(flat, n)[:: n][: len(grams)]
+def _clear(flat: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of n known words begin; -1 stands for other words and ends a text."""
+    unknown = np.concatenate([[0], np.cumsum(flat < 0)])
+    return np.flatnonzero(unknown[n:] == unknown[:-n]) if len(flat) >= n else np.zeros(0, dtype=np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -118,49 +113,37 @@ def _spans(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = WORDS, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+def leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = WORDS, part_chars: int = PART_CHARS) -> DataFrame:
     """(item_id, doc_id, first_word, last_word): every passage of at least ``n`` consecutive words that an item and a
     text share, as the longest run of words that items' n-grams cover.
 
     Null, empty and short texts or items give no rows; texts under several keys are found under each; repeated rows
-    give repeated passages. Both keys must be longs. Other columns are never read.
+    give repeated passages. Both keys must be longs. Other columns are never read. Items are dealt over as many sets as
+    keep each within about ``part_chars`` characters, an item whole in one set; the result is the same for any number.
     """
-    bounded = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).distinct()
-    size = bounded.agg(F.sum(F.length("t"))).first()[0] or 0
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("i"), F.col(item_text).alias("t")).distinct()
+    size = known.agg(F.sum(F.length("t"))).first()[0] or 0
+    parts = max(1, -(-size // part_chars))
     docs = corpus.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("d"), F.col(text).alias("t"))
-    schema = "item_id long, doc_id long, first_word int, last_word int"
-    if size // 2 > broadcast_grams:
-        return _joined(docs, bounded, n)
-    shared = corpus.sparkSession.sparkContext.broadcast(tuple(sorted((r.i, r.t) for r in bounded.collect())))  # within broadcast_grams n-grams
+    out = None
+    for part in range(parts):
+        held = known.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else known
+        found = _scanned(docs, tuple(sorted((r.i, r.t) for r in held.collect())), n)  # about part_chars characters
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _scanned(docs: DataFrame, items: tuple[tuple[int, str], ...], n: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = _grams(shared.value, n)
         for batch in batches:
             ids = batch["d"].tolist()
-            out = [(item, ids[r], a, b) for r, hits in grams.scan(batch["t"].tolist()) for item, a, b in _spans(hits)]
+            out = [(item, ids[r], a, b) for r, hits in grams.scan(batch["t"].tolist()).items() for item, a, b in _spans(hits)]
             yield pd.DataFrame(out, columns=["item_id", "doc_id", "first_word", "last_word"]).astype({"item_id": "int64", "doc_id": "int64", "first_word": "int32", "last_word": "int32"})
 
-    return docs.mapInPandas(work, schema)
-
-
-def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same result for item sets too large to send around: windows that occur in an item meet in a join on the gram."""
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for owner, t in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist(), strict=True):
-                w = words(t)
-                if len(w) >= n:
-                    yield pd.DataFrame({"o": owner, "p": np.arange(len(w) - n + 1, dtype="int32"), "gram": [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]})
-
-    known = items.mapInPandas(windows, "o long, p int, gram string").select(F.col("o").alias("item_id"), "gram").distinct()
-    seen = docs.mapInPandas(windows, "o long, p int, gram string").withColumnRenamed("o", "doc_id")
-    hits = seen.join(known, "gram").select("item_id", "doc_id", "p")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("item_id", "doc_id").orderBy("p")
-    runs = hits.withColumn("new", (F.col("p") > F.lag("p", 1, -(n + 1)).over(order) + n).cast("int")).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("item_id", "doc_id", "run").agg(F.min("p").alias("first_word"), (F.max("p") + n - 1).cast("int").alias("last_word")).drop("run")
+    return docs.mapInPandas(work, "item_id long, doc_id long, first_word int, last_word int")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -15,7 +15,11 @@ def check(text, limit, overlap, least):
     spans = cs.split(text, limit, overlap, least)
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     assert all(0 <= b - a <= limit for a, b in spans)
-    assert all(b[0] == a[1] - overlap for a, b in zip(spans, spans[1:]))
+    strength = cs.strengths(text)
+    for a, b in zip(spans, spans[1:]):  # the overlap, and what it takes to begin with a whole character
+        exact = a[1] - overlap
+        assert b[0] == exact or b[0] < exact and strength[b[0]] != cs.NEVER and (strength[b[0] + 1 : exact + 1] == cs.NEVER).all()
+        assert strength[b[0]] != cs.NEVER or (strength[a[0] + 1 : exact + 1] == cs.NEVER).all()
     assert len(spans) == 1 or all(b - a >= least for a, b in spans[:-1])
     return spans
 
@@ -37,6 +41,14 @@ def test_natural_boundaries_win():
     assert cs.split("é" * 500, 400, 40, 200)[0][1] % 2 == 0
 
 
+def test_pieces_begin_with_whole_characters():
+    for unit in ("e\u0301", "क\u093f", "👩\u200d💻", "\r\n", "o\u0302\u0323"):
+        text = unit * 700
+        spans = check(text, 400, 41, 200)
+        assert len(spans) > 2 and all(a % len(unit) == 0 for a, _ in spans)
+    check("a" + "\u0301" * 3000, 400, 41, 200)
+
+
 def test_very_long_text():
     text = ("Sentence number one goes here. " * 40 + "\n\n") * 1500
     assert len(text) > 1_500_000

@@ -36,3 +36,13 @@ def test_fill_and_edges(spark):
     assert sum(room.values()) / (100 * len(room)) > 0.75
     assert boxes(spark, [], 100) == []
     check(boxes(spark, [100, 100, 101, 10_000, 0, -3], 100), [100, 100, 101, 10_000, 0, -3], 100)
+
+
+def test_small_items_fill_their_containers(spark):
+    room = check(boxes(spark, [10] * 2000, 4096), [10] * 2000, 4096)
+    assert len(room) == 5
+    room = check(boxes(spark, [0] * 3000 + [1] * 5000, 4096), [0] * 3000 + [1] * 5000, 4096)
+    assert len(room) == 3
+    sizes = [i % 40 + 21 for i in range(20_000)]
+    room = check(boxes(spark, sizes, 4096), sizes, 4096)
+    assert sum(room.values()) / (4096 * len(room)) > 0.8
