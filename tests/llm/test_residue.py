@@ -1,6 +1,8 @@
 import pytest
 
-from spanlode.llm.residue import residue
+from pyspark.sql import functions as F
+
+from spanlode.llm.residue import line_evidence, normal_line, residue
 from tests.conftest import rows
 
 CASES = {
@@ -34,6 +36,38 @@ CLEAN = [
 ]
 
 
+#: None of these stands in the operator as a sentence; kinds follow from slots, status phrases and the two roles of words.
+UNSEEN = {
+    "slot": ["Dear *|FNAME|*", "Hello %%NAME%%", "<<Insert company name>>", "Hi {{ user.first_name | default: 'x' }}", "Dear {!Contact.Name},"],
+    "error": [
+        "HTTP Error 503. The service is unavailable.", "502 Bad Gateway nginx/1.18.0", "Error establishing a database connection", "This site can’t be reached", "A página não foi encontrada", "ページが見つかりません",
+        "The requested URL was not found on this server.", "Too many requests. Please try again later.", "We are down for maintenance", "No se puede acceder a este sitio", "Страница не найдена",
+    ],
+    "notice": [
+        "Enable JavaScript and cookies to continue", "We're sorry but app doesn't work properly without JavaScript enabled", "Por favor, ative o JavaScript para continuar", "JavaScriptを有効にしてください",
+        "Su sesión ha expirado. Inicie sesión de nuevo.", "Please wait while we verify your browser", "Please complete the captcha to continue", "Please log in to continue",
+    ],
+    "filler": ["Your content goes here", "Add your description here", "Dieser Text ist ein Platzhalter"],
+}
+TOLD = [
+    'We show "Page not found" to users without the role.', "Enable cookies in the test client before the login step.", "JavaScript is a language that runs in the browser.", "Users who disable JavaScript see a plain table instead.",
+    "The service was unavailable for ten minutes on Monday because of a bad deploy.", "If the page is not found, the router falls back to the index.", "Sessions expire after 30 minutes and the user has to sign in again.",
+    "Not found errors are cached for a minute.", "Retry the request after the rate limit resets.", "The placeholder text is replaced at build time by the template engine.", "Session storage", "How cookies work", "Error handling", "42", "404 of them",
+]
+
+
+def test_lines_that_no_list_holds(spark):
+    lines = [(k, x) for k, xs in UNSEEN.items() for x in xs] + [(None, x) for x in TOLD]
+    df = spark.createDataFrame(lines, "want string, line string")
+    got = df.select("want", "line", line_evidence(F.col("line"), normal_line(F.col("line"))).alias("kind")).collect()
+    assert [(r.line, r.want, r.kind) for r in got if r.want != r.kind] == []
+
+
+def test_recurrence_needs_no_least_number_of_texts(spark):
+    lone = residue(texts(spark, [(1, "one", "Access denied."), (2, "two", "Access denied."), (3, "two", "Real text."), (4, "all", "Access denied."), (5, "all", "Access denied.")]))
+    assert rows(lone, "id") == [(1,), (2,)]
+
+
 def texts(spark, data):
     return spark.createDataFrame([(i, h, t, "x", "y") for i, h, t in data], "id long, host string, text string, line string, kind string")
 
