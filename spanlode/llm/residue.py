@@ -171,13 +171,12 @@ def _any(patterns) -> str:
     return f"^(?:{'|'.join(out)})$"
 
 
-SLOT, REPEATED_LINE, OUTPUT_LINE = "|".join(SLOTS), _any(REPEATED), _any((*OUTPUT, STATUS))
+SLOT, REPEATED_LINE, OUTPUT_LINE = r"(?=[{<\[$#*@%_YT])(?:" + "|".join(SLOTS) + ")", _any(REPEATED), _any((*OUTPUT, STATUS))
 #: What every slot has; a fast test before the full one.
-SLOT_START = r"[{%@\[<_*]|YOUR_|TODO\("
+SLOT_START = r"[{%\[<]|@@|\*\||__|YOUR_|TODO\("
 _ABOUT, _SAYS = {k: v.split() for k, v in ABOUT.items()}, {k: v.split() for k, v in SAYS.items()}
 _KNOWN = sorted({*PLAIN, *(w for t in (_ABOUT, _SAYS) for v in t.values() for w in v)})
-#: A word of the second role, which every sentence that counts has; a fast test before the words are looked at.
-_HINT = r"(?<![\p{L}'])(?:" + "|".join(sorted({re.escape(w) for v in _SAYS.values() for w in v})) + r")(?![\p{L}'])"
+_MARKS = ".,;:!?…()[]|/–—-。！？"
 _SENTENCE = r"[.!?…:;]+(?=\s|$)|[。！？]+|\s[-–—]\s"
 _QUOTES = '["“”„«»‘`]'
 
@@ -196,29 +195,43 @@ def _sentence_kind(sentence: Column) -> Column:
     return F.when(F.trim(sentence).rlike(f"^(?=.* |forbidden|unauthorized)(?:{PHRASES})$"), 1).otherwise(F.transform(F.array(words), judged)[0])
 
 
+def _may_speak(normal: Column) -> Column:
+    """Whether so few words are outside the vocabulary that every sentence may count: a fast test before sentences are
+    looked at. Marks end sentences at most once each, and a sentence may have one strange word, or a fifth."""
+    plain = F.translate(normal, _MARKS + "’", " " * len(_MARKS) + "'")
+    marks = F.length(normal) - F.length(F.translate(normal, _MARKS, ""))
+
+    def few(w: Column) -> Column:
+        return F.size(F.filter(w, lambda x: ~x.isin(["", *_KNOWN]) & ~x.contains("0"))) <= 1 + marks + F.size(w) * UNKNOWN_SHARE
+
+    return F.transform(F.array(F.split(plain, " ")), few)[0]
+
+
+def _spoken(normal: Column) -> Column:
+    plain = F.regexp_replace(F.replace(normal, F.lit("’"), F.lit("'")), r"\b(?:could|can) ?not\b", "cannot")
+    kinds = F.transform(F.filter(F.split(plain, _SENTENCE), lambda x: F.trim(x) != ""), _sentence_kind)
+    return F.transform(F.array(kinds), lambda ks: F.when(~F.exists(ks, lambda k: k == 0), F.get(F.filter(ks, lambda k: k < 4), F.lit(0))))[0]
+
+
 def line_evidence(line: Column, normal: Column) -> Column:
     """``slot``, ``filler``, ``error`` or ``notice``; null for other lines. The kind of a line of several sentences is
     that of the first that has one."""
-    plain = F.regexp_replace(F.replace(normal, F.lit("’"), F.lit("'")), r"\b(?:could|can) ?not\b", "cannot")
-    kinds = F.transform(F.filter(F.split(plain, _SENTENCE), lambda x: F.trim(x) != ""), _sentence_kind)
-    told = F.transform(F.array(kinds), lambda ks: F.when(~F.exists(ks, lambda k: k == 0), F.get(F.filter(ks, lambda k: k < 4), F.lit(0))))[0]
-    spoken = F.when(plain.rlike(_HINT) & ~plain.rlike(_QUOTES), told)
-    return (
-        F.when(line.rlike(SLOT_START) & line.rlike(SLOT), "slot").when(normal.rlike(REPEATED_LINE), "filler").when(normal.rlike(OUTPUT_LINE), "error")
-        .when(spoken == 1, "error").when(spoken == 2, "notice").when(spoken == 3, "filler")
-        .when(~normal.rlike(r"[^\x00-\x7f]"), F.lit(None))
-        .when(normal.rlike(UNSPACED["error"]), "error").when(normal.rlike(UNSPACED["notice"]), "notice").when(normal.rlike(UNSPACED["filler"]), "filler")
-    )
+    told = F.get(F.array(F.lit(None).cast("string"), F.lit("error"), F.lit("notice"), F.lit("filler")), F.coalesce(_spoken(normal), F.lit(0)))
+    return F.coalesce(
+        F.when(line.rlike(SLOT_START) & line.rlike(SLOT), "slot").when(normal.rlike(REPEATED_LINE), "filler").when(normal.rlike(OUTPUT_LINE), "error"),
+        F.when(_may_speak(normal) & ~normal.rlike(_QUOTES), told),
+        F.when(F.octet_length(normal) > F.length(normal), F.when(normal.rlike(UNSPACED["error"]), "error").when(normal.rlike(UNSPACED["notice"]), "notice").when(normal.rlike(UNSPACED["filler"]), "filler")),
+    )
 
 
 def told_lines(texts: DataFrame) -> DataFrame:
-    """(id, host, h, kind): every different normalised line of every text by its hash, with the evidence it is or null.
+    """(id, host, h, kind): every normalised line of every text by its hash, with the evidence it is or null.
 
     ``texts`` has id, host and text. Lines, patterns and words are looked at within the row, in the JVM; nothing is
     exchanged."""
     both = F.transform(prose_lines(F.col("text")), lambda x: F.struct(x.alias("line"), normal_line(x).alias("normal")))
     told = F.transform(both, lambda s: F.struct(F.xxhash64(s["normal"]).alias("h"), line_evidence(s["line"], s["normal"]).alias("kind")))  # nested, so that each pattern runs once a line
-    rows = texts.where(F.col("text").isNotNull()).select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode(F.array_distinct(told)).alias("s"))
+    rows = texts.where(F.col("text").isNotNull()).select("id", F.coalesce("host", F.lit("")).alias("host"), F.explode(told).alias("s"))
     return rows.select("id", "host", "s.*")
 
 
