@@ -4,26 +4,29 @@ A grammar is text: ``Name = body`` lines, a body being an EBNF of names, ``'toke
 groups and the operators ``| ? * + ( )``. Each rule is compiled to a small automaton. ``b:Rule``, ``p:Rule``, ``s:Rule``
 and ``i:Rule`` stand for a brace, parenthesis, square or indentation group whose whole content is a ``Rule``; ``ANY`` is
 any content, ``EMPTY`` none. ``@nl`` is zero wide and holds before a token that starts a line and at an end,
-``@nobrace`` holds before anything but a brace group, ``@noword`` before anything but ``function`` and ``class``.
+``@nobrace`` holds before anything but a brace group, ``@noword`` before anything but ``function`` and ``class``,
+``@noelse``, ``@noquery``, ``@noif``, ``@nopower`` and ``@noassign`` before anything but ``else``, ``?``, ``if``, ``**``
+and an assignment or arrow: what can go on that way has to, so a long chain has one end at each of its places.
 
 Descriptors (automaton state, stack node, position) are worked off in any order; a stack node is shared by all callers
 of a rule at a position, so left recursion and ambiguity cost nothing special. Several start rules (dialects) run on
-the same tokens with the same tables. What a rule named in ``memo`` accepts depends only on the tokens it looked at, so
-its ends are kept in a tree over these tokens; groups are recognised from the inside out and become single tokens,
-named by the rules that accept their content. The trees are caches: emptying them changes no result.
+the same tokens with the same tables. Rules named in ``memo`` are worked off on their own, once a place, on a stack of
+frames, so chains may be as long as memory allows. What such a rule accepts depends only on the tokens it looked at; where
+these are few, its ends are also kept in a tree over them, for the next text. Groups are recognised from the inside out
+and become single tokens, named by the rules that accept their content. The trees are caches: emptying them changes no
+result. A rule ``TX`` is ``X`` without ``return``; it is asked only where ``X`` accepts a content that has one.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from dataclasses import dataclass, field
 
 END = 0
 NL_BIT = 1 << 30  # set in a token that starts a line
 CACHE = 400_000
 GROUPS = 50_000
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 100_000))  # rules nest as deep as a chain of else-ifs is long
+DEPTH = 256  # tokens
 _LEX = re.compile(r"\s*(?:('[^']+')|([bpsi]:\w+|@\w+|\w+)|([|?*+()]))")
 
 
@@ -57,12 +60,19 @@ class Grammar:
         for t, n in self.terminals.items():
             if t[1:2] == ":" and len(t) > 2 and t[0] in self._groups:
                 self._groups[t[0]].append((t[2:], n))
+        unknown = {n for e in self.edges for kind, n, _ in e if kind == "nl" and n != "@nl"} - {"@nobrace", "@noword", "@noelse", "@noquery", "@noif", "@nopower", "@noassign"}
+        unknown |= {t for t in self.terminals if re.fullmatch("[A-Z][a-z]+[A-Za-z]*", t)} - set("None True False Self".split())
+        if unknown:
+            raise ValueError(f"no rules {sorted(unknown)}")
         for kind, held in self._groups.items():
             for rule, _ in held:
                 if rule not in self.rules and rule not in ("ANY", "EMPTY"):
                     raise ValueError(f"no rule {rule} for {kind}:{rule}")
-        words = {self.terminals[w] for w in ("function", "class") if w in self.terminals}
-        self._barred = {"@nobrace": {n for _, n in self._groups["b"]}, "@noword": words}
+        named = lambda words: {self.terminals[w] for w in words.split() if w in self.terminals}
+        self._barred = {"@nobrace": {n for _, n in self._groups["b"]}, "@noword": named("function class"), "@noelse": named("else"), "@noquery": named("?"), "@noif": named("if"), "@nopower": named("**")}
+        self._barred["@noassign"] = named("= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??= => ->")
+        self._groups = {kind: sorted(held, key=lambda r: r[0][:1] == "T" and r[0][1:] in self._names) for kind, held in self._groups.items()}
+        self.returns = named("return") | {self.terminals.setdefault("RETURNS", len(self.terminals))}
         self._firsts()
         self.matches: list[frozenset[int]] = [frozenset({END})]  # token -> terminals
         self.token_of: dict[frozenset[int], int] = {self.matches[0]: 0}
@@ -217,9 +227,17 @@ class Grammar:
         n = cache.get(key)
         if n is None:
             held = set()
+            returning = any(not self.returns.isdisjoint(self.matches[t & ~NL_BIT]) for t in content)
             for rule, terminal in self._groups[kind]:
-                if rule == "ANY" or (rule == "EMPTY" and not content) or (rule != "EMPTY" and self.accepts(rule, content)):
+                base = self.terminals.get(f"{kind}:{rule[1:]}") if rule[0] == "T" and rule[1:] in self._names else None
+                if base is not None and (base not in held or not returning):
+                    ok = base in held
+                else:
+                    ok = rule == "ANY" or (rule == "EMPTY" and not content) or (rule != "EMPTY" and self.accepts(rule, content))
+                if ok:
                     held.add(terminal)
+            if returning:
+                held.add(self.terminals["RETURNS"])
             n = self._token(frozenset(held))
             if len(cache) > GROUPS:
                 cache.clear()
@@ -228,46 +246,49 @@ class Grammar:
 
     # Recognition.
 
-    def accepts(self, rule: str, tokens: list[int]) -> bool:
-        """Whether the whole of ``tokens`` is a ``rule``."""
+    def accepts(self, rule: str, tokens: list[int], known: dict | None = None) -> bool:
+        """Whether the whole of ``tokens`` is a ``rule``; ``known`` keeps what rules accept at places of these tokens."""
         r = self.rules[rule]
-        if not tokens:
-            return r.nullable or bool(len(tokens) in self._run(rule, [END | NL_BIT], 0)[0])
-        if r.first.isdisjoint(self.matches[tokens[0] & ~NL_BIT]) and not r.nullable:
+        if tokens and r.first.isdisjoint(self.matches[tokens[0] & ~NL_BIT]) and not r.nullable:
             return False
-        return len(tokens) in self._run(rule, [*tokens, END | NL_BIT], 0)[0]
+        return not tokens and r.nullable or len(tokens) in self._run(rule, [*tokens, END | NL_BIT], {} if known is None else known)
 
     def accepted_by(self, tokens: list[int]) -> list[str]:
         """The dialects that accept the tokens."""
-        return [s for s in self.starts if self.accepts(s, tokens)]
-
-    def _ends(self, name: str, rule: _Rule, tokens: list[int], at: int) -> tuple[tuple[int, ...], int]:
-        """(lengths of what the rule accepts at ``at``, how many tokens it looked at)."""
+        known: dict = {}
+        return [s for s in self.starts if self.accepts(s, tokens, known)]
+
+    def _known(self, name: str, rule: _Rule, tokens: list[int], at: int, places: dict):
+        """(lengths of what the rule accepts at ``at``, how many tokens it looked at) if that was found before."""
+        found = places.get((name, at))
+        if found is not None:
+            return found
         node, i = rule.tree, at
-        while True:
-            known = node.get(-1)
-            if known is not None:
-                return known
-            below = node.get(tokens[i])
-            if below is None:
-                break
-            node = below
+        while node is not None:
+            found = node.get(-1)
+            if found is not None:
+                places[name, at] = found
+                return found
+            node = node.get(tokens[i])
             i += 1
-        ends, seen = self._run(name, tokens, at)
-        found = (tuple(sorted(e - at for e in ends)), seen - at)
+        return None
+
+    def _keep(self, name: str, tokens: list[int], at: int, found: tuple, places: dict) -> None:
+        places[name, at] = found
+        if found[1] > DEPTH:
+            return
         if self.nodes > CACHE:
             for r in self.rules.values():
                 r.tree = {}
             self.nodes = 0
-        node = rule.tree
-        for t in tokens[at:seen]:
+        node = self.rules[name].tree
+        for t in tokens[at : at + found[1]]:
             below = node.get(t)
             if below is None:
                 below = node[t] = {}
                 self.nodes += 1
             node = below
         node[-1] = found
-        return found
 
     def _actions(self, state: int, token: int) -> tuple:
         """What can be done in ``state`` before ``token``; looked up once, then kept."""
@@ -286,51 +307,68 @@ class Grammar:
         acts = self.acts[state][token] = (self.final[state], tuple(out))
         return acts
 
-    def _run(self, name: str, tokens: list[int], at: int) -> tuple[set[int], int]:
-        """(ends of ``name`` at ``at``, one past the last token looked at)."""
-        ends: set[int] = set()
-        seen: set = set()
-        stack: dict = {}
-        acts, far = self.acts, at
-        todo = [(self.rules[name].start, None, at)]
-        while todo:
-            d = todo.pop()
-            if d in seen:
-                continue
-            seen.add(d)
-            state, node, p = d
-            token = tokens[p]
-            if p > far:
-                far = p
-            a = acts[state].get(token)
-            final, edges = a if a is not None else self._actions(state, token)
-            for kind, sym, rule, target in edges:
-                if kind == 0:
-                    todo.append((target, node, p + 1))
-                elif kind == 2:
-                    lengths, looked = self._ends(sym, rule, tokens, p)
-                    if p + looked - 1 > far:
-                        far = p + looked - 1
-                    for n in lengths:
-                        todo.append((target, node, p + n))
-                elif kind == 3:
-                    key = (sym, p)
-                    child = stack.get(key)
-                    if child is None:
-                        child = stack[key] = ([], set())
-                        todo.append((rule.start, key, p))
-                    child[0].append((target, node))
-                    for q in child[1]:
-                        todo.append((target, node, q))
-                else:
-                    todo.append((target, node, p))
-            if final:
-                if node is None:
-                    ends.add(p)
-                else:
-                    callers, popped = stack[node]
-                    if p not in popped:
-                        popped.add(p)
-                        for target, caller in callers:
-                            todo.append((target, caller, p))
-        return ends, far + 1
+    def _run(self, name: str, tokens: list[int], places: dict) -> set[int]:
+        """Ends of ``name`` at the beginning. A frame is a memo rule at a place, with what is left to do there."""
+        acts, frames = self.acts, []
+        at, far, ends, seen, stack, waiting = 0, 0, set(), set(), {}, []
+        todo = [(self.rules[name].start, None, 0)]
+        while True:
+            while todo:
+                d = todo.pop()
+                if d in seen:
+                    continue
+                seen.add(d)
+                state, node, p = d
+                token = tokens[p]
+                if p > far:
+                    far = p
+                a = acts[state].get(token)
+                final, edges = a if a is not None else self._actions(state, token)
+                for kind, sym, rule, target in edges:
+                    if kind == 0:
+                        todo.append((target, node, p + 1))
+                    elif kind == 2:
+                        found = self._known(sym, rule, tokens, p, places)
+                        if found is None:
+                            waiting.append((sym, rule, p, target, node))
+                            continue
+                        if p + found[1] - 1 > far:
+                            far = p + found[1] - 1
+                        for n in found[0]:
+                            todo.append((target, node, p + n))
+                    elif kind == 3:
+                        key = (sym, p)
+                        child = stack.get(key)
+                        if child is None:
+                            child = stack[key] = ([], set())
+                            todo.append((rule.start, key, p))
+                        child[0].append((target, node))
+                        for q in child[1]:
+                            todo.append((target, node, q))
+                    else:
+                        todo.append((target, node, p))
+                if final:
+                    if node is None:
+                        ends.add(p)
+                    else:
+                        callers, popped = stack[node]
+                        if p not in popped:
+                            popped.add(p)
+                            for target, caller in callers:
+                                todo.append((target, caller, p))
+            if waiting:
+                sym, rule, p, target, node = waiting.pop()
+                found = self._known(sym, rule, tokens, p, places)
+                if found is None:  # its own frame first, then this again
+                    waiting.append((sym, rule, p, target, node))
+                    frames.append((name, at, far, ends, seen, stack, waiting))
+                    name, at, far, ends, seen, stack, waiting = sym, p, p, set(), set(), {}, []
+                    todo = [(rule.start, None, p)]
+                    continue
+                far = max(far, p + found[1] - 1)
+                todo = [(target, node, p + n) for n in found[0]]
+            elif frames:
+                self._keep(name, tokens, at, (tuple(sorted(e - at for e in ends)), far + 1 - at), places)
+                name, at, far, ends, seen, stack, waiting = frames.pop()
+            else:
+                return ends

@@ -1,11 +1,14 @@
 """Grammars of the supported languages, in the notation of ``gll``. Written from the languages' public references.
 
-They accept every valid file of the language and, where the rest is not a matter of phrase structure (which
-expressions can be assigned to, where ``return`` may stand), somewhat more.
+They accept every valid file of the language and, where the rest is not a matter of phrase structure (names that
+are declared twice, where ``break`` or ``await`` may stand), somewhat more.
 """
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from spanlode.llm.gll import Grammar
 
 GO = """
@@ -36,13 +39,17 @@ Field = (Ids Type | '*'? TypeName) STR?
 Elems = (Elem (';' Elem)* ';'?)?
 Elem = ID Signature | Constraint
 Stmts = Stmt? (';' Stmt?)*
-Stmt = Decl | Simple | 'return' Exprs? | ('break' | 'continue') ID? | 'goto' ID | 'fallthrough' | ('defer' | 'go') Expr | b:Stmts | If | 'switch' (Simple? ';')? Simple? b:Cases | 'select' b:Comms | 'for' ForHead? b:Stmts | ID ':' Stmt?
+Stmt = Decl | Simple | 'return' Exprs? | ('break' | 'continue') ID? | 'goto' ID | 'fallthrough' | ('defer' | 'go') Expr | b:Stmts | If | 'switch' (HSimple? ';')? HSimple? b:Cases | 'select' b:Comms | 'for' ForHead? b:Stmts | ID ':' Stmt?
 Simple = Exprs (Assign Exprs)? | Expr ('++' | '--') | Expr '<-' Expr
 Assign = '=' | ':=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '&^='
-If = 'if' (Simple? ';')? Simple b:Stmts ('else' (If | b:Stmts))?
+HSimple = HExprs (Assign HExprs)? | HExpr ('++' | '--') | HExpr '<-' HExpr
+If = 'if' (HSimple? ';')? HSimple b:Stmts ('else' (If | b:Stmts) | @noelse)
 Cases = (('case' (Expr | Type) (',' (Expr | Type))* | 'default') ':' Stmts)*
 Comms = (('case' Simple | 'default') ':' Stmts)*
-ForHead = Simple | Simple? ';' Simple? ';' Simple? | (Exprs ('=' | ':='))? 'range' Expr
+ForHead = HSimple | HSimple? ';' HSimple? ';' HSimple? | (HExprs ('=' | ':='))? 'range' HExpr
+HExprs = HExpr (',' HExpr)*
+HExpr = HUnary (BinOp HUnary)*
+HUnary = ('+' | '-' | '!' | '^' | '*' | '&' | '<-')* Operand HSuffix*
 Exprs = Expr (',' Expr)*
 Expr = Unary (BinOp Unary)*
 BinOp = '||' | '&&' | '==' | '!=' | '<' | '<=' | '>' | '>=' | '+' | '-' | '|' | '^' | '*' | '/' | '%' | '<<' | '>>' | '&' | '&^'
@@ -51,7 +58,8 @@ Primary = Operand Suffix*
 Operand = NUM | STR | CHAR | ID | p:ExprOrType | 'func' Signature b:Stmts | LitType (b:Lit | p:Args)
 LitType = s:Length Type | 'map' s:Type Type | 'struct' b:Fields | 'chan' Type | 'interface' b:Elems | 'func' Signature
 ExprOrType = Expr | Type
-Suffix = '.' ID | '.' p:Asserted | s:Index | p:Args | b:Lit
+Suffix = HSuffix | b:Lit
+HSuffix = '.' ID | '.' p:Asserted | s:Index | p:Args
 Asserted = Type | 'type'
 Index = Expr | Types | Expr? ':' Expr? (':' Expr)?
 Args = ((Expr | Type) (',' (Expr | Type))* '...'? ','?)?
@@ -91,7 +99,7 @@ Init = Expr | b:Inits
 Inits = (Init (',' Init)*)? ','?
 Stmts = BlockStmt*
 BlockStmt = ('final' | Note)* Type Vars ';' | Mod* TypeDecl | Stmt
-Stmt = b:Stmts | ';' | Act ';' | 'if' p:Expr Stmt ('else' Stmt)? | 'while' p:Expr Stmt | 'do' Stmt 'while' p:Expr ';' | 'for' p:ForHead Stmt | 'switch' p:Expr b:Switch | 'return' Expr? ';' | ('break' | 'continue') ID? ';' | 'throw' Expr ';' | Try | 'synchronized' p:Expr b:Stmts | 'assert' Expr (':' Expr)? ';' | 'yield' Expr ';' | ID ':' Stmt
+Stmt = b:Stmts | ';' | Act ';' | 'if' p:Expr Stmt ('else' Stmt | @noelse) | 'while' p:Expr Stmt | 'do' Stmt 'while' p:Expr ';' | 'for' p:ForHead Stmt | 'switch' p:Expr b:Switch | 'return' Expr? ';' | ('break' | 'continue') ID? ';' | 'throw' Expr ';' | Try | 'synchronized' p:Expr b:Stmts | 'assert' Expr (':' Expr)? ';' | 'yield' Expr ';' | ID ':' Stmt
 Act = Postfix AssignOp Expr | ('++' | '--') Unary | Primary ('++' | '--') | Base Suffix* p:Args | New Suffix*
 Try = 'try' (b:Stmts (Catch+ Finally? | Finally) | p:Resources b:Stmts Catch* Finally?)
 Catch = 'catch' p:Caught b:Stmts
@@ -103,11 +111,11 @@ ForHead = (('final' | Note)* Type Vars | Act (',' Act)*)? ';' Expr? ';' (Act (',
 Switch = (Label ':' BlockStmt*)* | (Label '->' (Expr ';' | b:Stmts | 'throw' Expr ';'))*
 Label = 'case' CaseValue (',' CaseValue)* | 'default'
 CaseValue = Ternary | 'default' | 'null'
-Expr = Lambda | Ternary | Postfix AssignOp Expr
+Expr = Lambda | Ternary @noassign | Postfix AssignOp Expr
 Lambda = (ID | p:LambdaParams) '->' (Expr | b:Stmts)
 LambdaParams = Formals | ID (',' ID)*
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>='
-Ternary = Binary ('?' Expr ':' (Lambda | Ternary))?
+Ternary = Binary ('?' Expr ':' (Lambda | Ternary) | @noquery)
 Binary = Unary (BinOp Unary | 'instanceof' 'final'? Type ID?)*
 BinOp = '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%'
 Unary = ('+' | '-' | '!' | '~' | '++' | '--') Unary | p:CastType (Unary | Lambda) | Postfix
@@ -169,7 +177,7 @@ PatField = Attr* (('ref' | 'mut')* ID | (ID | NUM) ':' Pattern | '..')
 Block = ('#' '!' s:ANY)* Stmt* (Attr* Expr)?
 Stmt = ';' | Item | Attr* 'let' Pattern (':' Type)? ('=' Expr ('else' b:Block)?)? ';' | Attr* Expr ';' | Attr* Blocky
 Blocky = (LIFE ':')? (If | 'match' Expr b:Arms | 'while' Cond b:Block | 'loop' b:Block | 'for' Pattern 'in' Expr b:Block | b:Block) | ('unsafe' | 'async' 'move'? | 'const') b:Block
-If = 'if' Cond b:Block ('else' (If | b:Block))?
+If = 'if' Cond b:Block ('else' (If | b:Block) | @noelse)
 Cond = LetCond ('&&' LetCond)* | Expr
 LetCond = 'let' Pattern '=' Expr | Expr
 Arms = ('#' '!' s:ANY)* (Arm ',' | Attr* Pattern ('if' Cond)? '=>' Blocky ','?)* Arm?
@@ -179,9 +187,13 @@ Range = Bin (('..' | '..=') Bin?)? | ('..' | '..=') Bin?
 Closure = ('for' Gen)? 'static'? 'async'? 'move'? ('||' | '|' ClosureParams '|') (Expr | '->' Type b:Block)
 ClosureParams = (ClosureParam (',' ClosureParam)* ','?)?
 ClosureParam = Attr* Pat (':' Type)?
-Bin = Unary (BinOp (Unary | Jump) | 'as' Type)*
+Bin = Cmp (JoinOp (Cmp | Jump))*
+Cmp = Arith (CmpOp (Arith | Jump))?
+Arith = Unary (ArithOp (Unary | Jump) | 'as' Type)*
 Jump = ('return' | 'break' LIFE?) Expr? | 'continue' LIFE? | Closure
-BinOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<<' | '>' '>' | '+' | '-' | '*' | '/' | '%'
+JoinOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '^=' | '&=' | '|=' | '<<=' | '>' '>=' | '||' | '&&'
+CmpOp = '==' | '!=' | '<' | '>' | '<=' | '>='
+ArithOp = '|' | '^' | '&' | '<<' | '>' '>' | '+' | '-' | '*' | '/' | '%'
 Unary = ('-' | '!' | '*' | ('&' | '&&') ('raw' ('const' | 'mut'))? 'mut'?)* Postfix
 Postfix = Primary Suffix*
 Primary = NUM | STR | CHAR | 'true' | 'false' | ExprPath (b:StructLit)? | ExprPath '!' (p:ANY | s:ANY | b:ANY) | p:Exprs | s:ArrayLit | Blocky | '_'
@@ -194,11 +206,11 @@ FieldInit = Attr* ((ID | NUM) ':' Expr | ID)
 """
 
 SCRIPT = """
-Script = Stmt*
-Module = (Import | Export | Stmt)*
+Script = TStmt*
+Module = (Import | Export | TStmt)*
 EOS = ';' | @nl
 Stmts = Stmt*
-Stmt = b:Stmts | ';' | Decl | @nobrace @noword Expr EOS | 'if' p:Expr Stmt ('else' Stmt)? | 'for' 'await'? p:ForHead Stmt | 'while' p:Expr Stmt | 'do' Stmt 'while' p:Expr ';'? | ('continue' | 'break') ID? EOS | 'return' Expr? EOS | 'throw' Expr EOS | Try | 'switch' p:Expr b:Cases | ID ':' Stmt | 'debugger' EOS | 'with' p:Expr Stmt
+Stmt = b:Stmts | ';' | Decl | @nobrace @noword Expr EOS | 'if' p:Expr Stmt ('else' Stmt | @noelse) | 'for' 'await'? p:ForHead Stmt | 'while' p:Expr Stmt | 'do' Stmt 'while' p:Expr ';'? | ('continue' | 'break') ID? EOS | 'return' Expr? EOS | 'throw' Expr EOS | Try | 'switch' p:Expr b:Cases | ID ':' Stmt | 'debugger' EOS | 'with' p:Expr Stmt
 Decl = ('var' | 'let') Bind (',' Bind)* EOS | 'const' Const (',' Const)* EOS | Func | Class | TsDecl
 Bind = ID TsBang? Ann? ('=' Assign)? | Pat Ann? '=' Assign
 Const = Target Ann? '=' Assign
@@ -214,7 +226,7 @@ Param = Deco* TsMod* ('...' Target Ann? | (Target | 'this') '?'? Ann? ('=' Assig
 Class = Deco* TsAbstract? 'class' ID? TParams? ('extends' Left TArgs?)? Implements? b:Members
 Deco = '@' (ID ('.' NAME)* p:Args? | p:Expr)
 Members = (Member | ';')*
-Member = 'static' b:Stmts | Deco* ('static' | TsMod)* ('accessor'? Key TsOpt? Ann? ('=' Assign)? EOS | ('async'? '*'? | 'get' | 'set') Key TsOpt? TParams? p:Params RAnn? (b:Stmts | TsEnd) | TsIndex)
+Member = 'static' b:TStmts | Deco* ('static' | TsMod)* ('accessor'? Key TsOpt? Ann? ('=' Assign)? EOS | ('async'? '*'? | 'get' | 'set') Key TsOpt? TParams? p:Params RAnn? (b:Stmts | TsEnd) | TsIndex)
 Key = NAME | STR | NUM | s:Assign | PRIVATE
 ForHead = (('var' | 'let' | 'const') ForVar (',' ForVar)* | Expr)? ';' Expr? ';' Expr? | (('var' | 'let' | 'const') Target | Left) ('in' Expr | 'of' Assign)
 ForVar = Target Ann? ('=' Assign)?
@@ -223,17 +235,18 @@ Catch = 'catch' p:Caught? b:Stmts
 Caught = Target Ann?
 Cases = (('case' Expr | 'default') ':' Stmt*)*
 Expr = Assign (',' Assign)*
-Assign = Cond | Left AssignOp Assign | 'async'? (ID | TParams? p:Params RAnn?) '=>' (@nobrace Assign | b:Stmts) | 'yield' '*'? Assign?
+Assign = Cond @noassign | Left AssignOp Assign | 'async'? (ID | TParams? p:Params RAnn?) '=>' (@nobrace Assign | b:Stmts) | 'yield' '*'? Assign?
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '<<=' | '>' '>=' | '>' '>' '>=' | '&=' | '|=' | '^=' | '&&=' | '||=' | '??='
-Cond = Bin ('?' Assign ':' Assign)?
+Cond = Bin ('?' Assign ':' Assign | @noquery)
 Bin = (PRIVATE 'in')? Unary (BinOp Unary | TsAs)*
 BinOp = '??' | '||' | '&&' | '|' | '^' | '&' | '==' | '!=' | '===' | '!==' | '<' | '>' | '<=' | '>=' | 'instanceof' | 'in' | '<<' | '>' '>' | '>' '>' '>' | '+' | '-' | '*' | '/' | '%' | '**'
 Unary = ('delete' | 'void' | 'typeof' | '+' | '-' | '~' | '!' | 'await') Unary | ('++' | '--') Unary | Left ('++' | '--')? | TsCast
 Left = Prim Suffix*
 Suffix = '.' (NAME | PRIVATE) | '?.' (NAME | PRIVATE | s:Expr | TArgs? p:Args | TEMPLATE) | s:Expr | p:Args | TEMPLATE | TsSuffix
 Args = (('...'? Assign) (',' '...'? Assign)* ','?)?
-Prim = 'this' | 'super' | 'null' | 'true' | 'false' | ID | NUM | STR | REGEX | TEMPLATE | s:ArrLit | b:ObjLit | p:Expr | 'async'? 'function' '*'? ID? TParams? p:Params RAnn? b:Stmts | Class | 'new' Prim | 'new' '.' 'target' | 'import' (p:Args | '.' 'meta')
+Prim = 'this' | 'super' | 'null' | 'true' | 'false' | ID | NUM | STR | REGEX | TEMPLATE | ELEMENT | s:ArrLit | b:ObjLit | p:Expr | 'async'? 'function' '*'? ID? TParams? p:Params RAnn? b:Stmts | Class | 'new' Prim | 'new' '.' 'target' | 'import' (p:Args | '.' 'meta')
 ArrLit = ('...'? Assign)? (',' ('...'? Assign)?)*
+Slot = ('...'? Expr)?
 ObjLit = (Prop (',' Prop)* ','?)?
 Prop = '...' Assign | Key ':' Assign | ID ('=' Assign)? | ('async'? '*'? | 'get' | 'set') Key TParams? p:Params RAnn? b:Stmts
 Import = 'import' (STR | TsType? Clause 'from' STR) ('with' b:ObjLit)? EOS | TsImport
@@ -245,6 +258,20 @@ ExpSpecs = (ExpSpec (',' ExpSpec)* ','?)?
 ExpSpec = TsType? (NAME | STR) ('as' (NAME | STR))?
 """
 
+
+
+def _without_return(grammar: str) -> str:
+    """The rules of statements once more, named with a T, for places outside of functions."""
+    out = []
+    for line in grammar.splitlines():
+        name, _, body = line.partition(" = ")
+        if name in ("Stmt", "Stmts", "Try", "Catch", "Cases"):
+            out.append(f"T{name} = " + re.sub(r"\b(Stmts?|Try|Catch|Cases)\b", r"T\1", body.replace("'return' Expr? EOS | ", "")))
+    return "\n".join(out) + "\n"
+
+
+SCRIPT += _without_return(SCRIPT)
+
 PLAIN = "".join(f"{n} = NEVER\n" for n in "Ann RAnn TsBang TsEnd TsMod TsAbstract Implements TsOpt TsIndex TsAs TsCast TsSuffix TsType TsImport TsExport TsDecl TParams TArgs".split())
 
 TYPED = """
@@ -267,7 +294,7 @@ TsExport = '=' Expr EOS | 'as' 'namespace' ID EOS | 'import' ID '=' ID ('.' ID)*
 TsDecl = 'interface' ID TParams? ('extends' Types)? b:TypeMembers | 'type' ID TParams? '=' Type EOS | 'const'? 'enum' ID b:Enum | 'declare' (Decl | Ambient | 'global' b:Ambients) | ('namespace' | 'module') (ID ('.' ID)* | STR) (b:Ambients | EOS)
 Ambient = ('var' | 'let' | 'const') AmbientVar (',' AmbientVar)* EOS
 AmbientVar = ID Ann?
-Ambients = (Import | Export | Stmt | 'export'? Ambient)*
+Ambients = (Import | Export | TStmt | 'export'? Ambient)*
 Enum = (EnumItem (',' EnumItem)* ','?)?
 EnumItem = (NAME | STR | s:Assign) ('=' Assign)?
 TParams = '<' TParam (',' TParam)* ','? '>'
@@ -294,14 +321,15 @@ Block = Stmt+
 Stmt = Line | Compound
 Line = Small (';' Small)* ';'? NEWLINE
 Suite = Line | NEWLINE i:Block
-Small = StarExprs | Target AugOp (Yield | StarExprs) | StarTargets ':' Expr ('=' (Yield | StarExprs))? | (StarTargets '=')+ (Yield | StarExprs) | Yield | 'return' StarExprs? | 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | Names | p:NamesEnd) | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue' | 'del' Exprs | ('global' | 'nonlocal') ID (',' ID)* | 'assert' Expr (',' Expr)? | 'type' ID s:TParams? '=' Expr
+Small = StarExprs | Target AugOp (Yield | StarExprs) | Target ':' Expr ('=' (Yield | StarExprs))? | (StarTargets '=')+ (Yield | StarExprs) | Yield | 'return' StarExprs? | 'import' Dotted ('as' ID)? (',' Dotted ('as' ID)?)* | 'from' ('.' | '...')* Dotted? 'import' ('*' | Names | p:NamesEnd) | 'raise' (Expr ('from' Expr)?)? | 'pass' | 'break' | 'continue' | 'del' StarTargets | ('global' | 'nonlocal') ID (',' ID)* | 'assert' Expr (',' Expr)? | 'type' ID s:TParams? '=' Expr
 AugOp = '+=' | '-=' | '*=' | '/=' | '//=' | '%=' | '@=' | '&=' | '|=' | '^=' | '>>=' | '<<=' | '**='
 Dotted = ID ('.' ID)*
 Names = ID ('as' ID)? (',' ID ('as' ID)?)*
 NamesEnd = Names ','?
-Target = Primary
+Target = ID | Primary ('.' ID | s:Slices) | p:Target
 StarTargets = StarTarget (',' StarTarget)* ','?
-StarTarget = '*'? Primary
+StarTarget = '*'? (ID | Primary ('.' ID | s:Slices) | p:TargetList | s:TargetList)
+TargetList = StarTargets?
 Compound = 'if' Named ':' Suite ('elif' Named ':' Suite)* Else? | 'while' Named ':' Suite Else? | 'async'? 'for' StarTargets 'in' StarExprs ':' Suite Else? | 'try' ':' Suite (('except' '*'? (Exprs ('as' ID)?)? ':' Suite)+ Else? ('finally' ':' Suite)? | 'finally' ':' Suite) | 'async'? 'with' (WithItem (',' WithItem)* | p:WithItems) ':' Suite | Decorated | 'match' StarExprs ':' NEWLINE i:Cases
 Else = 'else' ':' Suite
 WithItem = Expr ('as' StarTarget)?
@@ -309,8 +337,14 @@ WithItems = WithItem (',' WithItem)* ','?
 Decorated = ('@' Named NEWLINE)* ('async'? 'def' ID s:TParams? p:Params ('->' Expr)? ':' Suite | 'class' ID s:TParams? p:Args? ':' Suite)
 TParams = TParam (',' TParam)* ','?
 TParam = ('*' | '**')? ID (':' Expr)? ('=' StarExpr)?
-Params = (Param (',' Param)* ','?)?
-Param = ID (':' Expr)? ('=' Expr)? | '*' (ID (':' StarExpr)?)? | '**' ID (':' Expr)? | '/'
+Params = (Pos (',' Star)? ','? | Star ','?)?
+Pos = Bares (',' '/')? (',' Defaults)? | Bares ',' '/' ',' Bares (',' Defaults)? | (Bares ',')? Defaults (',' '/' (',' Defaults)?)?
+Bares = Bare (',' Bare)*
+Defaults = Default (',' Default)*
+Bare = ID (':' Expr)?
+Default = ID (':' Expr)? '=' Expr
+Star = '*' ID (':' StarExpr)? (',' (Bare | Default))* (',' Stars)? | '*' (',' (Bare | Default))+ (',' Stars)? | Stars
+Stars = '**' ID (':' Expr)?
 Cases = ('case' Patterns ('if' Named)? ':' Suite)+
 Patterns = OpenPattern (',' OpenPattern)* ','?
 OpenPattern = '*' ID | Pattern
@@ -326,9 +360,15 @@ StarExprs = StarExpr (',' StarExpr)* ','?
 StarExpr = '*' BitOr | Named
 Exprs = Expr (',' Expr)* ','?
 Named = (ID ':=')? Expr
-Expr = 'lambda' LParams ':' Expr | Or ('if' Or 'else' Expr)?
-LParams = (LParam (',' LParam)* ','?)?
-LParam = ID ('=' Expr)? | '*' ID? | '**' ID | '/'
+Expr = 'lambda' LParams ':' Expr | Or ('if' Or 'else' Expr | @noif)
+LParams = (LPos (',' LStar)? ','? | LStar ','?)?
+LPos = LBares (',' '/')? (',' LDefaults)? | LBares ',' '/' ',' LBares (',' LDefaults)? | (LBares ',')? LDefaults (',' '/' (',' LDefaults)?)?
+LBares = LBare (',' LBare)*
+LDefaults = LDefault (',' LDefault)*
+LBare = ID
+LDefault = ID '=' Expr
+LStar = '*' ID (',' (LBare | LDefault))* (',' LStars)? | '*' (',' (LBare | LDefault))+ (',' LStars)? | LStars
+LStars = '**' ID
 Or = Not (('or' | 'and') Not)*
 Not = 'not'* Cmp
 Cmp = BitOr (CmpOp BitOr)*
@@ -336,11 +376,14 @@ CmpOp = '<' | '>' | '==' | '>=' | '<=' | '!=' | 'in' | 'not' 'in' | 'is' 'not'?
 BitOr = Unary (BinOp Unary)*
 BinOp = '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@'
 Unary = ('+' | '-' | '~')* Power
-Power = 'await'? Primary ('**' Unary)?
+Power = 'await'? Primary ('**' Unary | @nopower)
 Primary = Atom Trail*
 Trail = '.' ID | p:Args | s:Slices
-Args = (Arg (',' Arg)* ','?)? | Named Comp+
-Arg = Named | ID '=' Expr | '*' Expr | '**' Expr
+Args = (Arg (',' Arg)* (',' Keywords)? ','? | Keywords ','?)? | Named Comp+
+Arg = Named | '*' Expr
+Keywords = Keyword (',' Keyword)* (',' Rest)* | Rest (',' Rest)*
+Keyword = ID '=' Expr | '*' Expr
+Rest = '**' Expr | ID '=' Expr
 Slices = Slice (',' Slice)* ','?
 Slice = Expr? ':' Expr? (':' Expr?)? | StarExpr
 Atom = ID | NUM | STR+ | 'None' | 'True' | 'False' | '...' | p:Parens | s:ListItems | b:DictOrSet
@@ -354,11 +397,11 @@ FString = (Yield | StarExprs)
 """
 
 MEMO = {
-    "go": {"Top", "Stmt", "Expr", "Type", "Field", "Elt", "Import", "ConstSpec", "Param"},
+    "go": {"Top", "Stmt", "Expr", "Type", "Field", "Elt", "Import", "ConstSpec", "Param", "HExpr"},
     "java": {"Member", "BlockStmt", "Stmt", "Expr", "Type", "Ternary", "Formal", "Import", "Init", "Act", "Postfix", "Unary", "ClassType"},
-    "rust": {"Item", "Stmt", "Expr", "Type", "Pattern", "Arm", "Path", "FieldDef", "Blocky", "Bin", "Postfix", "Unary"},
-    "javascript": {"Stmt", "Assign", "Member", "Prop", "Import", "Export", "Left", "Cond", "Unary"},
-    "python": {"Stmt", "Line", "Suite", "Expr", "StarExprs", "BitOr", "Primary", "StarTargets", "Arg", "Param", "Small"},
+    "rust": {"Item", "Stmt", "Expr", "Type", "Pattern", "Arm", "Path", "FieldDef", "Blocky", "Cmp", "Postfix", "Unary"},
+    "javascript": {"Stmt", "TStmt", "Assign", "Member", "Prop", "Import", "Export", "Left", "Cond", "Unary"},
+    "python": {"Stmt", "Line", "Suite", "Expr", "StarExprs", "BitOr", "Primary", "StarTargets", "Arg", "Bare", "Default", "Small"},
 }
 MEMO["typescript"] = MEMO["javascript"] | {"Type", "TypeMember", "Union"}
 
@@ -373,6 +416,7 @@ LANGUAGES = {
 }
 
 
+@lru_cache(maxsize=None)
 def load(language: str) -> Grammar:
     text, starts = LANGUAGES[language]
     return Grammar(text, starts, MEMO[language])

@@ -78,14 +78,17 @@ _SPACE = {
 _SPACE["typescript"] = _SPACE["javascript"]
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _FIELD = re.compile(r"\{\s*[^\W\d][\w.]*\s*(?:![rsa])?(?::[^{}]*)?\}")
+_TAG = re.compile(r"<(/?)\s*([^\W\d][\w$.:-]*)?\s*")
+_ATTRIBUTE = re.compile(r"[^\W\d][\w$:-]*\s*(?:=\s*(\"[^\"]*\"|'[^']*'|(?=\{)))?\s*")
+_ELEMENT_TEXT = re.compile(r"[^<>{}]+")
 _QUOTES = "\"'`"
 
 
 class Language:
     """Grammar and lexer of one language, with the table of token texts seen so far."""
 
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, name: str, elements: bool = False):
+        self.name, self.elements = name, elements
         self.grammar: Grammar = grammars.load(name)
         self.script = name in ("javascript", "typescript")
         g = self.grammar
@@ -207,7 +210,7 @@ class Language:
     def _scan(self, text: str) -> list[int]:
         """Token by token, for script texts in which a slash or a back-tick needs what stands before it."""
         out, at, match, n = [], 0, self.pattern.match, len(text)
-        division = {self.id, self.num, self.str, self.grammar.token("TEMPLATE"), self.grammar.token("REGEX"), *CLOSE.values(), *[self.fixed[w] for w in ("this", "super", "null", "true", "false")]}
+        division = self._operands()
         before = None
         while at < n:
             m = match(text, at)
@@ -228,6 +231,10 @@ class Language:
                 out.append(self.grammar.token("TEMPLATE"))
                 before, at = out[-1], end
                 continue
+            elif word == "<" and self.elements and before not in division and (closed := self._element_end(text, start)) > 0:
+                out.append(self.grammar.token("ELEMENT"))
+                before, at = out[-1], closed
+                continue
             k = self.known.get(word)
             k = self.kind(word) if k is None else k
             out.append(k)
@@ -236,6 +243,76 @@ class Language:
             at = end
         return out
 
+    def _operands(self) -> set[int]:
+        """Tokens after which a slash divides and a less-than compares."""
+        g = self.grammar
+        return {self.id, self.num, self.str, g.token("TEMPLATE"), g.token("REGEX"), g.token("ELEMENT"), *CLOSE.values(), *[self.fixed[w] for w in ("this", "super", "null", "true", "false")]}
+
+    def _slot_end(self, text: str, at: int) -> int:
+        """One past the brace that closes the one at ``at``; -1 if there is none or what is between is no expression."""
+        j, depth, before, n = at + 1, 1, None, len(text)
+        while j < n and depth:
+            m = self.pattern.match(text, j)
+            if not m or not m[1]:
+                return -1
+            j, word = m.end(), m[1]
+            if word == "`":
+                j = self._template_end(text, m.start(1))
+            elif word == "<" and before not in self._operands() and (closed := self._element_end(text, m.start(1))) > 0:
+                j, word = closed, ")"
+            if j < 0:
+                return -1
+            depth += (word == "{") - (word == "}")
+            k = self.known.get(word)
+            before = (self.kind(word) if k is None else k) if not word.isspace() else before
+        return j if not depth and self._part(text[at + 1 : j - 1], "Slot") else -1
+
+    def _element_end(self, text: str, at: int) -> int:
+        """One past the element that begins at ``at``; -1 if there is none: tags close in turn, slots hold expressions."""
+        names, i, n = [], at, len(text)
+        while i < n:
+            if text[i] == "{":
+                i = self._slot_end(text, i)
+            elif text[i] != "<":
+                m = _ELEMENT_TEXT.match(text, i)
+                i = m.end() if m else -1
+            else:
+                m = _TAG.match(text, i)
+                i = m.end()
+                if m[1]:
+                    if not names or names.pop() != (m[2] or "") or text[i : i + 1] != ">":
+                        return -1
+                    i += 1
+                else:
+                    i, alone = self._attributes_end(text, i)
+                    if not alone:
+                        names.append(m[2] or "")
+            if i < 0:
+                return -1
+            if not names:
+                return i
+        return -1
+
+    def _attributes_end(self, text: str, i: int) -> tuple[int, bool]:
+        """(one past the tag whose attributes begin here or -1, whether the tag closes itself)."""
+        while True:
+            if text.startswith("/>", i):
+                return i + 2, True
+            if text[i : i + 1] == ">":
+                return i + 1, False
+            if text[i : i + 1] != "{":
+                m = _ATTRIBUTE.match(text, i)
+                if not m:
+                    return -1, True
+                i = m.end()
+                if m[1] != "":
+                    continue
+            i = self._slot_end(text, i)
+            if i < 0:
+                return -1, True
+            while text[i : i + 1].isspace():
+                i += 1
+
     def _template_end(self, text: str, at: int) -> int:
         """One past the template literal that begins at ``at``; -1 if it doesn't end or a slot holds no expression."""
         i, n = at + 1, len(text)
@@ -268,7 +345,7 @@ class Language:
         """The token tree of a text as the tokens of its outermost level; None if it isn't made of tokens."""
         words = self.pattern.findall(text)
         get, kind = self.known.get, self.kind
-        if self.script and ("/" in words or "/=" in words or "`" in words):
+        if self.script and ("/" in words or "/=" in words or "`" in words or self.elements and "<" in words):
             kinds = self._scan(text)
         else:
             kinds = [k if (k := get(w)) is not None else kind(w) for w in words]
@@ -314,7 +391,7 @@ class Language:
         group, newline = self.grammar.group, self.newline
         out: list[int] = []
         stack: list = []  # open brackets and blocks
-        columns, depth, column, fresh = [0], 0, 0, True
+        columns, depth, column, fresh = [(0, 0)], 0, (0, 0), True  # with tabs to every eighth column, and as one blank
         for w, k in zip(words, kinds, strict=True):
             if k == SKIP:
                 continue
@@ -323,19 +400,21 @@ class Language:
                     continue
                 if not fresh:
                     out.append(newline)
-                fresh, column = True, 0
+                fresh, column = True, (0, 0)
                 for c in w[1:]:
-                    column = column + 1 if c == " " else (column // 8 + 1) * 8 if c == "\t" else 0
+                    column = (column[0] + 1, column[1] + 1) if c == " " else ((column[0] // 8 + 1) * 8, column[1] + 1) if c == "\t" else (0, 0)
                 continue
             if k == BAD:
                 return None
             if fresh:
                 fresh = False
-                if column > columns[-1]:
+                if column[0] > columns[-1][0]:
+                    if column[1] <= columns[-1][1]:
+                        return None
                     columns.append(column)
                     stack.append(("i", out))
                     out = []
-                while column < columns[-1]:
+                while column[0] < columns[-1][0]:
                     columns.pop()
                     token = group("i", out)
                     out = stack.pop()[1]
@@ -369,8 +448,8 @@ class Language:
 
 
 @lru_cache(maxsize=None)
-def language(name: str) -> Language:
-    return Language(name)
+def language(name: str, elements: bool = False) -> Language:
+    return Language(name, elements)
 
 
 def without_nested_comments(text: str) -> str:
@@ -389,10 +468,12 @@ def without_nested_comments(text: str) -> str:
     return "".join(out) + (text[at:] if depth == 0 else "/*")
 
 
-def dialects(name: str, content: bytes) -> list[str]:
-    """The dialects of the language that accept the content; none if it is not valid source.
+def dialects(name: str, content: bytes, elements: bool = False) -> list[str]:
+    """The dialects of the language that accept the content; none if it is not valid source. With ``elements`` also
+    those with element syntax, asked where the plain ones reject it.
 
-    A byte-order mark and any line ends are allowed. Bytes that aren't UTF-8 are not valid source.
+    A byte-order mark and any line ends are allowed. Bytes that aren't UTF-8 are not valid source, nor are templates,
+    elements or format fields nested in each other deeper than the interpreter's stack.
     """
     try:
         text = content.decode("utf-8")
@@ -403,14 +484,21 @@ def dialects(name: str, content: bytes) -> list[str]:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     if text.startswith("#!") and name in ("javascript", "typescript", "rust") and not text.startswith("#!["):
         text = "\n" + text.partition("\n")[2]
-    lang = language(name)
     if not text.strip():
-        return list(lang.grammar.starts)
+        return list(language(name).grammar.starts)
     if name == "rust" and re.search(r"/\*(?:(?!\*/)[\s\S])*/\*", text):
         text = without_nested_comments(text)
     if name == "python":
         column = re.match(r"[ \t\f]*", text)[0]
         text = "\n" + column + text[len(column) :] if column else text
+    try:
+        found = _accepted(language(name), text)
+        return found if found or not elements else [f"{d}WithElements" for d in _accepted(language(name, True), text)]
+    except RecursionError:
+        return []
+
+
+def _accepted(lang: Language, text: str) -> list[str]:
     tokens = lang.tokens(text)
     return [] if tokens is None else lang.grammar.accepted_by(tokens)
 

@@ -31,14 +31,15 @@ def parsed(files: DataFrame) -> DataFrame:
     hot projects make no difference; files of unknown extension give no row, a null content counts as empty and an
     empty file is valid. A redelivered row gives the same row again.
     """
-    rows = files.select("file_id", language_of(F.col("path")).alias("language"), "content").where(F.col("language").isNotNull())
+    elements = F.lower("path").rlike(r"\.[jt]sx$")
+    rows = files.select("file_id", language_of(F.col("path")).alias("language"), "content", elements.alias("elements")).where(F.col("language").isNotNull())
     schema = "file_id long, language string, dialects array<string>"
     out = pa.schema([("file_id", pa.int64()), ("language", pa.string()), ("dialects", pa.list_(pa.string()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             languages, contents = batch.column(1).to_pylist(), batch.column(2)
-            found = [lexers.dialects(name, c.as_py() or b"") for name, c in zip(languages, contents, strict=True)]
+            found = [lexers.dialects(name, c.as_py() or b"", e) for name, c, e in zip(languages, contents, batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(found, pa.list_(pa.string()))], schema=out)
 
     return rows.mapInArrow(work, schema)

@@ -1,6 +1,7 @@
 import ast
 import glob
 import os
+import time
 import warnings
 
 import pytest
@@ -82,3 +83,55 @@ def test_operator(spark):
     runs = spark.createDataFrame([(1, 1, 4), (1, 1, 4), (2, 1, None)], "run_id long, project_id long, errors int")
     told = rates(files, runs)
     assert rows(told, "project_id", "language", "n_files", "n_broken", "reported_errors", "silent_runs") == [(1, "go", 1, 0, 4, 1), (1, "python", 1, 1, 4, 1), (2, "java", 1, 0, None, None), (2, "rust", 1, 0, None, None)]
+
+
+INVALID = {
+    "python": ["1 = x\n", "f() = 3\n", "a + 1 += 2\n", "for 1 in x: pass\n", "f(a=1, 2)\n", "f(**k, *a)\n", "f(**k, 1)\n", "def f(a=1, b): pass\n", "def f(*): pass\n", "def f(/, a): pass\n", "lambda a=1, b: 0\n", "x if y\n", "if x:\n\ty = 1\n        z = 2\n"],
+    "go": ["package a\nfunc f() {\n\tif x == T{} { }\n}\n", "package a\nfunc f() {\n\tfor x := range T{} { }\n}\n"],
+    "rust": ["fn f() { a < b < c; }", "fn f() { a == b == c; }"],
+    "javascript": ["return 1", "if (x) { return 1 }", "class A { static { return 1 } }", "<div/>"],
+    "typescript": ["namespace N { return 1 }", "const x = <div></div>;"],
+}
+STILL_VALID = {
+    "python": ["a, *b = c\n(a, b), [c, d] = e\nx.y = z[1] = 3\n(x): int\nx[1] += 2\ndel a, (b, c)\n() = x\nf(*a, b, c=1, *d, **e, g=2)\n", "def f(a, b=1, /, c=2, *, d, e=3, **k): pass\ndef g(a, /, b): pass\ndef h(*a, b): pass\ndef i(**k,): pass\nx = lambda a, /, b=1, *c, d=2, **e: 0\n", "y = [i for i in a if b if c]\nz = [i if a else b for i in c if d]\n"],
+    "go": ["package a\nfunc f() {\n\tfor _, x := range []int{1} { g(T{1}) }\n\tif (x == T{}) { }\n\tif v, ok := m[K{1}]; ok { } else if y { } else { }\n\tfor x < 3 { }\n}\n"],
+    "rust": ["fn f() { let x = a < b && c < d || e == f; x += a >> 2; let z = a & b != 0; for i in 0..n - 1 { } }"],
+    "javascript": ["function f() { if (a) { return 1 } else return b ? c : d ? e : f; } const g = a => b => a = b; class A { m() { return 1 } }"],
+    "typescript": ["const f = <T>(y: T) => { return y as T ? 1 : 2 }; type X = A extends B ? C : D; function g(a?: number, b = 1) { return a }"],
+}
+
+
+@pytest.mark.parametrize("name", list(INVALID))
+def test_more_of_what_the_languages_forbid(name):
+    assert [t for t in INVALID[name] if lexers.dialects(name, t.encode())] == []
+    assert [t for t in STILL_VALID[name] if not lexers.dialects(name, t.encode())] == []
+
+
+def test_elements_are_a_dialect_of_their_extensions():
+    good = "const x = <div className=\"a\" onClick={() => { go({a: 1}) }} {...p}>don't {y ? <b>z</b> : null} text {/* c */}<br/><></></div>;\nif (a < b) { c }"
+    assert lexers.dialects("javascript", good.encode(), True) == ["ScriptWithElements", "ModuleWithElements"]
+    assert lexers.dialects("javascript", good.encode()) == []
+    assert lexers.dialects("typescript", b"const f = <T,>(x: T) => x; const h = () => <A.B x={1} y='z'/>;", True)
+    for bad in ("const x = <div></p>;", "const x = <div>{1 +}</div>;", "const x = <div>;", "const x = <div a=b/>;"):
+        assert lexers.dialects("javascript", bad.encode(), True) == []
+
+
+CHAINS = {
+    "not": ("javascript", "x = ", "!", "y;"), "choice": ("javascript", "x = ", "a ? b : ", "c;"), "else if": ("javascript", "if (a) {b}", " else if (a) {b}", ""), "assignment": ("javascript", "", "a = ", "b;"), "arrow": ("javascript", "x = ", "a => ", "b;"),
+    "java choice": ("java", "class A { int x = ", "a ? b : ", "c; }"), "java else if": ("java", "class A { void f() { if (a) {b();}", " else if (a) {b();}", " } }"), "python choice": ("python", "x = ", "a if b else ", "c\n"), "python power": ("python", "x = ", "a ** ", "b\n"),
+    "python list": ("python", "x = [", "1, ", "]\n"), "go else if": ("go", "package a\nfunc f() {\nif a {\nb()\n}", " else if a {\nb()\n}", "\n}\n"), "rust else if": ("rust", "fn f() { if a { b() }", " else if a { b() }", " }"), "union": ("typescript", "type A = ", "'a' | ", "b;"),
+}
+
+
+@pytest.mark.parametrize("name", list(CHAINS))
+def test_chains_of_fifty_thousand(name):
+    language, before, link, after = CHAINS[name]
+    began = time.process_time()
+    assert lexers.dialects(language, (before + link * 50_000 + after).encode())
+    assert time.process_time() - began < 30  # seconds; a tenth of it on an idle machine
+
+
+def test_nesting_never_fails_a_task():
+    assert lexers.dialects("javascript", ("x = " + "(" * 50_000 + "a" + ")" * 50_000).encode())
+    assert lexers.dialects("javascript", ("x = " + "`${" * 50_000 + "a" + "}`" * 50_000).encode()) == []
+    assert lexers.dialects("javascript", ("x = " + "<a>" * 50_000 + "</a>" * 50_000).encode(), True)
