@@ -1,8 +1,9 @@
 """References to records that do not exist, found by a fixpoint over the foreign-key graph.
 
 A row is a direct orphan of a reference if the reference's own target is missing. It is an inherited orphan if its
-target exists but is itself an orphan. The second kind is found by rounds of semi-joins that go down the graph until
-a round adds nothing; each round joins only what the last one added.
+target exists but is itself an orphan; where several rows are its target, if all of them are. The second kind is found
+by rounds of semi-joins that go down the graph until a round adds nothing; each round looks only at references whose
+targets the last one has made orphans.
 """
 
 from __future__ import annotations
@@ -44,6 +45,13 @@ def _met(on: dict[str, str]):
     return met
 
 
+def _same(n: int):
+    met = F.lit(True)
+    for i in range(n):
+        met &= F.col(f"_t{i}").eqNullSafe(F.col(f"_s{i}"))
+    return met
+
+
 def orphans(references: Sequence[Reference]) -> DataFrame:
     """(tbl, ref_id, reason, orphan): every orphan row once per reason.
 
@@ -61,20 +69,19 @@ def orphans(references: Sequence[Reference]) -> DataFrame:
     handed = [r for r in references if r.parent]
     fresh = found.select("tbl", "ref_id").distinct()
     while True:
-        grown = None
-        for r in handed:
-            lost = fresh.where(F.col("tbl") == r.parent).select(F.col("ref_id").alias("_lost"))
-            gone = r.targets.join(lost, F.col("ref_id") == F.col("_lost"), "left_semi")
+        lately = {r.tbl for r in fresh.select("tbl").distinct().collect()}  # names of tables
+        grown, lost = None, found.select("tbl", "ref_id").distinct()
+        for r in [r for r in handed if r.parent in lately]:
+            of_parent = lambda df: df.where(F.col("tbl") == r.parent).select(F.col("ref_id").alias("_lost"))  # noqa: E731, B023
+            gone = r.targets.join(of_parent(fresh), F.col("ref_id") == F.col("_lost"), "left_semi")
+            standing = r.targets.join(of_parent(lost), F.col("ref_id") == F.col("_lost"), "left_anti")
             keys = _renamed(gone, r.on).distinct()
+            keys = keys.join(_renamed(standing, r.on).distinct().select(*[F.col(f"_t{i}").alias(f"_s{i}") for i in range(len(r.on))]), _same(len(r.on)), "left_anti")
             below = r.rows.select("ref_id", *r.on).join(keys, _met(r.on), "left_semi").select(F.lit(r.child).alias("tbl"), "ref_id", F.lit(r.name or r.child).alias("reason"), F.lit("inherited").alias("orphan"))
             grown = below if grown is None else grown.unionByName(below)
         if grown is None:
-            break
+            return found
         known = found.select("tbl", "ref_id", "reason")
         grown = cut(grown.distinct().join(known, ["tbl", "ref_id", "reason"], "left_anti"))
-        if grown.isEmpty():
-            break
-        fresh = grown.select("tbl", "ref_id").distinct().join(found.select("tbl", "ref_id").distinct(), ["tbl", "ref_id"], "left_anti")
+        fresh = cut(grown.select("tbl", "ref_id").distinct().join(lost, ["tbl", "ref_id"], "left_anti"))
         found = cut(found.unionByName(grown))
-        fresh = cut(fresh)
-    return found

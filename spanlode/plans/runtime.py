@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,19 +14,35 @@ from pyspark.sql import functions as F
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def _checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediate results; a temporary one where none is set, as in local tests."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for intermediate results, named in ``spark.checkpoint.dir``. Where that is
+    unset, a temporary one in local mode, as in tests; on a cluster an error, as no machine's own folder would do."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", ""):
-        return spark.conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _temporary()
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context._jsc.sc().getCheckpointDir().get()
+        context.setCheckpointDir(base)
+        _forget_at_exit(spark, context._jsc.sc().getCheckpointDir().get())  # a folder of this program's own below it
+    return base.rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_delete_written)
+    _WRITTEN.append((spark, path))
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed, so later reads don't run its plan again."""
-    _checkpoint_folder(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -33,11 +50,9 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the checkpoint folder: smaller than a checkpoint where values repeat, and later reads take
     the columns they need. The table is deleted when the program ends."""
     spark = df.sparkSession
-    path = f"{_checkpoint_folder(spark).rstrip('/')}/table-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
+    path = f"{shared_folder(spark)}/table-{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
     df.write.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_delete_written)
-    _WRITTEN.append((spark, path))
+    _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,6 +74,7 @@ def local_session(app: str = "spanlode", cores: str | int = "*", **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | conf
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in settings.items():

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanlode.plans.runtime import shared_folder
+
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster shares; a temporary one where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    name = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
-    return f"{base.rstrip('/')}/{name}" if base else os.path.join(tempfile.mkdtemp(prefix="spark-upkeep-"), name)
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below the one the cluster shares."""
+    return f"{shared_folder(spark)}/{spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()}"
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,7 +27,7 @@ def index_state(spark: SparkSession, source: str, schema: T.StructType, keys: li
     writes again replaces itself, so each event counts once. The state is the latest row over all parts: replaying
     events, late ones and copies change nothing. Files are read once each, and what the source drops later stays.
     """
-    folder = shared_folder(spark)
+    folder = new_folder(spark)
     at, _, name = source.rstrip("/").rpartition("/")
     source = f"{at}/[{name[0]}]{name[1:]}"  # as a pattern, a single file will do as well as a folder
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)

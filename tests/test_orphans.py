@@ -30,6 +30,15 @@ def test_empty_tables(spark):
     assert rows(orphans(chain(spark, [], [(1, 2)], [])), "tbl", "orphan") == [("kids", "direct")]
 
 
+def test_inherited_only_if_all_targets_are_orphans(spark):
+    """Name 1 has two definitions, one of them in a lost file; name 2 has two, both lost; name 3 has none."""
+    files = spark.createDataFrame([(1,)], "id long")
+    defs = spark.createDataFrame([(10, 1, 1), (11, 9, 1), (12, 8, 2), (13, 9, 2)], "ref_id long, file long, name long")
+    uses = spark.createDataFrame([(20, 1), (21, 2), (22, 3)], "ref_id long, name long")
+    got = orphans([Reference("defs", defs, files, {"file": "id"}), Reference("uses", uses, defs, {"name": "name"}, parent="defs")])
+    assert rows(got, "tbl", "ref_id", "orphan") == [("defs", 11, "direct"), ("defs", 12, "direct"), ("defs", 13, "direct"), ("uses", 21, "inherited"), ("uses", 22, "direct")]
+
+
 def test_cycle_ends(spark):
     a = spark.createDataFrame([(1, 2), (2, 1), (3, 9), (4, 3)], CHILD)
     got = orphans([Reference("a", a, a.select(F.col("ref_id").alias("id"), "ref_id"), {"parent": "id"}, parent="a")])
