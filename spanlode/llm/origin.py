@@ -1,15 +1,19 @@
 """Files that nobody wrote by hand for their project: generated, minified, vendored or data stored as code.
 
-Every file becomes a set of hashed five-token shingles in which identifiers, short strings and small numbers are masked. Phrases
-without a literal are the language's and everybody's, so the set keeps the shingles that hold one, unless the file has
-too few of those; then it keeps all. Files with the same set are one class. Classes meet
-through MinHash bands, each band's members against one of them at a time and at the end those that missed each other,
-and a meeting counts only if the exact Jaccard similarity of the two sets is at least 0.8; connected classes form a
-family. A family of several files that are made of literals is data, literals being masked there; another whose files
-lie in several projects is a vendored copy; one that repeats the same masked phrases over and over, or that recurs
-under other names within one project, is the output of a tool. What has no family is found by other means, tests of
-each file by itself that neither come from nor follow a family: a lone file of many literals, hashes of known
-third-party files, notices of generators and headers of releases in comments, and the layout of minified scripts.
+Every file becomes a set of hashed five-token shingles in which identifiers, short strings and small numbers are masked.
+Phrases without a literal are the language's and everybody's, so the set keeps the shingles that hold one. A file that
+has too few of those keeps all if it repeats itself, and else is described by its shingles unmasked: masked, there would
+be too little to tell it by. A file made of literals has its literals masked, or nothing if it is short. Files with the
+same set are one class. Classes meet through MinHash bands, each band's members against some of them at a time and at
+the end those that missed each other, and a meeting counts only if the exact Jaccard similarity of the two sets is at
+least 0.8; connected classes form a family. A family of several files that are made of literals is data; another whose
+files lie in several projects is a vendored copy; one that repeats the same masked phrases over and over, or that recurs
+under other names within one project, is the output of a tool. Files that do nothing but name, import and export
+modules are alike everywhere and form no family.
+
+What has no family is found by other means, tests of each file by itself that neither come from nor follow a family: a
+lone file of many literals, hashes of known third-party files, notices of generators and headers of releases in
+comments, and the layout of minified scripts.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +30,16 @@ from pyspark.sql import functions as F
 
 from spanlode.llm import lexers
 from spanlode.llm.syntax import language_of
-from spanlode.plans.runtime import cut, salt_of
+from spanlode.plans.runtime import cut, salt_of, written
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 32, 6  # a pair of similarity s shares a band in 1 - (1 - s ** ROWS) ** BANDS of all cases: 99.994 % at 0.8
 SHORT_STRING = 6  # with its quotes; shorter strings and numbers of up to two digits are masked
 LEAST_LITERAL_SHINGLES = 10  # from which only shingles with a literal count
-LEAST_TOKENS = 60
+LEAST_TOKENS = 60  # under which a file that repeats itself, or is made of literals, is described unmasked
 SALTS = 16
+HOT_PIVOT = 5_000  # meetings of one class in a round from which they are dealt over SALTS parts
 REPEATS = 4.0  # tokens per different phrase from which a file repeats itself
 LEAST_LITERAL_BYTES = 400
 LITERAL_TOKENS, LITERAL_BYTES = 0.6, 0.7
@@ -70,6 +76,24 @@ _WORDS = ("generated", "produced", "produit", "erzeugt", "generiert", "written",
 _RELEASE, _RIGHTS = re.compile(r"\b\w[\w.-]* (?:- )?(?:v|release |version )?\d+\.\d+(?:\.\d+)+\b", re.I), re.compile(r"licen[cs]e|copyright|\(c\)|©|redistribut", re.I)
 
 
+#: Lines that name, import and export modules, by language; what a file has besides is its own.
+MARKER_LINES = {
+    "go": r"package \w+|import .*|\)|(?:[\w.]+\s+)?\"[^\"]*\"",
+    "java": r"(?:package|import) .*;",
+    "rust": r"(?:pub(?:\([^)]*\))? )?(?:mod \w+;|use [^;]*;?|extern crate .*;)|[\w:, {}]*[},;]+|#!?\[.*\]",
+    "python": r"from\s+[\w.]+\s+import\s.*|import\s.*|__\w+__\s*=.*|[\])]|[\w, ]+,|(?:\"[^\"]*\"|'[^']*'),?",
+    "javascript": r"export \*.*|export (?:type )?\{[^}]*\}?.*|import .*|\}? ?from .*|[\w, ]+,|['\"]use strict['\"];?",
+}
+MARKER_LINES["typescript"] = MARKER_LINES["javascript"]
+_MARKER = {k: re.compile(rf"\s*(?:(?:{v})\s*)?(?://.*|#[^!\[].*)?" if k != "python" else rf"\s*(?:(?:{v})\s*)?(?:#.*)?") for k, v in MARKER_LINES.items()}
+_BLOCKS = re.compile(r"/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''")
+
+
+def is_marker(name: str, text: str) -> bool:
+    """Whether the file does nothing but name, import and export modules."""
+    return all(_MARKER[name].fullmatch(line) for line in _BLOCKS.sub("", text).split("\n"))
+
+
 class _Tokens:
     """Token texts to (hash, class), the class in the lowest two bits: 0 other, 1 literal, 2 identifier, 3 small number or short string;
     -1 is no token."""
@@ -147,8 +171,38 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return bands.view(np.int64)
 
 
-def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, int, bool, bool, bool, bool, bool, bool]:
-    """(shingles, band hashes, tokens, different phrases, only shingles with literals, literals only, minified, has a notice, has a third-party header, literals by share) of a file."""
+class Features(NamedTuple):
+    """What is known of one file: see ``features``."""
+
+    tokens: int = 0
+    phrases: int = 0
+    plain: bool = False
+    marker: bool = False
+    literal_only: bool = False
+    minified: bool = False
+    notice: bool = False
+    header: bool = False
+    literals: bool = False
+    shingles: np.ndarray = np.zeros(0, dtype=np.int32)
+    bands: np.ndarray = np.zeros(0, dtype=np.int64)
+
+
+def _shingled(hashes: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of every five consecutive tokens; a shorter text is filled up to one."""
+    if len(hashes) < SHINGLE:
+        hashes = np.concatenate([hashes, np.zeros(SHINGLE - len(hashes), dtype=np.uint64)])
+    mixed = np.zeros(len(hashes) - SHINGLE + 1, dtype=np.uint64)
+    for i in range(SHINGLE):
+        mixed += hashes[i : i + len(mixed)] * _WEIGHTS[i]
+    mixed ^= mixed >> np.uint64(33)
+    mixed *= np.uint64(0xFF51AFD7ED558CCD)
+    return (mixed >> np.uint64(32)).astype(np.uint32)
+
+
+def features(name: str, content: bytes) -> Features:
+    """The file's set of shingles and its bands, tokens, different phrases, and whether it is described ``plain``
+    (unmasked), a ``marker``, ``literals`` by share, ``literal_only`` by size too, ``minified``, or has a ``notice`` or a
+    third-party ``header``."""
     text = content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     table = _TABLES.get(name) or _TABLES.setdefault(name, _Tokens(name))
     get, code = table.known.get, table.code
@@ -157,7 +211,7 @@ def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, in
     codes = all_codes[all_codes >= 0].astype(np.uint64)
     notice, header = has_notice(name, text), third_party_header(text)
     if not len(codes):
-        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), 0, 0, False, False, False, notice, header, False
+        return Features(notice=notice, header=header)
     kinds = codes & np.uint64(3)
     literal = (kinds == 1) | (kinds == 3)
     separators = sum(map(words.count, ",:;-()[]{}"))
@@ -170,24 +224,21 @@ def features(name: str, content: bytes) -> tuple[np.ndarray, np.ndarray, int, in
         names = [len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 3 == 2))]
         minified = len(codes) >= 200 and bool(names) and sum(names) / len(names) < MINIFIED_NAME
     hashes = codes >> np.uint64(2)
-    if literals:
-        hashes = np.where(literal, np.uint64(3), hashes)
-    if len(hashes) < SHINGLE:
-        hashes = np.concatenate([hashes, np.zeros(SHINGLE - len(hashes), dtype=np.uint64)])
-    mixed = np.zeros(len(hashes) - SHINGLE + 1, dtype=np.uint64)
-    for i in range(SHINGLE):
-        mixed += hashes[i : i + len(mixed)] * _WEIGHTS[i]
-    mixed ^= mixed >> np.uint64(33)
-    mixed *= np.uint64(0xFF51AFD7ED558CCD)
-    mixed = (mixed >> np.uint64(32)).astype(np.uint32)
+    mixed = _shingled(np.where(literal, np.uint64(3), hashes) if literals else hashes)
     shingles = np.unique(mixed)
-    phrases, special = len(shingles), False
-    if not literals and len(codes) >= SHINGLE:
+    phrases, plain = len(shingles), len(codes) < LEAST_TOKENS
+    if not literals:
         held = np.concatenate([[0], np.cumsum(kinds == 1)])
-        own = np.unique(mixed[held[SHINGLE:] > held[:-SHINGLE]])
-        special = len(own) >= LEAST_LITERAL_SHINGLES
-        shingles = own if special else shingles
-    return shingles.view(np.int32), band_hashes(shingles), len(codes), phrases, special, only, minified, notice, header, literals
+        own = np.unique(mixed[held[SHINGLE:] > held[:-SHINGLE]]) if len(codes) >= SHINGLE else mixed[:0]
+        if len(own) >= LEAST_LITERAL_SHINGLES and len(codes) >= LEAST_TOKENS:
+            shingles = own
+        else:
+            plain |= len(codes) < REPEATS * phrases
+    if plain:
+        whole = np.array([zlib.crc32(words[i].encode()) for i in np.flatnonzero(all_codes >= 0)], dtype=np.uint64)
+        shingles = np.unique(_shingled(whole))
+    marker = is_marker(name, text)
+    return Features(len(codes), phrases, plain, marker, only, minified, notice, header, literals, shingles.view(np.int32), band_hashes(shingles))
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -196,28 +247,30 @@ def described(files: DataFrame) -> DataFrame:
         "file_id", F.coalesce("project_id", F.lit(-1)).alias("project_id"), F.xxhash64("path").alias("place"), language_of(F.col("path")).alias("language"), F.sha2("content", 256).alias("sha"), "content"
     )
     rows = rows.where(F.col("language").isNotNull())
-    schema = "file_id long, project_id long, place long, language string, sha string, tokens int, phrases int, special boolean, literal_only boolean, minified boolean, notice boolean, header boolean, literals boolean, shingles array<int>, bands array<long>"
-    out = pa.schema([
-        ("file_id", pa.int64()), ("project_id", pa.int64()), ("place", pa.int64()), ("language", pa.string()), ("sha", pa.string()), ("tokens", pa.int32()),
-        ("phrases", pa.int32()), ("special", pa.bool_()), ("literal_only", pa.bool_()), ("minified", pa.bool_()), ("notice", pa.bool_()), ("header", pa.bool_()), ("literals", pa.bool_()), ("shingles", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64())),
-    ])
+    flags = ("plain", "marker", "literal_only", "minified", "notice", "header", "literals")
+    schema = f"file_id long, project_id long, place long, language string, sha string, tokens int, phrases int, {', '.join(f'{f} boolean' for f in flags)}, shingles array<int>, bands array<long>"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.bool_() for _ in flags], pa.list_(pa.int32()), pa.list_(pa.int64())]
+    out = pa.schema(list(zip([f.split()[0] for f in schema.split(", ")], types, strict=True)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(name, c.as_py() or b"") for name, c in zip(batch.column(3).to_pylist(), batch.column(5), strict=True)]
             cols = [batch.column(i).cast(out.field(i).type) for i in range(5)]
-            cols += [pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), *[pa.array([f[i] for f in found], pa.bool_()) for i in range(4, 10)]]
-            cols += [pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            cols += [pa.array([f[i] for f in found], out.field(5 + i).type) for i in range(len(Features._fields))]
             yield pa.RecordBatch.from_arrays(cols, schema=out)
 
     return rows.mapInArrow(work, schema)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(class_id, pivot, share, n, similar): the exact Jaccard similarity of pairs of classes and the size of the first one's set."""
+    """(class_id, pivot, share, n, similar): the exact Jaccard similarity of pairs of classes and the size of the first
+    one's set. The meetings of a pivot that has many are dealt over parts, and its set goes to each of them."""
+    pairs = cut(pairs)
+    hot = pairs.groupBy("pivot").agg(F.count("*").alias("meetings")).select(F.col("pivot").alias("p"), F.when(F.col("meetings") > HOT_PIVOT, SALTS).otherwise(1).alias("parts"))
+    met = pairs.join(hot, F.col("pivot") == F.col("p")).select("class_id", "pivot", F.pmod(F.xxhash64("class_id"), F.col("parts")).alias("salt"))
     left = sets.select(F.col("class_id"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("class_id").alias("pivot"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "class_id").join(right, "pivot").withColumn("common", F.size(F.array_intersect("x", "y")))
+    right = sets.join(hot, F.col("class_id") == F.col("p")).select(F.col("p").alias("pivot"), F.col("shingles").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("salt"))
+    both = met.join(left, "class_id").join(right, ["pivot", "salt"]).withColumn("common", F.size(F.array_intersect("x", "y")))
     either = F.size("x") + F.size("y") - F.col("common")
     return both.select("class_id", "pivot", (F.col("common") / either).alias("share"), F.size("x").alias("n"), (F.col("common") >= SIMILAR * either).alias("similar"))
 
@@ -225,25 +278,33 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _clusters(rows: DataFrame) -> DataFrame:
     """(class_id, family): classes connected by pairs that share a band and are similar; classes without such a pair have no row.
 
-    Each band's members meet its first class; those not similar to it meet the first of themselves in the next round,
-    until none are left, so a round holds one pair a member and band at most. Only classes that share a band with
-    another are carried on, and only theirs are the sets that get exchanged. What never met is one member that left
-    with a pivot and one that stayed: such pairs meet at the end, unless they are of one family by then or can't be
-    similar by their sizes or by their distances to the pivot (Jaccard distance keeps the triangle inequality)."""
+    In every round each band's members meet some of themselves, the pivots: about one in the first, twice as many in
+    each round after it. Pivots and members similar to one leave, the others go on until none are left. A band of n
+    classes that aren't alike so ends after log2(n) rounds; no more of its pairs meet than those that have to, since
+    each member left unlike all others must have met them. Only classes that share a band with another are carried on,
+    and only theirs are the sets that get exchanged. What never met is one member that left with a pivot and one that
+    was unlike it: such pairs meet at the end, unless they are of one family by then or can't be similar by their sizes
+    or by their distances to the pivot (Jaccard distance keeps the triangle inequality)."""
     banded = rows.select("class_id", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "language"))).alias("band")).distinct()  # copies of a file end here
-    first = banded.groupBy("band").agg(F.min("class_id").alias("pivot"), F.max("class_id").alias("most")).where(F.col("pivot") < F.col("most"))
+    first = banded.groupBy("band").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where(F.col("least") < F.col("most"))
     members = cut(banded.join(first.select("band"), "band"))
     needed = members.select("class_id").distinct()
     sets = cut(rows.select("class_id", "shingles").join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.max("shingles").alias("shingles")))
-    met_all = None
+    met_all, wanted = None, 1
     while True:
-        first = members.groupBy("band").agg(F.min("class_id").alias("pivot"))
-        met = cut(members.join(first, "band").where(F.col("class_id") != F.col("pivot")))
+        size = members.groupBy("band").agg(F.min("class_id").alias("least"), F.count("*").alias("n"))
+        sized = members.join(size, "band")
+        chosen = F.pmod(F.xxhash64("class_id", "band", F.lit(wanted)), F.col("n")) < wanted - 1
+        sized = sized.withColumn("chosen", (F.col("class_id") == F.col("least")) | chosen)
+        pivots = sized.where("chosen").select("band", F.col("class_id").alias("pivot"))
+        met = cut(sized.select("class_id", "band", "chosen").join(pivots, "band").where((F.col("class_id") != F.col("pivot")) & (~F.col("chosen") | (F.col("class_id") > F.col("pivot")))))
         judged = cut(_compared(met.select("class_id", "pivot").distinct(), sets))
         met_all = judged if met_all is None else met_all.unionByName(judged)
-        members = cut(met.join(judged.where(~F.col("similar")).select("class_id", "pivot"), ["class_id", "pivot"], "left_semi").select("class_id", "band"))
+        told = met.where(~F.col("chosen")).join(judged.select("class_id", "pivot", "similar"), ["class_id", "pivot"])
+        members = cut(told.groupBy("class_id", "band").agg(F.max("similar").alias("leaves")).where(~F.col("leaves")).select("class_id", "band"))
         if members.isEmpty():
             break
+        wanted *= 2
     reach = 1 - SIMILAR + 1e-9
     close = cut(met_all.where("similar").distinct())
     links = close.select(F.col("class_id").alias("a"), F.col("pivot").alias("b"))
@@ -260,46 +321,48 @@ def _clusters(rows: DataFrame) -> DataFrame:
 
 
 def _families(links: DataFrame) -> DataFrame:
-    """(class_id, family): the smallest class each class is connected to; classes without links have no row."""
-    edges = cut(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("family")))
+    """(class_id, family): the smallest class each class is connected to; classes without links have no row.
+    Rounds write tables: what a checkpoint would tell the optimiser of its columns doubles with every round."""
+    edges = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("family")))
     while True:
         seen = edges.join(labels.select(F.col("a").alias("b"), F.col("family").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
         jump = labels.select(F.col("a").alias("family"), F.col("family").alias("root"))
         grown = labels.join(seen, "a").join(jump, "family", "left")
-        grown = cut(grown.select("a", F.least("family", "other", F.coalesce("root", F.col("family"))).alias("now"), "family"))
+        grown = written(grown.select("a", F.least("family", "other", F.coalesce("root", F.col("family"))).alias("now"), "family"))
         labels = grown.select("a", F.col("now").alias("family"))
         if grown.where(F.col("now") != F.col("family")).isEmpty():
             return labels.withColumnRenamed("a", "class_id")
 
 
 def origins(files: DataFrame, known: DataFrame) -> DataFrame:
-    """(file_id, kind): files that aren't hand-written, once per kind: ``vendored``, ``generated``, ``data``,
-    ``known``, ``notice``, ``header`` or ``minified``.
+    """(file_id, kind): files that aren't hand-written, once per kind: ``vendored``, ``generated`` and ``data`` by family,
+    ``known``, ``notice``, ``header``, ``literals`` and ``minified`` by the file itself.
 
     Files of unknown extension and null ids are left out; null and empty contents are never named. Redelivered rows
-    and a file that comes back under its path in its project count as one file. A file of fewer
-    than ``LEAST_TOKENS`` tokens, or with few literals of its own and without repetition, has too little to be told
-    by and forms no family, so package markers and re-exports stay. A file of literals that has no other of its shape
-    is data from ``LEAST_LITERAL_BYTES`` on, so that short lists kept by hand stay. ``known`` has sha256.
+    and a file that comes back under its path in its project count as one file. Files of any size have a family if they
+    have a like; only those that name, import and export modules and do nothing else have none. Files described unmasked
+    are copies if their family lies in several projects; within one project that says nothing. A file of literals that
+    has no other of its shape is named from ``LEAST_LITERAL_BYTES`` on, so that short lists kept by hand stay. ``known``
+    has sha256.
     """
     rows = cut(described(files).withColumn("class_id", F.xxhash64("language", "shingles")))
-    counted = rows.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("special") | F.col("literals") | (F.col("tokens") >= REPEATS * F.col("phrases"))))
+    counted = rows.where((F.col("tokens") > 0) & ~F.col("marker"))
     per_class = counted.groupBy("class_id").agg(
         F.min("project_id").alias("p0"), F.max("project_id").alias("p1"), F.min("place").alias("f0"), F.max("place").alias("f1"),
-        F.max("tokens").alias("tokens"), F.max("phrases").alias("phrases"), F.min("literals").alias("literals"),
+        F.max("tokens").alias("tokens"), F.max("phrases").alias("phrases"), F.min("literals").alias("literals"), F.max("plain").alias("plain"),
     )
     per_class = cut(per_class)
     family = _clusters(counted.select("class_id", "language", "bands", "shingles"))
     placed = per_class.join(family, "class_id", "left").withColumn("family", F.coalesce("family", "class_id"))
-    whole = placed.groupBy("family").agg((F.min("p0") < F.max("p1")).alias("several_projects"), (F.min("f0") < F.max("f1")).alias("several_places"), F.min("literals").alias("of_literals"))
+    whole = placed.groupBy("family").agg((F.min("p0") < F.max("p1")).alias("several_projects"), (F.min("f0") < F.max("f1")).alias("several_places"), F.min("literals").alias("of_literals"), F.max("plain").alias("of_plain"))
     judged = placed.join(whole, "family").withColumn("repeats", F.col("tokens") >= REPEATS * F.col("phrases"))
     blobs = F.when(F.col("several_projects") | F.col("several_places"), "data")
-    kind = F.when(F.col("of_literals"), blobs).when(F.col("repeats"), "generated").when(F.col("several_projects"), "vendored").when(F.col("several_places"), "generated")
+    kind = F.when(F.col("of_plain"), F.when(F.col("several_projects"), F.when(F.col("of_literals"), "data").otherwise("vendored"))).when(F.col("of_literals"), blobs).when(F.col("repeats"), "generated").when(F.col("several_projects"), "vendored").when(F.col("several_places"), "generated")
     by_class = judged.select("class_id", kind.alias("kind")).where(F.col("kind").isNotNull())
     clustered = counted.select("file_id", "class_id").join(by_class, "class_id").select("file_id", "kind")
     single = rows.select("file_id", F.explode(F.filter(F.array(
-        F.when(F.col("literal_only"), "data"), F.when(F.col("notice"), "notice"), F.when(F.col("header"), "header"), F.when(F.col("minified"), "minified")), lambda k: k.isNotNull())).alias("kind"))
+        F.when(F.col("literal_only"), "literals"), F.when(F.col("notice"), "notice"), F.when(F.col("header"), "header"), F.when(F.col("minified"), "minified")), lambda k: k.isNotNull())).alias("kind"))
     listed = known.where(F.col("sha256") != "").select(F.lower("sha256").alias("sha")).distinct()
     listed = rows.where(F.col("tokens") > 0).join(listed, "sha", "left_semi").select("file_id", F.lit("known").alias("kind"))
     return clustered.unionByName(single).unionByName(listed).distinct()

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from spanlode.llm.origin import _clusters, band_hashes, features, origins
+from spanlode.llm.origin import _clusters, band_hashes, features, is_marker, origins
 from tests.conftest import rows
 
 COLS = "file_id long, project_id long, path string, content binary, kind string, class_id long"
@@ -45,7 +45,7 @@ def test_families(spark):
     data += [(700, 1, "n.go", None), (701, None, "e.go", ""), (702, 1, None, "x"), (703, 1, "o.txt", "text")]
     data += [(800, 1, "m.js", "!function(t){" + "".join(f"t.a{i}=function(e,n){{return e+n*{i}}};" for i in range(60)) + "}(this)")]
     got = kinds(spark, data)
-    assert got == {100: {"vendored"}, 101: {"vendored"}, 102: {"vendored"}, 200: {"generated"}, 201: {"generated"}, 300: {"data"}, 400: {"notice"}, 800: got.get(800, set()) | {"minified"}}
+    assert got == {100: {"vendored"}, 101: {"vendored"}, 102: {"vendored"}, 200: {"generated"}, 201: {"generated"}, 300: {"literals"}, 400: {"notice"}, 800: got.get(800, set()) | {"minified"}}
 
 
 def test_known_hash_and_empty_tables(spark):
@@ -60,14 +60,14 @@ def test_known_hash_and_empty_tables(spark):
 def test_similarity_is_exact(spark):
     base = hand(9).splitlines(keepends=True)
     near, far = "".join(base[:-4] + base[-1:]), "".join(base[: len(base) // 2])
-    a, b, c = (set(features("go", t.encode())[0].tolist()) for t in ("".join(base), near, far))
+    a, b, c = (set(features("go", t.encode()).shingles.tolist()) for t in ("".join(base), near, far))
     assert len(a & b) / len(a | b) >= 0.8 > len(a & c) / len(a | c)
     got = kinds(spark, [(1, 1, "a.go", "".join(base)), (2, 2, "b.go", near), (3, 3, "c.go", far)])
     assert set(got) == {1, 2}
 
 
 def test_long_file():
-    assert features("python", b"x = [" + b"12345, " * 300_000 + b"]\n")[5]
+    assert features("python", b"x = [" + b"12345, " * 300_000 + b"]\n").literal_only
 
 
 def test_pairs_at_the_threshold_share_a_band():
@@ -92,4 +92,42 @@ def test_families_of_literals_are_data(spark):
     data = [(1, 1, "a/t.js", f"export const a = [{numbers(1, 50)}];\n"), (2, 2, "b/u.js", f"export const other = [{numbers(2, 70)}];\n")]  # each under 400 bytes
     data += [(3, 1, "list.py", f"CODES = [{numbers(3, 50)}]\n"), (4, 1, "lone.go", f"package p\n\nvar x = []int{{{numbers(4, 200)}}}\n")]
     data += [(5, 1, "h.js", hand(5)), (6, 2, "few.js", "export const a = [1000, 2000, 3000];\n")]
-    assert kinds(spark, data) == {1: {"data"}, 2: {"data"}, 4: {"data"}}
+    assert kinds(spark, data) == {1: {"data"}, 2: {"data"}, 4: {"literals"}}
+
+
+def test_small_files_have_families_too(spark):
+    """Copies of a few lines in two projects; the same lines with other names; module files, alike everywhere."""
+    small = lambda n: f"package p\n\nfunc {n}(a int) int {{\n\treturn a + {n}Base\n}}\n"
+    data = [(1, 1, "a/x.go", small("first")), (2, 2, "b/x.go", small("first")), (3, 3, "c/x.go", small("second")), (4, 3, "c/y.go", small("third")), (5, 4, "d.go", small("own")), (6, 4, "e.go", small("own"))]
+    data += [(10 + i, i, f"m{i}/index.ts", 'export * from "./main";\nexport { a, b } from "./other";\n') for i in range(4)]
+    assert kinds(spark, data) == {1: {"vendored"}, 2: {"vendored"}}
+
+
+def test_marker_files():
+    for name, text in {"go": 'package a\n\nimport (\n\t"fmt"\n)\n', "rust": "pub mod core;\nuse a::{b,\n c};\n", "python": '"""Doc\nstring."""\nfrom a import (\n    b,\n    c,\n)\n__all__ = ["b"]\n', "javascript": "'use strict';\nexport * from 'x'; // y\n", "java": "/* c */\npackage a.b;\n"}.items():
+        assert is_marker(name, text), text
+    for name, text in {"go": "package a\nvar x = 1\n", "rust": "mod a;\nfn f() {}\n", "python": "import a\na.f()\n", "javascript": "export const a = 1;\n", "java": "package a;\nclass B {}\n"}.items():
+        assert not is_marker(name, text), text
+
+
+def test_no_link_is_lost_in_crowded_bands(spark):
+    """Two hundred sets in one band, a few similar ones among them: families are those of brute force."""
+    r = random.Random(3)
+    sets = {i: set(r.sample(range(10_000), 60)) for i in range(1, 181)}
+    for i in range(181, 201):
+        base = sorted(sets[r.randint(1, i - 1)])
+        sets[i] = set(base[r.randint(0, 6) :]) | {20_000 + i}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = sorted((i, root(i)) for i in sets if sum(root(j) == root(i) for j in sets) > 1)
+    classes = spark.createDataFrame([(i, "go", [7], sorted(s)) for i, s in sets.items()], "class_id long, language string, bands array<long>, shingles array<int>")
+    assert rows(_clusters(classes), "class_id", "family") == want and len(want) > 20
