@@ -70,6 +70,19 @@ def at_cursor(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) ->
     return cursors.select("cursor_id", *place).join(best, place, "left").select("cursor_id", F.col("b.name").alias("name"), F.when(F.col("b.p") == 0, "definition").when(F.col("b.p") == 1, "usage").alias("source"))
 
 
+def definitions_at(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) -> DataFrame:
+    """(cursor_id, name, def_id, path, candidates): the definition that the identifier under each cursor leads to, of the
+    cursor's project and language (``project_id`` and ``lang`` of ``cursors``): the first in the cursor's file, else the
+    first of all; null and 0 without one. Both are looked up in aggregates, so no cursor meets all definitions of a name."""
+    found = at_cursor(cursors, definitions, usages).select("cursor_id", "name")
+    d = definitions_once(definitions).withColumn("o", in_order())
+    near = d.groupBy(*SYMBOL, F.col("file_id").alias("at_file")).agg(F.min("o").alias("near"))
+    far = d.groupBy(*SYMBOL).agg(F.min("o").alias("far"), F.count("*").alias("candidates"))
+    rows = cursors.select("cursor_id", "project_id", "lang", "at_file").join(found, "cursor_id").join(near, [*SYMBOL, "at_file"], "left").join(far, SYMBOL, "left")
+    to = F.coalesce("near", "far")
+    return rows.select("cursor_id", "name", to["def_id"].alias("def_id"), to["path"].alias("path"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+
+
 def word_at(text, col):
     """The identifier around the zero-based column of a line; empty where there is none."""
     before = F.regexp_extract(F.left(text, col), r"[\p{L}\p{Nd}_]*$", 0)

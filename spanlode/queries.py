@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
 from spanlode.functions.paths import resolved
-from spanlode.operators import corpus, graph, grouping, navigation, note_files, notes, patterns, render, resolution
+from spanlode.operators import captures, corpus, graph, grouping, navigation, note_files, notes, patterns, render, resolution
 from spanlode.operators.index_references import latest_notes, latest_symbols
 from spanlode.sources.tables import files_in_index, once, read
 from spanlode.streaming import upkeep
@@ -124,10 +124,13 @@ def capped_matches(spark, root):
 
 
 def note_markdown(spark, root):
-    """Every note written as markdown with its symbols and read back."""
+    """Every note written as markdown with its symbols and its chunks as body, and read back."""
+    chunks = _chunks(spark, root).groupBy("memory_uid").agg(F.array_sort(F.collect_list(F.struct("chunk_ordinal", "chunk_heading", "chunk_text"))).alias("c"))  # the chunks of one note
+    part = lambda c: F.concat_ws("\n", F.when(c["chunk_heading"] != "", F.concat(F.lit("## "), c["chunk_heading"])), F.coalesce(c["chunk_text"], F.lit("")))
+    bodies = chunks.select("memory_uid", F.array_join(F.transform("c", part), "\n\n").alias("body"))
     symbols = latest_symbols(spark, root).groupBy("memory_id").agg(F.array_sort(F.collect_list(F.struct("language", "name", F.coalesce("status", F.lit("active")).alias("status")))).alias("symbols"))  # the symbols of one note
-    rows = latest_notes(spark, root).join(once(read(spark, root, "memories").select("memory_id", "title"), "memory_id"), "memory_id").join(symbols, "memory_id", "left")
-    rows = rows.select("memory_id", F.col("memory_uid").alias("id"), "scope", F.col("file_path").alias("file"), "title", "status", F.col("file_status").alias("fileStatus"), F.lit("body\n").alias("body"), F.coalesce("symbols", F.array().cast("array<struct<language:string,name:string,status:string>>")).alias("symbols"))
+    rows = latest_notes(spark, root).join(once(read(spark, root, "memories").select("memory_id", "title"), "memory_id"), "memory_id").join(symbols, "memory_id", "left").join(bodies, "memory_uid", "left")
+    rows = rows.select("memory_id", F.col("memory_uid").alias("id"), "scope", F.col("file_path").alias("file"), "title", "status", F.col("file_status").alias("fileStatus"), F.coalesce("body", F.lit("")).alias("body"), F.coalesce("symbols", F.array().cast("array<struct<language:string,name:string,status:string>>")).alias("symbols"))
     back = note_files.parsed(note_files.written(rows).select("memory_id", "markdown"))
     return back.select("memory_id", "id", "scope", "file", "title", "status", "fileStatus", F.size("symbols").alias("n_symbols"), "body")
 
@@ -240,6 +243,27 @@ def structural_matches(spark, root):
     return per_file.join(files, "file_id").groupBy("project_id", "language", "kind").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_matches"), F.max("n").alias("most"))
 
 
+def captured_usages(spark, root):
+    """Usages found in the source text itself."""
+    return captures.captured_usages(read(spark, root, "source_files"))
+
+
+def undefined_usages(spark, root):
+    """Per language and kind the usages in source text, and those of names that their own file doesn't define."""
+    files = read(spark, root, "source_files")
+    defined = corpus.captures(corpus.lines(files)).select("file_id", "name").distinct().withColumn("here", F.lit(True))
+    met = captures.captured_usages(files).join(defined, ["file_id", "name"], "left")
+    away = (F.col("kind") != "import") & F.col("here").isNull()
+    return met.groupBy("language", "kind").agg(F.count("*").alias("n_usages"), F.count_if(away).alias("defined_elsewhere"))
+
+
+def definitions_at_cursors(spark, root):
+    """Where the identifier under a cursor leads, one column into every usage: in the same file first."""
+    u, d = _pair(spark, root)
+    cursors = navigation.usages_once(u).select(F.col("usage_id").alias("cursor_id"), "project_id", "lang", F.col("file_id").alias("at_file"), F.col("start_line").alias("at_line"), (F.col("start_col") + 1).alias("at_col"))
+    return navigation.definitions_at(cursors, d, u)
+
+
 def note_sections(spark, root):
     """Sections of every document."""
     return notes.sections(read(spark, root, "documents").select("doc_id", "text"))
@@ -297,5 +321,6 @@ QUERIES = {
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
         streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status, note_title_searches,
+        captured_usages, undefined_usages, definitions_at_cursors,
     )
 }

@@ -139,9 +139,50 @@ _RESOLVED_ON_LINE = _RESOLVED.replace(f"{_FIT} AS w", f"{_FIT} * {_ON_LINE} AS w
 _MAKES = " OR ".join(f"contains(line, '{a}' || name || '{b}')" for a, b in (("new ", "("), ("new ", "{"), ("new ", " {"), ("&", "{"), ("&", " {"), ("", "{"), ("", " {"), ("", "::new"), ("", "::New")))
 _CLEAN = "array_to_string(list_reduce(list_prepend([], list_transform(list_filter(string_split({p}, '/'), lambda s: s NOT IN ('', '.')), lambda s: [s])), lambda a, s: CASE WHEN s[1] = '..' THEN a[:-2] ELSE a || s END), '/')"
 _CALLS = "SELECT file_id, path, lang, name, start_line, start_col, min(usage_id) AS id FROM usages WHERE kind = 'call' AND name IN ('get', 'append', 'run') GROUP BY ALL"
+_C_TEXT = r'/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+#: Comments and texts of a language, which hold no names.
+_TEXTS = {
+    "go": r"//[^\n]*|`[^`]*`|" + _C_TEXT, "java": r"//[^\n]*|" + _C_TEXT, "rust": r'//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\]|\\[\s\S])*"|\'(?:[^\'\\\n]|\\.)\'|\'\w+',
+    "javascript": r"//[^\n]*|`[^`]*`|" + _C_TEXT, "typescript": r"//[^\n]*|`[^`]*`|" + _C_TEXT,
+    "python": r'#[^\n]*|"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'',
+}
+#: Words that are no names.
+_NO_NAMES = {
+    "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false",
+    "java": "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static super switch synchronized this throw throws transient try void volatile while true false null var record",
+    "rust": "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while",
+    "javascript": "async await break case catch class const continue debugger default delete do else enum export extends false finally for from function get if import in instanceof let new null of return set static super switch this throw true try typeof undefined var void while with yield",
+    "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return self try while with yield",
+}
+_NO_NAMES["typescript"] = _NO_NAMES["javascript"] + " abstract any as boolean constructor declare implements interface keyof namespace never number object private protected public readonly string type unknown"
+_REST = r"\n|[^\S\n]+|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][A-Za-z0-9_.]*|:=|->|=>|===?|!==?|<=|>=|[-+*/%&|^]=|[^\sA-Za-z0-9_$]"
+_CUT = "CASE language " + " ".join("WHEN '{}' THEN regexp_extract_all(t, '{}')".format(k, (v + "|" + _REST).replace("'", "''")) for k, v in _TEXTS.items()) + " END"
+_NAMELESS = "CASE language " + " ".join("WHEN '{}' THEN w IN ('{}')".format(k, "', '".join(v.split())) for k, v in _NO_NAMES.items()) + " END"
+_USED = f"""src AS (SELECT DISTINCT ON (file_id) file_id, {_LANGUAGE} AS language, regexp_replace(replace(replace(decode(content), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\ufeff', '') AS t FROM source_files),
+ cut AS (SELECT file_id, language, {_CUT} AS ws FROM src WHERE language IS NOT NULL), tok AS (SELECT file_id, language, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM cut),
+ pos AS (SELECT *, sum(length(w)) OVER o - length(w) AS at_char, 1 + sum(length(w) - length(replace(w, chr(10), ''))) OVER o - (length(w) - length(replace(w, chr(10), ''))) AS line,
+   sum((w = chr(10))::INT) OVER o AS seg, w LIKE '//%' OR w LIKE '/*%' OR (language = 'python' AND w LIKE '#%') AS comment FROM tok WINDOW o AS (PARTITION BY file_id ORDER BY i)),
+ ends AS (SELECT *, coalesce(max(CASE WHEN contains(w, chr(10)) THEN at_char + length(w) - position(chr(10) IN reverse(w)) + 1 END) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM pos),
+ near AS (SELECT *, coalesce(lead(w) OVER (PARTITION BY file_id ORDER BY i), '') AS after FROM ends WHERE NOT regexp_full_match(w, '[^\\S\\n]+')),
+ told AS (SELECT *, coalesce(lag(w) OVER s, '') AS before, first_value(w) OVER s AS head FROM near WHERE w <> chr(10) AND NOT comment WINDOW s AS (PARTITION BY file_id, seg ORDER BY i)),
+ imp AS (SELECT *, CASE language WHEN 'java' THEN head IN ('import', 'package') WHEN 'rust' THEN head IN ('use', 'mod') WHEN 'python' THEN head IN ('import', 'from') ELSE head = 'import' END AS imports FROM told),
+ used AS (SELECT file_id, language, w AS name, CASE WHEN imports THEN 'import' WHEN before = '@' OR (language = 'rust' AND head = '#') THEN 'annotation'
+   WHEN before IN ('extends', 'implements') OR (language = 'python' AND head = 'class') OR (language = 'rust' AND before = 'impl' AND after = 'for') THEN 'inherit'
+   WHEN before IN (':', '->', 'new', '<', 'instanceof') AND regexp_matches(w, '^[A-Z]') THEN 'type_ref' WHEN after = '(' THEN 'call' WHEN after IN ('=', ':=', '+=', '-=', '*=', '/=', '%=', '&=', '|=', '^=') THEN 'write' ELSE 'read' END AS kind,
+   line::INTEGER AS start_line, (at_char - begins)::INTEGER AS start_col FROM imp
+  WHERE regexp_matches(w, '^[A-Za-z_$]') AND NOT ({_NAMELESS}) AND NOT (NOT imports AND before IN ('func', 'function', 'def', 'fn', 'class', 'struct', 'interface', 'enum', 'trait', 'type', 'mod', 'package', 'namespace', 'const', 'let', 'var', 'static', 'mut', 'record')))"""
 _GLOBS = {"tests": "[^/]*_test\\.go", "scripts": "scripts/[^/]*", "internal_one_deep": "internal/[^/]*/[^/]*", "typescript": "[^/]*\\.[mt]s[^/]*", "one_letter": "[^/]ib/[^/]*\\.rs"}
 
 SQL = {
+    "definitions_at_cursors": f"""WITH {_U}, {_D}, c AS (SELECT usage_id AS cursor_id, project_id, lang, file_id, start_line, start_col + 1 AS col FROM u),
+ s AS (SELECT file_id, start_line, start_col, end_col, name, 0 AS p FROM definitions UNION SELECT file_id, start_line, start_col, end_col, name, 1 FROM usages),
+ m AS (SELECT c.*, s.name, row_number() OVER (PARTITION BY c.cursor_id ORDER BY s.p, s.start_col, s.name) AS r FROM c LEFT JOIN s ON s.file_id = c.file_id AND s.start_line = c.start_line AND c.col BETWEEN s.start_col AND s.end_col),
+ k AS (SELECT m.cursor_id, m.name, d.def_id, d.path, count(d.def_id) OVER (PARTITION BY m.cursor_id) AS candidates,
+   row_number() OVER (PARTITION BY m.cursor_id ORDER BY CASE WHEN d.file_id = m.file_id THEN 0 ELSE 1 END, {_ORDER}, d.path, d.start_line, d.start_col, d.def_id) AS r FROM (SELECT * FROM m WHERE r = 1) m LEFT JOIN d USING (project_id, name, lang))
+ SELECT cursor_id, name, def_id, path, candidates FROM k WHERE r = 1""",
+    "captured_usages": f"WITH {_USED} SELECT DISTINCT file_id, language, name, kind, start_line, start_col FROM used",
+    "undefined_usages": f"""WITH {_USED}, {_LINES}, {_CAPTURES} SELECT u.language, u.kind, count(*) AS n_usages, count(*) FILTER (u.kind <> 'import' AND (u.file_id, u.name) NOT IN (SELECT file_id, name FROM captures)) AS defined_elsewhere
+ FROM (SELECT DISTINCT * FROM used) u GROUP BY ALL""",
     "resolution_scores_by_line": f"WITH {_U}, {_D}, {_LINES}, {_RESOLVED_ON_LINE} SELECT usage_id, candidates, confidence, best_def_id FROM resolved",
     "coupling_scores_by_line": f"""WITH {_U}, {_LINES}, s AS (SELECT usage_id, u.name, l.line, {_COUPLING} AS b FROM u LEFT JOIN lines l ON l.file_id = u.file_id AND l.line_no = u.start_line)
  SELECT usage_id, line IS NOT NULL AS has_line, CASE WHEN b >= 0.99 OR coalesce(line, '') = '' THEN b WHEN contains(line, 'extends ' || name) OR contains(line, 'implements ' || name) THEN 1.0 WHEN {_MAKES} THEN greatest(b, 0.95) ELSE b END::DOUBLE AS score FROM s""",
@@ -155,8 +196,8 @@ SQL = {
  SELECT file_id, a AS first_line, code FROM r""",
     "pattern_matches": f"SELECT file_id, path, lang, name, start_line, start_col, min(def_id) AS id FROM definitions WHERE kind = 'function' AND regexp_matches(name, '^get') AND lang <> 'java' GROUP BY ALL UNION ALL {_CALLS}",
     "capped_matches": f"SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY path, start_line, start_col, name, id) AS r FROM ({_CALLS})) WHERE r <= 100 ORDER BY path, start_line, start_col, name, id LIMIT 500",
-    "note_markdown": """WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
- SELECT n.memory_id, memory_uid AS id, coalesce(nullif(scope, ''), 'project') AS scope, coalesce(file_path, '') AS file, coalesce(title, '') AS title, status, file_status AS "fileStatus", coalesce(c.n, 0)::INTEGER AS n_symbols, 'body' || chr(10) AS body FROM n LEFT JOIN c USING (memory_id)""",
+    "note_markdown": f"""WITH {_CHUNKS}, b AS (SELECT memory_uid, string_agg(CASE WHEN chunk_heading <> '' THEN '## ' || chunk_heading || chr(10) ELSE '' END || coalesce(chunk_text, ''), chr(10) || chr(10) ORDER BY chunk_ordinal) AS body FROM chunks GROUP BY 1), n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), s AS (SELECT memory_symbol_id, arg_max(memory_id, coalesce(last_resolved_at, TIMESTAMPTZ '0001-01-01 00:00:00+00')) AS memory_id FROM memory_symbols GROUP BY 1), c AS (SELECT memory_id, count(*) AS n FROM s GROUP BY 1)
+ SELECT n.memory_id, memory_uid AS id, coalesce(nullif(scope, ''), 'project') AS scope, coalesce(file_path, '') AS file, coalesce(title, '') AS title, status, file_status AS "fileStatus", coalesce(c.n, 0)::INTEGER AS n_symbols, CASE WHEN coalesce(b.body, '') = '' THEN '' ELSE regexp_replace(replace(b.body || CASE WHEN right(b.body, 1) = chr(10) THEN '' ELSE chr(10) END, chr(13) || chr(10), chr(10)), '^\\n+', '') END AS body FROM n LEFT JOIN c USING (memory_id) LEFT JOIN b USING (memory_uid)""",
     "note_upserts": f"""SELECT memory_id, max(updated_at) AS updated_at, arg_max(title, updated_at) AS title, arg_max(file_path, updated_at) AS file_path, arg_max(body_hash, updated_at) AS body_hash FROM memories WHERE updated_at < TIMESTAMPTZ '{CHANGED}+00' OR updated_at >= TIMESTAMPTZ '{CHANGED}+00' GROUP BY memory_id""",
     "note_file_status": f"""WITH n AS (SELECT DISTINCT ON (memory_id) * FROM memories ORDER BY memory_id, updated_at DESC, status DESC, file_status DESC), l AS (SELECT DISTINCT project_id, path FROM source_files WHERE removed_at IS NULL)
  SELECT memory_id, file_status, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.project_id = n.project_id AND l.path = {_CLEAN.format(p="n.file_path")}) THEN 'active' ELSE 'deleted' END AS should_be FROM n WHERE scope = 'file' AND file_path <> ''""",
