@@ -101,6 +101,7 @@ class _Tokens:
     def __init__(self, name: str):
         self.lang = lexers.language(name)
         self.known: dict[str, int] = {}
+        self.separators = np.array([self.code(c) for c in ",:;-()[]{}"])
 
     def code(self, text: str) -> int:
         if not text or text.isspace() or text.startswith("/*"):
@@ -214,7 +215,7 @@ def features(name: str, content: bytes) -> Features:
         return Features(notice=notice, header=header)
     kinds = codes & np.uint64(3)
     literal = (kinds == 1) | (kinds == 3)
-    separators = sum(map(words.count, ",:;-()[]{}"))
+    separators = int(np.isin(all_codes, table.separators).sum())
     share = float(literal.sum()) / max(1, len(codes) - separators)
     literal_bytes = sum(len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 1 == 1)))
     literals = share >= LITERAL_TOKENS or literal_bytes >= LITERAL_BYTES * max(1, len(text))
@@ -285,9 +286,9 @@ def _clusters(rows: DataFrame) -> DataFrame:
     and only theirs are the sets that get exchanged. What never met is one member that left with a pivot and one that
     was unlike it: such pairs meet at the end, unless they are of one family by then or can't be similar by their sizes
     or by their distances to the pivot (Jaccard distance keeps the triangle inequality)."""
-    banded = rows.select("class_id", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "language"))).alias("band")).distinct()  # copies of a file end here
+    banded = rows.select("class_id", F.explode(F.transform("bands", lambda b: F.xxhash64(b, "language"))).alias("band"))
     first = banded.groupBy("band").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where(F.col("least") < F.col("most"))
-    members = cut(banded.join(first.select("band"), "band"))
+    members = cut(banded.join(first.select("band"), "band", "left_semi").distinct())  # copies of a file end here
     needed = members.select("class_id").distinct()
     sets = cut(rows.select("class_id", "shingles").join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.max("shingles").alias("shingles")))
     met_all, wanted = None, 1
