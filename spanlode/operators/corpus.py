@@ -113,6 +113,15 @@ def reconcile(listing: DataFrame, index: DataFrame, keys: list[str], digest: str
 
 
 def snapshot(files: DataFrame, at) -> DataFrame:
-    """(project_id, path, sha256): what was in the index at a time; of several files under one path the latest."""
+    """(project_id, path, sha256, file_id): what was in the index at a time; of several files under one path the latest."""
     held = files.where((F.col("indexed_at") <= at) & (F.col("removed_at").isNull() | (F.col("removed_at") > at)))
-    return held.groupBy("project_id", "path").agg(F.max(F.struct("indexed_at", "file_id", "sha256")).alias("r")).select("project_id", "path", "r.sha256")
+    return held.groupBy("project_id", "path").agg(F.max(F.struct("indexed_at", "file_id", "sha256")).alias("r")).select("project_id", "path", "r.sha256", "r.file_id")
+
+
+def applied(held: DataFrame, listed: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
+    """A table after the actions of ``reconcile``: rows of keys to index come from ``listed``, rows of keys to delete go,
+    the rest stay. For children of the keyed rows too: all of a key's children are replaced together. Both tables have
+    the same columns. Applying the same actions again changes nothing."""
+    changed = actions.where(F.col("action") != "skip").select(*keys)
+    stay = held.join(changed, keys, "left_anti")
+    return stay.unionByName(listed.join(actions.where(F.col("action") == "index").select(*keys), keys, "left_semi").select(*stay.columns))

@@ -196,11 +196,40 @@ def graph_metrics(spark, root):
     return graph.graph_metrics(*_pair(spark, root))
 
 
-def index_changes(spark, root):
-    """What a reconcile between two days would do to every path."""
+PLACE = ["project_id", "path"]
+
+
+def _snapshots(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     files = once(read(spark, root, "source_files").select("file_id", "project_id", "path", "sha256", "indexed_at", "removed_at"), "file_id")
     old, new = (corpus.snapshot(files, F.to_timestamp(F.lit(t + "+00:00"))) for t in (BEFORE, AFTER))
-    return corpus.reconcile(new, old, ["project_id", "path"], "sha256")
+    return old, new
+
+
+def index_changes(spark, root):
+    """What a reconcile between two days would do to every path."""
+    old, new = _snapshots(spark, root)
+    return corpus.reconcile(new, old, PLACE, "sha256")
+
+
+def _children(spark: SparkSession, root: str, snapshot: DataFrame) -> DataFrame:
+    files = read(spark, root, "source_files").join(snapshot.select("file_id"), "file_id", "left_semi")
+    return corpus.captures(corpus.lines(files)).drop("path").join(snapshot.select("file_id", *PLACE), "file_id").select(*PLACE, "file_id", "kind", "name", "line_no")
+
+
+def reindexed_definitions(spark, root):
+    """The definitions in the index after a reconcile: those of changed paths captured anew, those of deleted ones gone."""
+    old, new = _snapshots(spark, root)
+    actions = corpus.reconcile(new, old, PLACE, "sha256")
+    changed = new.join(actions.where(F.col("action") == "index"), PLACE, "left_semi")
+    return corpus.applied(_children(spark, root, old), _children(spark, root, changed), actions, PLACE)
+
+
+def second_reconcile(spark, root):
+    """What the same reconcile would do once it has been applied: paths by action, with and without a digest."""
+    old, new = _snapshots(spark, root)
+    held = corpus.applied(old, new, corpus.reconcile(new, old, PLACE, "sha256"), PLACE)
+    again = corpus.reconcile(new, held, PLACE, "sha256").join(new.select(*PLACE, (F.coalesce("sha256", F.lit("")) != "").alias("has_digest")), PLACE)
+    return again.groupBy("action", "has_digest").agg(F.count("*").alias("paths"))
 
 
 def index_stats(spark, root):
@@ -321,6 +350,6 @@ QUERIES = {
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
         streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status, note_title_searches,
-        captured_usages, undefined_usages, definitions_at_cursors,
+        captured_usages, undefined_usages, definitions_at_cursors, reindexed_definitions, second_reconcile,
     )
 }

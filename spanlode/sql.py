@@ -173,7 +173,15 @@ _USED = f"""src AS (SELECT DISTINCT ON (file_id) file_id, {_LANGUAGE} AS languag
   WHERE regexp_matches(w, '^[A-Za-z_$]') AND NOT ({_NAMELESS}) AND NOT (NOT imports AND before IN ('func', 'function', 'def', 'fn', 'class', 'struct', 'interface', 'enum', 'trait', 'type', 'mod', 'package', 'namespace', 'const', 'let', 'var', 'static', 'mut', 'record')))"""
 _GLOBS = {"tests": "[^/]*_test\\.go", "scripts": "scripts/[^/]*", "internal_one_deep": "internal/[^/]*/[^/]*", "typescript": "[^/]*\\.[mt]s[^/]*", "one_letter": "[^/]ib/[^/]*\\.rs"}
 
+_NEW = f"""new AS (SELECT project_id, path, arg_max(sha256, struct_pack(i := indexed_at, f := file_id)) AS sha, arg_max(file_id, struct_pack(i := indexed_at, f := file_id)) AS file_id FROM (SELECT DISTINCT file_id, project_id, path, sha256, indexed_at, removed_at FROM source_files)
+  WHERE indexed_at <= TIMESTAMPTZ '{AFTER}+00' AND (removed_at IS NULL OR removed_at > TIMESTAMPTZ '{AFTER}+00') GROUP BY ALL)"""
+_OLD = _NEW.replace("new AS", "old AS").replace(AFTER, BEFORE)
+
 SQL = {
+    "reindexed_definitions": f"""WITH {_LINES}, {_CAPTURES}, {_NEW}, {_OLD}, skipped AS (SELECT project_id, path, o.file_id FROM old o JOIN new n USING (project_id, path) WHERE o.sha = n.sha AND n.sha <> ''),
+ f AS (SELECT project_id, path, file_id FROM skipped UNION ALL SELECT project_id, path, file_id FROM new WHERE (project_id, path) NOT IN (SELECT project_id, path FROM skipped))
+ SELECT f.project_id, f.path, file_id, kind, name, line_no::INTEGER AS line_no FROM captures c JOIN f USING (file_id)""",
+    "second_reconcile": f"WITH {_NEW} SELECT CASE WHEN coalesce(sha, '') = '' THEN 'index' ELSE 'skip' END AS action, coalesce(sha, '') <> '' AS has_digest, count(*) AS paths FROM new GROUP BY ALL",
     "definitions_at_cursors": f"""WITH {_U}, {_D}, c AS (SELECT usage_id AS cursor_id, project_id, lang, file_id, start_line, start_col + 1 AS col FROM u),
  s AS (SELECT file_id, start_line, start_col, end_col, name, 0 AS p FROM definitions UNION SELECT file_id, start_line, start_col, end_col, name, 1 FROM usages),
  m AS (SELECT c.*, s.name, row_number() OVER (PARTITION BY c.cursor_id ORDER BY s.p, s.start_col, s.name) AS r FROM c LEFT JOIN s ON s.file_id = c.file_id AND s.start_line = c.start_line AND c.col BETWEEN s.start_col AND s.end_col),

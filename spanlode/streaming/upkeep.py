@@ -20,25 +20,47 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("r")).select(*keys, "r.*")
 
 
-def index_state(spark: SparkSession, source: str, schema: T.StructType, keys: list[str], seq: str, columns: list[str], files_per_batch: int = 1) -> DataFrame:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def index_state(spark: SparkSession, source: str, schema: T.StructType, keys: list[str], seq: str, columns: list[str], files_per_batch: int = 1, compact_every: int = 20) -> DataFrame:
     """Reads ``source`` as a stream of late and repeated events and keeps, per key, the latest by ``seq``.
 
     Every micro-batch is reduced to its latest events and written as one numbered part; a part that a retried batch
     writes again replaces itself, so each event counts once. The state is the latest row over all parts: replaying
-    events, late ones and copies change nothing. Files are read once each, and what the source drops later stays.
+    events, late ones and copies change nothing. Every ``compact_every`` batches the parts are merged into one base,
+    so the state stays as large as its keys. What a base is made of is deleted only at the next one: a batch that is
+    retried finds it again. Files are read once each, and what the source drops later stays.
     """
     folder = new_folder(spark)
     at, _, name = source.rstrip("/").rpartition("/")
     source = f"{at}/[{name[0]}]{name[1:]}"  # as a pattern, a single file will do as well as a folder
     events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     events = events.select(*keys, F.col(seq).alias("seq"), *columns)
+    done = [0]
+
+    def held(upto: int) -> DataFrame:
+        """The last base before ``upto`` and the parts after it; batches are numbered from 0 and none is left out."""
+        base = upto // compact_every * compact_every
+        paths = ([f"{folder}/base={base}"] if base else []) + [f"{folder}/part={n}" for n in range(base, upto)]
+        return latest(spark.read.schema(events.schema).parquet(*paths), keys)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        latest(batch, keys).write.mode("overwrite").parquet(f"{folder}/state/part={number}")
+        latest(batch, keys).write.mode("overwrite").parquet(f"{folder}/part={number}")
+        done[0] = number + 1
+        if done[0] % compact_every == 0:
+            last = done[0] - compact_every
+            whole = spark.read.schema(events.schema).parquet(*([f"{folder}/base={last}"] if last else []), *[f"{folder}/part={n}" for n in range(last, done[0])])
+            latest(whole, keys).write.mode("overwrite").parquet(f"{folder}/base={done[0]}")
+            for n in range(last - compact_every, last):
+                _delete(spark, f"{folder}/part={n}")
+            _delete(spark, f"{folder}/base={last - compact_every}")
 
     query = events.writeStream.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(upsert).start()
     query.awaitTermination()
-    return latest(spark.read.parquet(f"{folder}/state").drop("part"), keys)
+    return held(done[0]) if done[0] else spark.createDataFrame([], events.schema)
 
 
 def quiet_periods(events: DataFrame, key: str, at: str, gap_seconds: int) -> DataFrame:

@@ -167,3 +167,28 @@ def test_kinds_of_definitions(spark):
     got = corpus.captures(corpus.lines(files)).collect()
     for path, (_, want) in held.items():
         assert sorted((r.name, r.kind) for r in got if r.path == path) == want, path
+
+
+def test_reconcile_applied_twice_changes_nothing(spark):
+    cols = "path string, sha string, n int"
+    held = spark.createDataFrame([("a", "1", 1), ("b", "2", 1), ("c", "3", 1), ("c", "3", 2)], cols)
+    listed = spark.createDataFrame([("a", "1", 9), ("b", "5", 9), ("d", "4", 9), ("d", "4", 8)], cols)
+    once_each = lambda df: df.select("path", "sha").distinct()
+    actions = corpus.reconcile(once_each(listed), once_each(held), ["path"], "sha")
+    assert rows(actions, "path", "action") == [("a", "skip"), ("b", "index"), ("c", "delete"), ("d", "index")]
+    now = corpus.applied(held, listed, actions, ["path"])
+    assert rows(now, *["path", "sha", "n"]) == [("a", "1", 1), ("b", "5", 9), ("d", "4", 8), ("d", "4", 9)]
+    assert rows(corpus.applied(now, listed, actions, ["path"]), "path", "n") == rows(now, "path", "n")
+    again = corpus.reconcile(once_each(listed), once_each(now), ["path"], "sha")
+    assert {r.action for r in again.collect()} == {"skip"}
+    assert corpus.applied(held.limit(0), listed.limit(0), actions, ["path"]).collect() == []
+
+
+def test_stream_state_is_compacted(spark, tmp_path):
+    """Seven files of late and repeated events, parts merged after every second one."""
+    source = str(tmp_path / "events")
+    for batch in ([("a", 1)], [("a", 3), ("b", 1)], [("a", 2)], [("c", 5), ("c", 5)], [("b", 4)], [], [("d", 1), ("a", 3)]):
+        spark.createDataFrame([(p, v, f"{p}{v}") for p, v in batch], "path string, version long, sha string").coalesce(1).write.mode("append").parquet(source)
+    state = upkeep.index_state(spark, source, spark.read.parquet(source).schema, ["path"], "version", ["sha"], compact_every=2)
+    assert rows(state, "path", "seq", "sha") == [("a", 3, "a3"), ("b", 4, "b4"), ("c", 5, "c5"), ("d", 1, "d1")]
+    assert len(state.inputFiles()) <= 3 * 4  # a base and what came after it, not seven parts
