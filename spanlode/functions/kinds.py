@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanlode.functions.paths import directory
+
 #: Definition kinds in the order by which definitions sort.
 DEFINITION_KINDS = "unknown package class interface struct enum function method property field variable constant constructor type_alias trait module".split()
 TYPES = ["class", "struct", "interface", "enum", "type_alias", "trait"]
@@ -100,9 +102,14 @@ def rounded(x: Column) -> Column:
     return F.round(x * 10000) / 10000
 
 
-def confidence(kind: Column, path: Column) -> Column:
-    """Of a definition without a file to start from: kind and noise only, within 0 and 1."""
-    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + kind_weight(kind) - noise(path))))
+#: What it adds to a definition's confidence to lie in the file, or the directory, one starts from.
+SAME_FILE, SAME_DIRECTORY = 0.25, 0.12
+
+
+def confidence(kind: Column, path: Column, start: Column | None = None) -> Column:
+    """Of a definition: kind, noise and, with the path one starts from, how near it lies; within 0 and 1."""
+    near = F.lit(0.0) if start is None else F.when(path == start, SAME_FILE).when(directory(path) == directory(start), SAME_DIRECTORY).otherwise(0.0)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + kind_weight(kind) - noise(path) + near)))
 
 
 def language(path: Column) -> Column:

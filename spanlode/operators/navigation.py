@@ -71,16 +71,18 @@ def at_cursor(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) ->
 
 
 def definitions_at(cursors: DataFrame, definitions: DataFrame, usages: DataFrame) -> DataFrame:
-    """(cursor_id, name, def_id, path, candidates): the definition that the identifier under each cursor leads to, of the
-    cursor's project and language (``project_id`` and ``lang`` of ``cursors``): the first in the cursor's file, else the
-    first of all; null and 0 without one. Both are looked up in aggregates, so no cursor meets all definitions of a name."""
+    """(cursor_id, name, def_id, path, confidence, candidates): the definition that the identifier under each cursor
+    leads to, of the cursor's project and language (``cursors`` has project_id, lang and at_path besides the place): the
+    first in the cursor's file, else the first of all; null and 0 without one. Both are looked up in aggregates, so no
+    cursor meets all definitions of a name."""
     found = at_cursor(cursors, definitions, usages).select("cursor_id", "name")
-    d = definitions_once(definitions).withColumn("o", in_order())
+    d = definitions_once(definitions).withColumn("o", F.struct(in_order().alias("o"), "kind"))
     near = d.groupBy(*SYMBOL, F.col("file_id").alias("at_file")).agg(F.min("o").alias("near"))
     far = d.groupBy(*SYMBOL).agg(F.min("o").alias("far"), F.count("*").alias("candidates"))
-    rows = cursors.select("cursor_id", "project_id", "lang", "at_file").join(found, "cursor_id").join(near, [*SYMBOL, "at_file"], "left").join(far, SYMBOL, "left")
-    to = F.coalesce("near", "far")
-    return rows.select("cursor_id", "name", to["def_id"].alias("def_id"), to["path"].alias("path"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    rows = cursors.select("cursor_id", "project_id", "lang", "at_file", "at_path").join(found, "cursor_id").join(near, [*SYMBOL, "at_file"], "left").join(far, SYMBOL, "left")
+    rows = rows.withColumn("to", F.coalesce("near", "far")).withColumn("path", F.col("to.o.path"))
+    sure = F.when(F.col("path").isNotNull(), kinds.confidence(F.col("to.kind"), F.col("path"), F.col("at_path")))
+    return rows.select("cursor_id", "name", F.col("to.o.def_id").alias("def_id"), "path", sure.alias("confidence"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 
 def word_at(text, col):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
-from spanlode.functions.paths import resolved
+from spanlode.functions.paths import ancestors, node_name, resolved, shortened, symbol_of_node
 from spanlode.operators import captures, corpus, graph, grouping, navigation, note_files, notes, patterns, render, resolution
 from spanlode.operators.index_references import latest_notes, latest_symbols
 from spanlode.sources.tables import files_in_index, once, read
@@ -289,10 +289,23 @@ def undefined_usages(spark, root):
 def definitions_at_cursors(spark, root):
     """Where the identifier under a cursor leads, one column into every usage: in the same file first."""
     u, d = _pair(spark, root)
-    cursors = navigation.usages_once(u).select(F.col("usage_id").alias("cursor_id"), "project_id", "lang", F.col("file_id").alias("at_file"), F.col("start_line").alias("at_line"), (F.col("start_col") + 1).alias("at_col"))
+    cursors = navigation.usages_once(u).select(F.col("usage_id").alias("cursor_id"), "project_id", "lang", F.col("path").alias("at_path"), F.col("file_id").alias("at_file"), F.col("start_line").alias("at_line"), (F.col("start_col") + 1).alias("at_col"))
     return navigation.definitions_at(cursors, d, u)
 
 
+def source_directories(spark, root):
+    """Every directory of a project that holds files in the index, itself or further below, and how many."""
+    files = files_in_index(spark, root).where(F.col("path").contains("/"))
+    return files.select("project_id", F.explode(ancestors(F.col("path"))).alias("directory")).groupBy("project_id", "directory").agg(F.count("*").alias("n_files"))
+
+
+def node_names(spark, root):
+    """How definitions are named in drawings: a shortened path, a plain id, and the name back from the id."""
+    d = navigation.definitions_once(read(spark, root, "definitions"))
+    node = F.concat_ws(":", "path", "name", "start_line")
+    return d.select("def_id", shortened(F.col("path"), 24).alias("short_path"), node_name(node).alias("node"), symbol_of_node(node).alias("symbol"))
+
+
 def note_sections(spark, root):
     """Sections of every document."""
     return notes.sections(read(spark, root, "documents").select("doc_id", "text"))
@@ -350,6 +363,6 @@ QUERIES = {
         resolution_scores, filtered_usages, coupling_scores, find_usages, code_windows, inbound_edges, kept_inbound_edges, outbound_edges, file_graph, graph_metrics, index_changes,
         index_stats, languages, glob_files, extracted_definitions, structural_matches, note_sections, note_search, note_replacements, note_symbol_status, note_slugs, quiet_periods,
         streamed_index_state, resolution_scores_by_line, coupling_scores_by_line, definition_code, usage_code, pattern_matches, capped_matches, note_markdown, note_upserts, note_file_status, note_title_searches,
-        captured_usages, undefined_usages, definitions_at_cursors, reindexed_definitions, second_reconcile,
+        captured_usages, undefined_usages, definitions_at_cursors, reindexed_definitions, second_reconcile, source_directories, node_names,
     )
 }

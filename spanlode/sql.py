@@ -182,12 +182,16 @@ SQL = {
  f AS (SELECT project_id, path, file_id FROM skipped UNION ALL SELECT project_id, path, file_id FROM new WHERE (project_id, path) NOT IN (SELECT project_id, path FROM skipped))
  SELECT f.project_id, f.path, file_id, kind, name, line_no::INTEGER AS line_no FROM captures c JOIN f USING (file_id)""",
     "second_reconcile": f"WITH {_NEW} SELECT CASE WHEN coalesce(sha, '') = '' THEN 'index' ELSE 'skip' END AS action, coalesce(sha, '') <> '' AS has_digest, count(*) AS paths FROM new GROUP BY ALL",
-    "definitions_at_cursors": f"""WITH {_U}, {_D}, c AS (SELECT usage_id AS cursor_id, project_id, lang, file_id, start_line, start_col + 1 AS col FROM u),
+    "definitions_at_cursors": f"""WITH {_U}, {_D}, c AS (SELECT usage_id AS cursor_id, project_id, lang, file_id, path AS at_path, start_line, start_col + 1 AS col FROM u),
  s AS (SELECT file_id, start_line, start_col, end_col, name, 0 AS p FROM definitions UNION SELECT file_id, start_line, start_col, end_col, name, 1 FROM usages),
  m AS (SELECT c.*, s.name, row_number() OVER (PARTITION BY c.cursor_id ORDER BY s.p, s.start_col, s.name) AS r FROM c LEFT JOIN s ON s.file_id = c.file_id AND s.start_line = c.start_line AND c.col BETWEEN s.start_col AND s.end_col),
- k AS (SELECT m.cursor_id, m.name, d.def_id, d.path, count(d.def_id) OVER (PARTITION BY m.cursor_id) AS candidates,
+ k AS (SELECT m.cursor_id, m.name, m.at_path, d.def_id, d.path, d.kind, count(d.def_id) OVER (PARTITION BY m.cursor_id) AS candidates,
    row_number() OVER (PARTITION BY m.cursor_id ORDER BY CASE WHEN d.file_id = m.file_id THEN 0 ELSE 1 END, {_ORDER}, d.path, d.start_line, d.start_col, d.def_id) AS r FROM (SELECT * FROM m WHERE r = 1) m LEFT JOIN d USING (project_id, name, lang))
- SELECT cursor_id, name, def_id, path, candidates FROM k WHERE r = 1""",
+ SELECT cursor_id, name, def_id, path, candidates, CASE WHEN path IS NOT NULL THEN round(greatest(0.0, least(1.0, 0.5::DOUBLE + {_KIND_WEIGHT} - {_noise('path')} + CASE WHEN path = at_path THEN 0.25::DOUBLE WHEN {_DIR.format(p='path')} = {_DIR.format(p='at_path')} THEN 0.12::DOUBLE ELSE 0.0::DOUBLE END)) * 10000) / 10000 END AS confidence FROM k WHERE r = 1""",
+    "source_directories": """WITH f AS (SELECT DISTINCT file_id, project_id, path, string_split(path, '/') AS s FROM source_files WHERE removed_at IS NULL), a AS (SELECT project_id, s, unnest(range(1, len(s))) AS n FROM f)
+ SELECT project_id, array_to_string(s[1:n], '/') AS directory, count(*) AS n_files FROM a GROUP BY ALL""",
+    "node_names": """SELECT DISTINCT def_id, CASE WHEN length(path) <= 24 THEN path ELSE left(path, 8) || '...' || right(path, 13) END AS short_path,
+ CASE WHEN regexp_matches(path, '^[0-9]') THEN 'n' ELSE '' END || regexp_replace(path || ':' || name || ':' || start_line, '[^A-Za-z0-9]', '_', 'g') AS node, name AS symbol FROM definitions""",
     "captured_usages": f"WITH {_USED} SELECT DISTINCT file_id, language, name, kind, start_line, start_col FROM used",
     "undefined_usages": f"""WITH {_USED}, {_LINES}, {_CAPTURES} SELECT u.language, u.kind, count(*) AS n_usages, count(*) FILTER (u.kind <> 'import' AND (u.file_id, u.name) NOT IN (SELECT file_id, name FROM captures)) AS defined_elsewhere
  FROM (SELECT DISTINCT * FROM used) u GROUP BY ALL""",

@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from spanlode.functions import paths
 from spanlode.operators.captures import captured_usages, usages_of
 from spanlode.operators.navigation import definitions_at
 from tests.conftest import rows
@@ -29,5 +32,12 @@ def test_files_with_nulls_copies_and_line_ends(spark):
 def test_cursor_leads_to_its_own_file_first(spark):
     d = spark.createDataFrame([definition(1, "a.go"), definition(2, "z.go", file=99, kind="variable"), definition(3, "b.go", name="bar")], D)
     u = spark.createDataFrame([usage(1, "z.go", line=5), usage(2, "q.go", file=98, line=5), usage(3, "q.go", file=98, name="none", line=6)], U)
-    cursors = spark.createDataFrame([(1, 1, "go", 99, 5, 1), (2, 1, "go", 98, 5, 1), (3, 1, "go", 98, 6, 1), (4, 1, "go", 98, 7, 1)], "cursor_id int, project_id long, lang string, at_file long, at_line int, at_col int")
-    assert rows(definitions_at(cursors, d, u), "cursor_id", "name", "def_id", "candidates") == [(1, "foo", 2, 2), (2, "foo", 1, 2), (3, "none", None, 0), (4, None, None, 0)]
+    cursors = spark.createDataFrame([(1, 1, "go", "z.go", 99, 5, 1), (2, 1, "go", "x/q.go", 98, 5, 1), (3, 1, "go", "q.go", 98, 6, 1), (4, 1, "go", "q.go", 98, 7, 1)], "cursor_id int, project_id long, lang string, at_path string, at_file long, at_line int, at_col int")
+    assert rows(definitions_at(cursors, d, u), "cursor_id", "name", "def_id", "confidence", "candidates") == [(1, "foo", 2, 0.75, 2), (2, "foo", 1, 0.9, 2), (3, "none", None, None, 0), (4, None, None, None, 0)]
+
+
+def test_names_in_drawings(spark):
+    df = spark.createDataFrame([("a/b/c/d.go:F:12",), ("9x:y",), ("",), ("abcdefghijklmnopqrstuvwxyz",)], "t string")
+    got = df.select(paths.shortened(F.col("t"), 12).alias("s"), paths.node_name(F.col("t")).alias("n"), paths.symbol_of_node(F.col("t")).alias("f")).collect()
+    assert [tuple(r) for r in got] == [("a/b/...go:F:12"[:7] + "go:F:12"[-5:], "a_b_c_d_go_F_12", "F"), ("9x:y", "n9x_y", "9x:y"), ("", "node", ""), ("abcd...vwxyz", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz")]
+    assert spark.createDataFrame([("a/b/c.go",), ("d.go",)], "p string").select(paths.ancestors(F.col("p")).alias("a")).collect()[0].a == ["a", "a/b"]
