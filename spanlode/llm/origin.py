@@ -39,6 +39,7 @@ SHORT_STRING = 6  # with its quotes; shorter strings and numbers of up to two di
 LEAST_LITERAL_SHINGLES = 10  # from which only shingles with a literal count
 LEAST_TOKENS = 60  # under which a file that repeats itself, or is made of literals, is described unmasked
 SALTS = 16
+SMALL_BAND, STEP = 256, 8  # members left of a band that all meet at once; growth of the pivots of a larger one by round
 HOT_PIVOT = 5_000  # meetings of one class in a round from which they are dealt over SALTS parts
 REPEATS = 4.0  # tokens per different phrase from which a file repeats itself
 LEAST_LITERAL_BYTES = 400
@@ -266,7 +267,6 @@ def described(files: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(class_id, pivot, share, n, similar): the exact Jaccard similarity of pairs of classes and the size of the first
     one's set. The meetings of a pivot that has many are dealt over parts, and its set goes to each of them."""
-    pairs = cut(pairs)
     hot = pairs.groupBy("pivot").agg(F.count("*").alias("meetings")).select(F.col("pivot").alias("p"), F.when(F.col("meetings") > HOT_PIVOT, SALTS).otherwise(1).alias("parts"))
     met = pairs.join(hot, F.col("pivot") == F.col("p")).select("class_id", "pivot", F.pmod(F.xxhash64("class_id"), F.col("parts")).alias("salt"))
     left = sets.select(F.col("class_id"), F.col("shingles").alias("x"))
@@ -279,10 +279,11 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _clusters(rows: DataFrame) -> DataFrame:
     """(class_id, family): classes connected by pairs that share a band and are similar; classes without such a pair have no row.
 
-    In every round each band's members meet some of themselves, the pivots: about one in the first, twice as many in
-    each round after it. Pivots and members similar to one leave, the others go on until none are left. A band of n
-    classes that aren't alike so ends after log2(n) rounds; no more of its pairs meet than those that have to, since
-    each member left unlike all others must have met them. Only classes that share a band with another are carried on,
+    In every round each band's members meet some of themselves, the pivots: one in the first, ``STEP`` times as many in
+    each round after it, and from the second all of them where no more than ``SMALL_BAND`` are left. Pivots and members
+    similar to one leave, the others go on until none are left. Bands so end after two rounds, and larger ones of n
+    classes that aren't alike after log(n) to the base ``STEP``: each round's plans and jobs stay in the driver's memory.
+    Hardly more pairs meet than have to, since each member left unlike all others must have met them. Only classes that share a band with another are carried on,
     and only theirs are the sets that get exchanged. What never met is one member that left with a pivot and one that
     was unlike it: such pairs meet at the end, unless they are of one family by then or can't be similar by their sizes
     or by their distances to the pivot (Jaccard distance keeps the triangle inequality)."""
@@ -296,6 +297,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
         size = members.groupBy("band").agg(F.min("class_id").alias("least"), F.count("*").alias("n"))
         sized = members.join(size, "band")
         chosen = F.pmod(F.xxhash64("class_id", "band", F.lit(wanted)), F.col("n")) < wanted - 1
+        chosen |= F.col("n") <= (SMALL_BAND if wanted > 1 else 1)
         sized = sized.withColumn("chosen", (F.col("class_id") == F.col("least")) | chosen)
         pivots = sized.where("chosen").select("band", F.col("class_id").alias("pivot"))
         met = cut(sized.select("class_id", "band", "chosen").join(pivots, "band").where((F.col("class_id") != F.col("pivot")) & (~F.col("chosen") | (F.col("class_id") > F.col("pivot")))))
@@ -305,7 +307,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
         members = cut(told.groupBy("class_id", "band").agg(F.max("similar").alias("leaves")).where(~F.col("leaves")).select("class_id", "band"))
         if members.isEmpty():
             break
-        wanted *= 2
+        wanted *= STEP
     reach = 1 - SIMILAR + 1e-9
     close = cut(met_all.where("similar").distinct())
     links = close.select(F.col("class_id").alias("a"), F.col("pivot").alias("b"))

@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
+from spanlode.llm import origin
 from spanlode.llm.origin import _clusters, band_hashes, features, is_marker, origins
+from spanlode.plans.runtime import cut
 from tests.conftest import rows
 
 COLS = "file_id long, project_id long, path string, content binary, kind string, class_id long"
@@ -131,3 +133,12 @@ def test_no_link_is_lost_in_crowded_bands(spark):
     want = sorted((i, root(i)) for i in sets if sum(root(j) == root(i) for j in sets) > 1)
     classes = spark.createDataFrame([(i, "go", [7], sorted(s)) for i, s in sets.items()], "class_id long, language string, bands array<long>, shingles array<int>")
     assert rows(_clusters(classes), "class_id", "family") == want and len(want) > 20
+
+
+def test_crowded_bands_take_few_rounds(spark, monkeypatch):
+    """Two hundred sets of one band, none like another: every round's plans and jobs stay in the driver's memory."""
+    made = []
+    monkeypatch.setattr(origin, "cut", lambda df: made.append(1) or cut(df))
+    classes = spark.createDataFrame([(i, "go", [7], list(range(100 * i, 100 * i + 20))) for i in range(200)], "class_id long, language string, bands array<long>, shingles array<int>")
+    assert rows(_clusters(classes), "class_id", "family") == []
+    assert len(made) <= 12  # two rounds of three, and four more
