@@ -9,6 +9,7 @@ from spanlode.functions import kinds
 from spanlode.functions.paths import directory
 from spanlode.operators.navigation import definitions_once, in_order, primary_definitions, usages_once
 from spanlode.operators.resolution import primary_scores
+from spanlode.plans.runtime import written
 
 SYMBOL = ["project_id", "name", "lang"]
 LEAST = 0.2
@@ -21,6 +22,18 @@ def coupled(usages: DataFrame) -> DataFrame:
     return usages_once(usages).withColumn("score", kinds.coupling(F.col("kind"), F.col("relation")))
 
 
+def of_defined_names(usages: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Usages once, without those of names that have no definition in their project and language.
+
+    Hashes of names and ids meet first, so whole rows are exchanged only to leave out copies. A usage whose hash agrees
+    with that of another name stays; whoever joins by name leaves it out."""
+    u = usages_once(usages)
+    hashed = F.xxhash64(*SYMBOL).alias("symbol")
+    defined = definitions.where(F.col("def_id").isNotNull()).select(hashed).distinct()
+    ids = u.select("usage_id", hashed).join(defined, "symbol", "left_semi").select("usage_id")
+    return written(u.join(ids, "usage_id", "left_semi"))
+
+
 def inbound_edges(usages: DataFrame, definitions: DataFrame, least: float = LEAST, lines: DataFrame | None = None) -> DataFrame:
     """Per symbol with a definition and file that uses it: usages, highest score, and what the usage of that score is
     (of equals the first by place and id). The score is the primary definition's share of the candidates' weight.
@@ -32,7 +45,7 @@ def inbound_edges(usages: DataFrame, definitions: DataFrame, least: float = LEAS
     scored = primary_scores(usages, definitions, lines)
     order = F.struct("score", (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
     passes = F.sum((F.col("score") >= least).cast("long")).alias("passing")
-    edges = scored.groupBy(*SYMBOL, "path").agg(passes, F.max(F.struct(order.alias("o"), "primary_path", *_META)).alias("b"))
+    edges = written(scored.groupBy(*SYMBOL, "path").agg(passes, F.max(F.struct(order.alias("o"), "primary_path", *_META)).alias("b")))
     some = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in SYMBOL]).agg(F.max(F.col("passing") > 0).alias("some"))
     met = edges.join(some, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SYMBOL]).where((F.col("passing") > 0) | ~F.col("some"))
     n = F.when(F.col("some"), F.col("passing")).otherwise(F.lit(1).cast("long"))
@@ -78,6 +91,7 @@ def _mean(score: str, unit: int):
 
 
 def _graph_of_primaries(usages: DataFrame, definitions: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    usages = of_defined_names(usages, definitions)
     first = primary_definitions(definitions).select(*SYMBOL, "def_id", F.col("path").alias("at_path"))
     return first, inbound_edges(usages, definitions, least), outbound_edges(usages, definitions).join(first, "def_id")
 

@@ -34,29 +34,33 @@ def _weighed(weight: int):
     return lambda x: F.struct((-F.lit(weight) * _fit(x["kind"])).alias("w"), x["o"].alias("o"))
 
 
-def _weighed_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None) -> DataFrame:
-    """Usages once with dir, box, _place, ``candidates``, ``_total`` (the candidates' weight) and ``_best``."""
+def _weighed_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None, best: bool = True) -> DataFrame:
+    """Usages once with dir, box, _place, ``candidates``, ``_total`` (the candidates' weight) and, if asked for, ``_best``;
+    without it no definition's place is carried from join to join, only sums."""
     d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), kinds.kind_order(F.col("kind")).alias("kind"), in_order().alias("o"))
     u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
-    scores, bests, drop = F.lit(0).cast("long"), [], []
+    bests, drop = [], []
     out, cls = u, F.lit(0)
     if lines is not None:
         at = lines.select(F.col("file_id"), F.col("line_no").alias("start_line"), "line")
         out, cls = u.join(at, ["file_id", "start_line"], "left"), kinds.line_class(F.col("line"), F.col("name"))
-    out = out.withColumn("_place", kinds.place(F.col("kind"), cls)).drop("line")
+    out = out.withColumn("_place", kinds.place(F.col("kind"), cls)).drop("line").withColumn("_total", F.lit(0).cast("long"))
     for i, (more, factor, weight) in enumerate(PARTS):
         cols = [*SYMBOL, *more]
         rows = d.where(F.coalesce(F.col("box"), F.lit("")) != "") if "box" in more else d
         by_kind = rows.groupBy(*cols, "kind").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-        table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", "o")).alias(f"p{i}"))  # one entry a kind, 16 at most
+        table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", *["o"] * best)).alias(f"p{i}"))  # one entry a kind, 16 at most
         out = out.join(table, cols, "left")
         held = F.coalesce(F.col(f"p{i}"), F.array().cast(table.schema[f"p{i}"].dataType))
-        scores = scores + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x["kind"]))
-        bests.append(F.transform(held, _weighed(weight)))
-        drop.append(f"p{i}")
-    best = F.array_min(F.flatten(F.array(*bests)))
-    out = out.withColumn("_total", scores).withColumn("_best", best)
-    return out.withColumn("candidates", F.coalesce(F.aggregate("p0", F.lit(0).cast("long"), lambda a, x: a + x["n"]), F.lit(0))).drop(*drop)
+        out = out.withColumn("_total", F.col("_total") + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x["kind"])))
+        if not more:
+            out = out.withColumn("candidates", F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+        if best:
+            bests.append(F.transform(held, _weighed(weight)))
+            drop.append(f"p{i}")
+        else:
+            out = out.drop(f"p{i}")
+    return out.withColumn("_best", F.array_min(F.flatten(F.array(*bests)))).drop(*drop) if best else out
 
 
 def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -78,11 +82,11 @@ def primary_scores(usages: DataFrame, definitions: DataFrame, lines: DataFrame |
 
     The primary's own weight needs no other candidate: it follows from the usage's row and the one row of its symbol."""
     first = primary_definitions(definitions).select(*SYMBOL, F.col("def_id").alias("primary_def_id"), F.col("path").alias("primary_path"), F.struct(kinds.kind_order(F.col("kind")).alias("kind"), "file_id", directory(F.col("path")).alias("dir"), "container").alias("_p"))
-    rows = _weighed_usages(usages, definitions, lines).join(first, SYMBOL)
+    rows = _weighed_usages(usages, definitions, lines, best=False).join(first, SYMBOL)
     place = F.when(F.col("file_id") == F.col("_p.file_id"), 12).when(F.col("dir") == F.col("_p.dir"), 6).otherwise(4)
     box = F.when(F.col("box") == F.col("_p.container"), 3).otherwise(2)
     score = kinds.rounded((place * box * _fit(F.col("_p.kind"))).cast("double") / F.col("_total"))
-    return rows.withColumn("score", score).drop("_total", "_best", "_place", "dir", "box", "_p")
+    return rows.withColumn("score", score).drop("_total", "_place", "dir", "box", "_p")
 
 
 def filtered_usages(usages: DataFrame, definitions: DataFrame, least: float = 0.55) -> DataFrame:
