@@ -15,7 +15,7 @@ def tables(spark):
     return spark.createDataFrame(usages, USAGES), spark.createDataFrame(definitions, DEFINITIONS)
 
 
-@pytest.mark.parametrize("name", ["file_graph"])
+@pytest.mark.parametrize("name", ["file_graph", "graph_metrics"])
 def test_only_usages_of_defined_names_are_carried_on(spark, monkeypatch, name):
     carried, inbound = [], graph.inbound_edges
     monkeypatch.setattr(graph, "inbound_edges", lambda u, *more: carried.append(u) or inbound(u, *more))
