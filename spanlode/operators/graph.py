@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
 from spanlode.functions.paths import directory
-from spanlode.operators.navigation import definitions_once, in_order, primary_definitions, usages_once
+from spanlode.operators.membership import each_once, may_hold
+from spanlode.operators.navigation import DEFINITION, USAGE, definitions_once, in_order, primary_of, usages_once
 from spanlode.operators.resolution import primary_scores
 from spanlode.plans.runtime import written
 
@@ -23,33 +24,30 @@ def coupled(usages: DataFrame) -> DataFrame:
 
 
 def of_defined_names(usages: DataFrame, definitions: DataFrame) -> DataFrame:
-    """Usages once, without those of names that have no definition in their project and language.
+    """Usages once, without nearly all of those of names that have no definition in their project and language.
 
-    Hashes of names and ids meet first, so whole rows are exchanged only to leave out copies. A usage whose hash agrees
-    with that of another name stays; whoever joins by name leaves it out."""
-    u = usages_once(usages)
-    hashed = F.xxhash64(*SYMBOL).alias("symbol")
-    defined = definitions.where(F.col("def_id").isNotNull()).select(hashed).distinct()
-    ids = u.select("usage_id", hashed).join(defined, "symbol", "left_semi").select("usage_id")
-    return written(u.join(ids, "usage_id", "left_semi"))
+    They are told by hashes while the table is read, so only rows that may have copies are exchanged. A usage whose
+    hash agrees with that of another name stays; whoever joins by name leaves it out."""
+    defined = may_hold(definitions.where(F.col("def_id").isNotNull()), *SYMBOL, rows=definitions.count())
+    return each_once(usages.select(*USAGE), "usage_id", defined)
 
 
-def inbound_edges(usages: DataFrame, definitions: DataFrame, least: float = LEAST, lines: DataFrame | None = None) -> DataFrame:
+def inbound_edges(usages: DataFrame, definitions: DataFrame, least: float = LEAST, lines: DataFrame | None = None, told: bool = True) -> DataFrame:
     """Per symbol with a definition and file that uses it: usages, highest score, and what the usage of that score is
     (of equals the first by place and id). The score is the primary definition's share of the candidates' weight.
 
     Usages under ``least`` don't count. A symbol that would have none left keeps one usage a file, the highest. Both
-    ways follow from one aggregation per symbol and file, whose partial results leave the map side; the flag that
-    decides between them is aggregated from the edges.
+    ways follow from one aggregation per symbol and file; the flag that decides between them is a window over a symbol's
+    files. Without ``told`` both tables have every id once, and what the usage is, is left out.
     """
-    scored = primary_scores(usages, definitions, lines)
+    scored = primary_scores(usages_once(usages), definitions_once(definitions), lines) if told else primary_scores(usages, definitions, lines)
     order = F.struct("score", (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
+    best = F.max(F.struct(order.alias("o"), "primary_path", *_META)) if told else F.max(F.struct(F.struct("score").alias("o"), "primary_path"))
     passes = F.sum((F.col("score") >= least).cast("long")).alias("passing")
-    edges = written(scored.groupBy(*SYMBOL, "path").agg(passes, F.max(F.struct(order.alias("o"), "primary_path", *_META)).alias("b")))
-    some = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in SYMBOL]).agg(F.max(F.col("passing") > 0).alias("some"))
-    met = edges.join(some, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SYMBOL]).where((F.col("passing") > 0) | ~F.col("some"))
+    edges = scored.groupBy(*SYMBOL, "path").agg(passes, best.alias("b")).withColumn("some", F.max(F.col("passing") > 0).over(Window.partitionBy(*SYMBOL)))
     n = F.when(F.col("some"), F.col("passing")).otherwise(F.lit(1).cast("long"))
-    return met.select(*SYMBOL, "path", F.col("b.primary_path").alias("to_path"), n.alias("n_usages"), F.col("b.o.score").alias("max_score"), *[F.col(f"b.{c}").alias(c) for c in _META])
+    met = edges.where((F.col("passing") > 0) | ~F.col("some"))
+    return met.select(*SYMBOL, "path", F.col("b.primary_path").alias("to_path"), n.alias("n_usages"), F.col("b.o.score").alias("max_score"), *[F.col(f"b.{c}").alias(c) for c in _META if told])
 
 
 def _targets(definitions: DataFrame, more: list[str], name: str) -> DataFrame:
@@ -59,30 +57,38 @@ def _targets(definitions: DataFrame, more: list[str], name: str) -> DataFrame:
 def outbound_edges(usages: DataFrame, definitions: DataFrame) -> DataFrame:
     """Per definition and name used within its lines: usages, what the first usage of the highest rank is, 1/sqrt of
     the candidates of the name as score, and the target: the first candidate in the same file, else in the same
-    directory, else of all. A definition's own name doesn't count, nor do names without a definition.
+    directory, else of all. A definition's own name doesn't count, nor do names without a definition."""
+    d = definitions_once(definitions)
+    return _outbound(usages_once(usages), d, d, True)
 
-    The range join meets on file and bins of ``BIN`` lines. Both sides are reduced first: usages to counts per file,
-    line and name, definitions to distinct spans, so copies and crowded lines don't multiply. Targets are looked up in
-    three aggregates of the definitions; no usage meets all candidates of its name.
+
+def _outbound(usages: DataFrame, definitions: DataFrame, of: DataFrame, told: bool = False) -> DataFrame:
+    """Outbound edges of the definitions ``of``; all tables have every id once. Without ``told`` what the usage is, is left out.
+
+    The range join meets on file and bins of ``BIN`` lines, by which usages are exchanged once. Both sides are reduced
+    first: usages to counts per file, line and name, definitions to distinct spans, so copies and crowded lines don't
+    multiply. Targets are looked up in three aggregates of the definitions; no usage meets all candidates of its name.
     """
-    d = definitions_once(definitions).where(F.col("start_line").isNotNull())
-    spans = d.select("file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line")).distinct()
-    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
+    d = of.where(F.col("start_line").isNotNull()).withColumn("end_line", F.greatest("end_line", "start_line"))
+    span = ["file_id", "path", "start_line", "end_line"]
+    binned = d.select(*span).distinct().withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
     rank = F.struct(kinds.outbound_rank(F.col("kind")).alias("p"), (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
-    marks = usages_once(usages).groupBy("project_id", "file_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), "path", *_META)).alias("k"))
-    marks = marks.withColumn("bin", F.floor(F.col("line") / BIN))
+    first = [F.max(F.struct(rank.alias("r"), *_META)).alias("k")] if told else []
+    placed = usages.withColumn("bin", F.floor(F.col("start_line") / BIN)).repartition("file_id", "bin")
+    marks = placed.groupBy("file_id", "bin", "project_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), *first)
     met = binned.join(marks, ["file_id", "bin"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    per_span = met.groupBy("project_id", "file_id", "start_line", "end_line", "lang", "name").agg(F.sum("n").alias("n_usages"), F.max("k").alias("k")).withColumn("dir", directory(F.col("k.path")))
-    placed = definitions_once(definitions).withColumn("dir", directory(F.col("path"))).withColumn("o", in_order())
-    candidates = placed.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"), F.min("o").alias("t3"))
-    found = per_span.join(candidates, SYMBOL).join(_targets(placed, ["file_id"], "t1"), [*SYMBOL, "file_id"], "left").join(_targets(placed, ["dir"], "t2"), [*SYMBOL, "dir"], "left")
+    per_span = met.groupBy("project_id", *span, "lang", "name").agg(F.sum("n").alias("n_usages"), *[F.max("k").alias("k")] * told).withColumn("dir", directory(F.col("path")))
+    candidates = definitions.withColumn("dir", directory(F.col("path"))).withColumn("o", in_order())
+    of_name = candidates.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"), F.min("o").alias("t3"))
+    found = per_span.join(of_name, SYMBOL).join(_targets(candidates, ["file_id"], "t1"), [*SYMBOL, "file_id"], "left").join(_targets(candidates, ["dir"], "t2"), [*SYMBOL, "dir"], "left")
+    meta = [F.col(f"k.{c}").alias(f"used_{c}") for c in _META if told]
     scored = found.withColumn("t", F.coalesce("t1", "t2", "t3")).select(
-        "file_id", "start_line", "end_line", F.col("name").alias("used_name"), "n_usages", *[F.col(f"k.{c}").alias(f"used_{c}") for c in _META],
+        *[F.col(c).alias(f"_{c}") for c in span], F.col("name").alias("used_name"), "n_usages", *meta,
         F.round(1 / F.sqrt(F.col("candidates")), 6).alias("score"), F.col("t.def_id").alias("target_def_id"), F.col("t.path").alias("target_path"),
     )
-    own = d.select("def_id", "name", "file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line"))
-    out = own.join(scored, ["file_id", "start_line", "end_line"]).where(F.col("name") != F.col("used_name"))
-    return out.select("def_id", "used_name", "n_usages", *[F.col(f"used_{c}").alias(c) for c in _META], "score", "target_def_id", "target_path")
+    own = d.select("def_id", "name", *span)
+    out = own.join(scored, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in span]).where(F.col("name") != F.col("used_name"))
+    return out.select("def_id", "used_name", "n_usages", *[F.col(f"used_{c}").alias(c) for c in _META if told], "score", "target_def_id", "target_path")
 
 
 def _mean(score: str, unit: int):
@@ -91,9 +97,11 @@ def _mean(score: str, unit: int):
 
 
 def _graph_of_primaries(usages: DataFrame, definitions: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    usages = of_defined_names(usages, definitions)
-    first = primary_definitions(definitions).select(*SYMBOL, "def_id", F.col("path").alias("at_path"))
-    return first, inbound_edges(usages, definitions, least), outbound_edges(usages, definitions).join(first, "def_id")
+    d = written(each_once(definitions.select(*DEFINITION), "def_id"))
+    u = of_defined_names(usages, d)
+    first = written(primary_of(d).select(*SYMBOL, "def_id", "file_id", "path", "start_line", "end_line"))
+    outward = _outbound(u, d, first).join(first.select(*SYMBOL, "def_id", F.col("path").alias("at_path")), "def_id")
+    return first, inbound_edges(u, d, least, None, False), outward
 
 
 def file_graph(usages: DataFrame, definitions: DataFrame, least: float = LEAST) -> DataFrame:

@@ -11,15 +11,18 @@ from spanlode.sources.tables import once
 SYMBOL = ["project_id", "name", "lang"]
 
 
+DEFINITION = ["def_id", "project_id", "file_id", "path", "lang", "name", "kind", "container", "start_line", "start_col", "end_line", "end_col"]
+USAGE = ["usage_id", "project_id", "file_id", "path", "lang", "name", "kind", "context_container", "relation", "receiver_type", "target_type", "start_line", "start_col", "end_line"]
+
+
 def definitions_once(definitions: DataFrame) -> DataFrame:
     """One row per def_id."""
-    return once(definitions.select("def_id", "project_id", "file_id", "path", "lang", "name", "kind", "container", "start_line", "start_col", "end_line", "end_col").where(F.col("def_id").isNotNull()), "def_id")
+    return once(definitions.select(*DEFINITION).where(F.col("def_id").isNotNull()), "def_id")
 
 
 def usages_once(usages: DataFrame) -> DataFrame:
     """One row per usage_id."""
-    cols = ["usage_id", "project_id", "file_id", "path", "lang", "name", "kind", "context_container", "relation", "receiver_type", "target_type", "start_line", "start_col", "end_line"]
-    return once(usages.select(*cols).where(F.col("usage_id").isNotNull()), "usage_id")
+    return once(usages.select(*USAGE).where(F.col("usage_id").isNotNull()), "usage_id")
 
 
 def in_order():
@@ -33,7 +36,11 @@ def primary_definitions(definitions: DataFrame) -> DataFrame:
     Both come from one aggregation whose partial results leave the map side, so a name with a third of all
     definitions costs a task no more than another. Null languages and names are symbols of their own.
     """
-    d = definitions_once(definitions)
+    return primary_of(definitions_once(definitions))
+
+
+def primary_of(d: DataFrame) -> DataFrame:
+    """``primary_definitions`` of a table that has each definition once."""
     best = d.groupBy(*SYMBOL).agg(F.min(F.struct(in_order().alias("o"), "file_id", "kind", "container", "end_line")).alias("b"), F.count("*").alias("candidates"))
     return best.select(
         *SYMBOL, F.col("b.o.def_id").alias("def_id"), "b.file_id", F.col("b.o.path").alias("path"), "b.kind", "b.container", F.col("b.o.start_line").alias("start_line"), F.col("b.o.start_col").alias("start_col"), "b.end_line", "candidates"

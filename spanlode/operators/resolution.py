@@ -12,12 +12,13 @@ per kind, joined by equality; no pair of a usage and a candidate is ever made, h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
 from spanlode.functions.paths import directory
 from spanlode.operators.navigation import definitions_once, in_order, primary_definitions, usages_once
+from spanlode.plans.runtime import salt_of
 
 SYMBOL = ["project_id", "name", "lang"]
 #: (columns besides the symbol, factor in the sum, weight of a candidate that agrees in just these), both times 8.
@@ -34,33 +35,34 @@ def _weighed(weight: int):
     return lambda x: F.struct((-F.lit(weight) * _fit(x["kind"])).alias("w"), x["o"].alias("o"))
 
 
-def _weighed_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None, best: bool = True) -> DataFrame:
-    """Usages once with dir, box, _place, ``candidates``, ``_total`` (the candidates' weight) and, if asked for, ``_best``;
-    without it no definition's place is carried from join to join, only sums."""
-    d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), kinds.kind_order(F.col("kind")).alias("kind"), in_order().alias("o"))
-    u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
-    bests, drop = [], []
+def _placed(u: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Usages with ``_place``, where the factors of their kind and of their source line's class begin."""
     out, cls = u, F.lit(0)
     if lines is not None:
         at = lines.select(F.col("file_id"), F.col("line_no").alias("start_line"), "line")
         out, cls = u.join(at, ["file_id", "start_line"], "left"), kinds.line_class(F.col("line"), F.col("name"))
-    out = out.withColumn("_place", kinds.place(F.col("kind"), cls)).drop("line").withColumn("_total", F.lit(0).cast("long"))
+    return out.withColumn("_place", kinds.place(F.col("kind"), cls)).drop("line")
+
+
+def _weighed_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """Usages once with dir, box, _place, ``candidates``, ``_total`` (the candidates' weight) and ``_best``."""
+    d = definitions_once(definitions).select(*SYMBOL, "file_id", directory(F.col("path")).alias("dir"), F.col("container").alias("box"), kinds.kind_order(F.col("kind")).alias("kind"), in_order().alias("o"))
+    u = usages_once(usages).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
+    bests, drop = [], []
+    out = _placed(u, lines).withColumn("_total", F.lit(0).cast("long"))
     for i, (more, factor, weight) in enumerate(PARTS):
         cols = [*SYMBOL, *more]
         rows = d.where(F.coalesce(F.col("box"), F.lit("")) != "") if "box" in more else d
         by_kind = rows.groupBy(*cols, "kind").agg(F.count("*").alias("n"), F.min("o").alias("o"))
-        table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", *["o"] * best)).alias(f"p{i}"))  # one entry a kind, 16 at most
+        table = by_kind.groupBy(*cols).agg(F.collect_list(F.struct("kind", "n", "o")).alias(f"p{i}"))  # one entry a kind, 16 at most
         out = out.join(table, cols, "left")
         held = F.coalesce(F.col(f"p{i}"), F.array().cast(table.schema[f"p{i}"].dataType))
         out = out.withColumn("_total", F.col("_total") + F.lit(factor) * F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"] * _fit(x["kind"])))
         if not more:
             out = out.withColumn("candidates", F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-        if best:
-            bests.append(F.transform(held, _weighed(weight)))
-            drop.append(f"p{i}")
-        else:
-            out = out.drop(f"p{i}")
-    return out.withColumn("_best", F.array_min(F.flatten(F.array(*bests)))).drop(*drop) if best else out
+        bests.append(F.transform(held, _weighed(weight)))
+        drop.append(f"p{i}")
+    return out.withColumn("_best", F.array_min(F.flatten(F.array(*bests)))).drop(*drop)
 
 
 def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -76,17 +78,63 @@ def resolved_usages(usages: DataFrame, definitions: DataFrame, lines: DataFrame
     return out.withColumn("confidence", share).withColumn("best_def_id", F.col("_best.o.def_id")).drop("_total", "_best", "_place", "dir", "box")
 
 
+def _alike() -> list[list[int]]:
+    """Kinds of definitions, by their order, in classes that have the same factors wherever they are used."""
+    n, classes = len(kinds.DEFINITION_KINDS), {}
+    for k in range(n):
+        classes.setdefault(tuple(kinds.FACTORS[k::n]), []).append(k)
+    return list(classes.values())
+
+
+#: Usages are counted in so many buckets of symbols; one with more than a share of ``HOT``, and ``MANY``, is dealt to ``SALTS`` tasks.
+BUCKETS, HOT, MANY, SALTS = 4096, 1 / 50, 100_000, 16
+
+
+def _dealt(u: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Usages, definitions and the columns to exchange both by: those of a symbol or, where a bucket of symbols has many
+    of the usages, a salt too, by the path of usages; there, definitions go with every salt."""
+    bucket = F.pmod(F.xxhash64(*SYMBOL), F.lit(BUCKETS))
+    counts = u.groupBy(bucket.alias("b")).count().collect()
+    least = max(MANY, HOT * sum(r["count"] for r in counts))
+    hot = [r["b"] for r in counts if r["count"] > least]
+    if not hot:
+        return u, d, SYMBOL
+    is_hot = bucket.isin(hot)
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return u.withColumn("_salt", F.when(is_hot, salt_of("path", salts=SALTS)).otherwise(0)), d.withColumn("_salt", F.explode(salts)), [*SYMBOL, "_salt"]
+
+
 def primary_scores(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """Usages of symbols that have a definition, with the primary one (``primary_def_id``, ``primary_path``) and
-    ``score``: that definition's share of the weight of all candidates, four places.
-
-    The primary's own weight needs no other candidate: it follows from the usage's row and the one row of its symbol."""
-    first = primary_definitions(definitions).select(*SYMBOL, F.col("def_id").alias("primary_def_id"), F.col("path").alias("primary_path"), F.struct(kinds.kind_order(F.col("kind")).alias("kind"), "file_id", directory(F.col("path")).alias("dir"), "container").alias("_p"))
-    rows = _weighed_usages(usages, definitions, lines, best=False).join(first, SYMBOL)
+    ``score``: that definition's share of the weight of all candidates, four places. Both tables have every id once.
+
+    The primary's own weight needs no other candidate: it follows from the usage's row and the one row of its symbol.
+    Usages and definitions are exchanged once, by symbol; the counts of definitions that make up the total are then
+    windows within a symbol."""
+    whole = F.col("project_id").isNotNull() & F.col("name").isNotNull() & F.col("lang").isNotNull()
+    d = definitions.where(whole).select(*SYMBOL, "file_id", "path", F.col("container").alias("context_container"), kinds.kind_order(F.col("kind")).alias("_kind"), "start_line", "start_col", "def_id")
+    u, d, by = _dealt(usages.where(whole), d)
+    u = _placed(u, lines).select(*usages.columns, "_place", *by[len(SYMBOL) :])
+    rows = u.unionByName(d, allowMissingColumns=True).repartition(*by).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
+    rows = rows.withColumn("_total", F.lit(0).cast("long"))
+    classes = _alike()
+    for i in (4, 1, 0, 5, 2, 3):  # three of these are in the order of the one before them
+        more, factor, _ = PARTS[i]
+        within = Window.partitionBy(*by, *more)
+        counted = {f"_n{j}": F.sum(F.when(F.col("_kind").isin(of), 1)).over(within) for j, of in enumerate(classes)}
+        if not more:
+            counted["_p"] = F.min(F.when(F.col("def_id").isNotNull(), F.struct("_kind", "path", "start_line", "start_col", "def_id", "file_id", "dir", "box"))).over(within)
+        weight = F.lit(0).cast("long")
+        for j, of in enumerate(classes):
+            weight += F.coalesce(F.col(f"_n{j}"), F.lit(0)) * _fit(of[0])
+        for c in more:
+            weight = F.when(F.col(c).isNotNull(), weight).otherwise(0)
+        rows = rows.withColumns(counted).withColumn("_total", F.col("_total") + F.lit(factor) * weight).drop(*[c for c in counted if c != "_p"])
+    rows = rows.where(F.col("def_id").isNull() & F.col("_p").isNotNull())
     place = F.when(F.col("file_id") == F.col("_p.file_id"), 12).when(F.col("dir") == F.col("_p.dir"), 6).otherwise(4)
-    box = F.when(F.col("box") == F.col("_p.container"), 3).otherwise(2)
-    score = kinds.rounded((place * box * _fit(F.col("_p.kind"))).cast("double") / F.col("_total"))
-    return rows.withColumn("score", score).drop("_total", "_place", "dir", "box", "_p")
+    box = F.when(F.col("box") == F.col("_p.box"), 3).otherwise(2)
+    score = kinds.rounded((place * box * _fit(F.col("_p._kind"))).cast("double") / F.col("_total"))
+    return rows.select(*usages.columns, F.col("_p.def_id").alias("primary_def_id"), F.col("_p.path").alias("primary_path"), score.alias("score"))
 
 
 def filtered_usages(usages: DataFrame, definitions: DataFrame, least: float = 0.55) -> DataFrame:
