@@ -9,7 +9,7 @@ from spanlode.functions import kinds
 from spanlode.functions.paths import directory
 from spanlode.operators.membership import each_once, may_hold
 from spanlode.operators.navigation import DEFINITION, USAGE, definitions_once, in_order, primary_of, usages_once
-from spanlode.operators.resolution import primary_scores
+from spanlode.operators.resolution import dealt, primary_scores, whole_symbol
 from spanlode.plans.runtime import written
 
 SYMBOL = ["project_id", "name", "lang"]
@@ -57,38 +57,52 @@ def _targets(definitions: DataFrame, more: list[str], name: str) -> DataFrame:
 def outbound_edges(usages: DataFrame, definitions: DataFrame) -> DataFrame:
     """Per definition and name used within its lines: usages, what the first usage of the highest rank is, 1/sqrt of
     the candidates of the name as score, and the target: the first candidate in the same file, else in the same
-    directory, else of all. A definition's own name doesn't count, nor do names without a definition."""
-    d = definitions_once(definitions)
-    return _outbound(usages_once(usages), d, d, True)
+    directory, else of all. A definition's own name doesn't count, nor do names without a definition.
 
-
-def _outbound(usages: DataFrame, definitions: DataFrame, of: DataFrame, told: bool = False) -> DataFrame:
-    """Outbound edges of the definitions ``of``; all tables have every id once. Without ``told`` what the usage is, is left out.
-
-    The range join meets on file and bins of ``BIN`` lines, by which usages are exchanged once. Both sides are reduced
-    first: usages to counts per file, line and name, definitions to distinct spans, so copies and crowded lines don't
-    multiply. Targets are looked up in three aggregates of the definitions; no usage meets all candidates of its name.
+    The range join meets on file and bins of ``BIN`` lines. Both sides are reduced first: usages to counts per file,
+    line and name, definitions to distinct spans, so copies and crowded lines don't multiply. Targets are looked up in
+    three aggregates of the definitions; no usage meets all candidates of its name.
     """
-    d = of.where(F.col("start_line").isNotNull()).withColumn("end_line", F.greatest("end_line", "start_line"))
-    span = ["file_id", "path", "start_line", "end_line"]
-    binned = d.select(*span).distinct().withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
+    d = definitions_once(definitions).where(F.col("start_line").isNotNull())
+    spans = d.select("file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line")).distinct()
+    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
     rank = F.struct(kinds.outbound_rank(F.col("kind")).alias("p"), (-F.col("start_line")).alias("l"), (-F.col("start_col")).alias("c"), (-F.col("usage_id")).alias("i"))
-    first = [F.max(F.struct(rank.alias("r"), *_META)).alias("k")] if told else []
-    placed = usages.withColumn("bin", F.floor(F.col("start_line") / BIN)).repartition("file_id", "bin")
-    marks = placed.groupBy("file_id", "bin", "project_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), *first)
+    marks = usages_once(usages).groupBy("project_id", "file_id", "lang", "name", F.col("start_line").alias("line")).agg(F.count("*").alias("n"), F.max(F.struct(rank.alias("r"), "path", *_META)).alias("k"))
+    marks = marks.withColumn("bin", F.floor(F.col("line") / BIN))
     met = binned.join(marks, ["file_id", "bin"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
-    per_span = met.groupBy("project_id", *span, "lang", "name").agg(F.sum("n").alias("n_usages"), *[F.max("k").alias("k")] * told).withColumn("dir", directory(F.col("path")))
-    candidates = definitions.withColumn("dir", directory(F.col("path"))).withColumn("o", in_order())
-    of_name = candidates.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"), F.min("o").alias("t3"))
-    found = per_span.join(of_name, SYMBOL).join(_targets(candidates, ["file_id"], "t1"), [*SYMBOL, "file_id"], "left").join(_targets(candidates, ["dir"], "t2"), [*SYMBOL, "dir"], "left")
-    meta = [F.col(f"k.{c}").alias(f"used_{c}") for c in _META if told]
+    per_span = met.groupBy("project_id", "file_id", "start_line", "end_line", "lang", "name").agg(F.sum("n").alias("n_usages"), F.max("k").alias("k")).withColumn("dir", directory(F.col("k.path")))
+    placed = definitions_once(definitions).withColumn("dir", directory(F.col("path"))).withColumn("o", in_order())
+    candidates = placed.groupBy(*SYMBOL).agg(F.count("*").alias("candidates"), F.min("o").alias("t3"))
+    found = per_span.join(candidates, SYMBOL).join(_targets(placed, ["file_id"], "t1"), [*SYMBOL, "file_id"], "left").join(_targets(placed, ["dir"], "t2"), [*SYMBOL, "dir"], "left")
     scored = found.withColumn("t", F.coalesce("t1", "t2", "t3")).select(
-        *[F.col(c).alias(f"_{c}") for c in span], F.col("name").alias("used_name"), "n_usages", *meta,
+        "file_id", "start_line", "end_line", F.col("name").alias("used_name"), "n_usages", *[F.col(f"k.{c}").alias(f"used_{c}") for c in _META],
         F.round(1 / F.sqrt(F.col("candidates")), 6).alias("score"), F.col("t.def_id").alias("target_def_id"), F.col("t.path").alias("target_path"),
     )
-    own = d.select("def_id", "name", *span)
-    out = own.join(scored, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in span]).where(F.col("name") != F.col("used_name"))
-    return out.select("def_id", "used_name", "n_usages", *[F.col(f"used_{c}").alias(c) for c in _META if told], "score", "target_def_id", "target_path")
+    own = d.select("def_id", "name", "file_id", "start_line", F.greatest("end_line", "start_line").alias("end_line"))
+    out = own.join(scored, ["file_id", "start_line", "end_line"]).where(F.col("name") != F.col("used_name"))
+    return out.select("def_id", "used_name", "n_usages", *[F.col(f"used_{c}").alias(c) for c in _META], "score", "target_def_id", "target_path")
+
+
+def _outbound_of(of: DataFrame, usages: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The outbound edges of the definitions ``of``, without what their usages are; all tables have every id once.
+
+    Usages are exchanged once by file and bin, edges once by the symbol they name, with its definitions: candidates and
+    targets are windows there."""
+    d = of.where(F.col("start_line").isNotNull()).select("def_id", "file_id", F.col("name").alias("own"), directory(F.col("path")).alias("dir"), "start_line", F.greatest("end_line", "start_line").alias("end_line"))
+    binned = d.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_line") / BIN), F.floor(F.col("end_line") / BIN))))
+    placed = usages.withColumn("bin", F.floor(F.col("start_line") / BIN)).repartition("file_id", "bin")
+    marks = placed.groupBy("file_id", "bin", *SYMBOL, F.col("start_line").alias("line")).agg(F.count("*").alias("n"))
+    met = binned.join(marks, ["file_id", "bin"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")) & (F.col("name") != F.col("own")))
+    named = met.where(whole_symbol()).groupBy("file_id", "bin", "dir", "def_id", *SYMBOL).agg(F.sum("n").alias("n")).select("file_id", "dir", "def_id", *SYMBOL, "n")
+    candidates = definitions.where(whole_symbol()).select(*SYMBOL, "file_id", in_order().alias("o"))
+    named, candidates, by = dealt(named, candidates, "def_id", usages)
+    rows = named.unionByName(candidates, allowMissingColumns=True).repartition(*by).withColumn("dir", F.coalesce("dir", directory(F.col("o.path"))))
+    for name, more in (("t1", ["file_id"]), ("t2", ["dir"]), ("t3", [])):
+        rows = rows.withColumn(name, F.min("o").over(Window.partitionBy(*by, *more)))
+    rows = rows.withColumn("candidates", F.count("o").over(Window.partitionBy(*by))).where(F.col("def_id").isNotNull() & (F.col("candidates") > 0))
+    near = [F.when(F.col(c).isNotNull(), F.col(t)) for c, t in (("file_id", "t1"), ("dir", "t2"))]
+    edges = rows.withColumn("t", F.coalesce(*near, "t3")).groupBy(*by, "def_id").agg(F.sum("n").alias("n_usages"), F.min("t").alias("t"), F.min("candidates").alias("candidates"))
+    return edges.select("def_id", F.col("name").alias("used_name"), "n_usages", F.round(1 / F.sqrt(F.col("candidates")), 6).alias("score"), F.col("t.path").alias("target_path"))
 
 
 def _mean(score: str, unit: int):
@@ -98,9 +112,9 @@ def _mean(score: str, unit: int):
 
 def _graph_of_primaries(usages: DataFrame, definitions: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     d = written(each_once(definitions.select(*DEFINITION), "def_id"))
-    u = of_defined_names(usages, d)
     first = written(primary_of(d).select(*SYMBOL, "def_id", "file_id", "path", "start_line", "end_line"))
-    outward = _outbound(u, d, first).join(first.select(*SYMBOL, "def_id", F.col("path").alias("at_path")), "def_id")
+    u = of_defined_names(usages, first)
+    outward = _outbound_of(first, u, d).join(first.select(*SYMBOL, "def_id", F.col("path").alias("at_path")), "def_id")
     return first, inbound_edges(u, d, least, None, False), outward
 
 

@@ -12,7 +12,7 @@ per kind, joined by equality; no pair of a usage and a candidate is ever made, h
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlode.functions import kinds
@@ -90,18 +90,23 @@ def _alike() -> list[list[int]]:
 BUCKETS, HOT, MANY, SALTS = 4096, 1 / 50, 100_000, 16
 
 
-def _dealt(u: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def whole_symbol() -> Column:
+    """Rows whose symbol can agree with another's."""
+    return F.col("project_id").isNotNull() & F.col("name").isNotNull() & F.col("lang").isNotNull()
+
+
+def dealt(u: DataFrame, d: DataFrame, spread: str, counted: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Usages, definitions and the columns to exchange both by: those of a symbol or, where a bucket of symbols has many
-    of the usages, a salt too, by the path of usages; there, definitions go with every salt."""
+    of the usages ``counted``, a salt too, by the column ``spread`` of ``u``; there, definitions go with every salt."""
     bucket = F.pmod(F.xxhash64(*SYMBOL), F.lit(BUCKETS))
-    counts = u.groupBy(bucket.alias("b")).count().collect()
+    counts = counted.groupBy(bucket.alias("b")).count().collect()
     least = max(MANY, HOT * sum(r["count"] for r in counts))
     hot = [r["b"] for r in counts if r["count"] > least]
     if not hot:
         return u, d, SYMBOL
     is_hot = bucket.isin(hot)
     salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return u.withColumn("_salt", F.when(is_hot, salt_of("path", salts=SALTS)).otherwise(0)), d.withColumn("_salt", F.explode(salts)), [*SYMBOL, "_salt"]
+    return u.withColumn("_salt", F.when(is_hot, salt_of(spread, salts=SALTS)).otherwise(0)), d.withColumn("_salt", F.explode(salts)), [*SYMBOL, "_salt"]
 
 
 def primary_scores(usages: DataFrame, definitions: DataFrame, lines: DataFrame | None = None) -> DataFrame:
@@ -111,30 +116,29 @@ def primary_scores(usages: DataFrame, definitions: DataFrame, lines: DataFrame |
     The primary's own weight needs no other candidate: it follows from the usage's row and the one row of its symbol.
     Usages and definitions are exchanged once, by symbol; the counts of definitions that make up the total are then
     windows within a symbol."""
-    whole = F.col("project_id").isNotNull() & F.col("name").isNotNull() & F.col("lang").isNotNull()
-    d = definitions.where(whole).select(*SYMBOL, "file_id", "path", F.col("container").alias("context_container"), kinds.kind_order(F.col("kind")).alias("_kind"), "start_line", "start_col", "def_id")
-    u, d, by = _dealt(usages.where(whole), d)
+    d = definitions.where(whole_symbol()).select(*SYMBOL, "file_id", F.col("container").alias("context_container"), in_order().alias("_d"))
+    u, d, by = dealt(usages.where(whole_symbol()), d, "path", usages)
     u = _placed(u, lines).select(*usages.columns, "_place", *by[len(SYMBOL) :])
-    rows = u.unionByName(d, allowMissingColumns=True).repartition(*by).withColumn("dir", directory(F.col("path"))).withColumn("box", F.nullif("context_container", F.lit("")))
+    rows = u.unionByName(d, allowMissingColumns=True).repartition(*by).withColumn("dir", directory(F.coalesce("path", "_d.path"))).withColumn("box", F.nullif("context_container", F.lit("")))
     rows = rows.withColumn("_total", F.lit(0).cast("long"))
     classes = _alike()
     for i in (4, 1, 0, 5, 2, 3):  # three of these are in the order of the one before them
         more, factor, _ = PARTS[i]
         within = Window.partitionBy(*by, *more)
-        counted = {f"_n{j}": F.sum(F.when(F.col("_kind").isin(of), 1)).over(within) for j, of in enumerate(classes)}
+        counted = {f"_n{j}": F.sum(F.when(F.col("_d.o").isin(of), 1)).over(within) for j, of in enumerate(classes)}
         if not more:
-            counted["_p"] = F.min(F.when(F.col("def_id").isNotNull(), F.struct("_kind", "path", "start_line", "start_col", "def_id", "file_id", "dir", "box"))).over(within)
+            counted["_p"] = F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "file_id", "dir", "box"))).over(within)
         weight = F.lit(0).cast("long")
         for j, of in enumerate(classes):
             weight += F.coalesce(F.col(f"_n{j}"), F.lit(0)) * _fit(of[0])
         for c in more:
             weight = F.when(F.col(c).isNotNull(), weight).otherwise(0)
         rows = rows.withColumns(counted).withColumn("_total", F.col("_total") + F.lit(factor) * weight).drop(*[c for c in counted if c != "_p"])
-    rows = rows.where(F.col("def_id").isNull() & F.col("_p").isNotNull())
+    rows = rows.where(F.col("_d").isNull() & F.col("_p").isNotNull())
     place = F.when(F.col("file_id") == F.col("_p.file_id"), 12).when(F.col("dir") == F.col("_p.dir"), 6).otherwise(4)
     box = F.when(F.col("box") == F.col("_p.box"), 3).otherwise(2)
-    score = kinds.rounded((place * box * _fit(F.col("_p._kind"))).cast("double") / F.col("_total"))
-    return rows.select(*usages.columns, F.col("_p.def_id").alias("primary_def_id"), F.col("_p.path").alias("primary_path"), score.alias("score"))
+    score = kinds.rounded((place * box * _fit(F.col("_p._d.o"))).cast("double") / F.col("_total"))
+    return rows.select(*usages.columns, F.col("_p._d.def_id").alias("primary_def_id"), F.col("_p._d.path").alias("primary_path"), score.alias("score"))
 
 
 def filtered_usages(usages: DataFrame, definitions: DataFrame, least: float = 0.55) -> DataFrame:
