@@ -45,24 +45,24 @@ CONTEXTUAL = {
 _C_STRING = r'"(?:[^"\\\n]|\\.)*"'
 #: What a token looks like, by language; the first alternative that fits counts.
 TOKENS = {
-    "go": [r"\n\s*", _BLOCK, r"`[^`]*`", r'"(?:[^"\\\n]|\\[abfnrtv\\"0-7xuU])*"', r"'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))'", _NAME,
+    "go": [r"\n\s*", _BLOCK, r"`[^`]*`", r'"(?:[^"\\\n]++|\\[abfnrtv\\"0-7xuU])*"', r"'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[\da-fA-F]{2}|u[\da-fA-F]{4}|U[\da-fA-F]{8}))'", _NAME,
            r"(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bBoO][\d_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)i?(?!\w)",
            r"<<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!()\[\]{},;.:~]"],
-    "java": [r'"""[^\S\n]*\n(?:[^"\\]|\\[\s\S]|"(?!""))*"""', r'"(?:[^"\\\n]|\\(?:[btnfrs"\'\\0-7]|u+[\da-fA-F]{4}))*"(?!")|""(?!")', r"'(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))'", r"[^\W\d$]?[\w$]*(?<!\W)(?<=[A-Za-z_$])(?:[\w$]*)|" + r"[^\W\d][\w$]*|\$[\w$]*",
+    "java": [r'"""[^\S\n]*\n(?:[^"\\]++|\\[\s\S]|"(?!""))*"""', r'"(?:[^"\\\n]++|\\(?:[btnfrs"\'\\0-7]|u+[\da-fA-F]{4}))*"(?!")|""(?!")', r"'(?:[^'\\\n]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[\da-fA-F]{4}))'", r"[^\W\d$]?[\w$]*(?<!\W)(?<=[A-Za-z_$])(?:[\w$]*)|" + r"[^\W\d][\w$]*|\$[\w$]*",
              r"(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?[lLfFdD]?|0[bB][01_]+[lL]?|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?[lLfFdD]?|\.\d[\d_]*(?:[eE][+-]?\d+)?[fFdD]?)(?!\w)",
              r"\.\.\.|->|::|<<=|>=|<<|&&|\|\||\+\+|--|==|!=|<=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|[-+*/%&|^<>=!~?:;,.@()\[\]{}]"],
-    "rust": [r'(?:b|c)?"(?:[^"\\]|\\(?:[nrt\\0\'"\n]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))*"', r'(?:b|c)?r"[^"]*"|(?:b|c)?r#"[\s\S]*?"#(?!#)|(?:b|c)?r##"[\s\S]*?"##|(?:b|c)?r###"[\s\S]*?"###',
+    "rust": [r'(?:b|c)?"(?:[^"\\]++|\\(?:[nrt\\0\'"\n]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))*"', r'(?:b|c)?r"[^"]*"|(?:b|c)?r#"[\s\S]*?"#(?!#)|(?:b|c)?r##"[\s\S]*?"##|(?:b|c)?r###"[\s\S]*?"###',
              r"b?'(?:[^'\\\n\t]|\\(?:[nrt\\0'\"]|x[\da-fA-F]{2}|u\{[\da-fA-F_]{1,8}\}))'", r"'[^\W\d]\w*(?!')", r"r#[^\W\d]\w*", _NAME,
              r"(?:0x[\da-fA-F_]+|0o[0-7_]+|0b[01_]+|\d[\d_]*(?:\.(?![._]|[^\W\d])(?:\d[\d_]*)?)?(?:[eE][+-]?[\d_]+)?)(?:_?(?:[iu](?:8|16|32|64|128|size)|f32|f64))?(?!\w)",
              r"\.\.=|\.\.\.|<<=|>=|->|=>|::|\.\.|&&|\|\||<<|==|!=|<=|\+=|-=|\*=|/=|%=|\^=|&=|\|=|[-+*/%^!&|=<>@.,;:#$?~()\[\]{}]"],
-    "javascript": [r"\n\s*", _BLOCK, r"`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`", r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'",
+    "javascript": [r"\n\s*", _BLOCK, r"`(?:[^`\\$]++|\\[\s\S]|\$(?!\{)|\$\{[^{}`]*\})*`", r'"(?:[^"\\\n]++|\\[\s\S])*"', r"'(?:[^'\\\n]++|\\[\s\S])*'",
                    r"(?:(?<=[(,=:\[!&|?{};])|(?<=[(,=:\[!&|?{};]\s))/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", r"#?(?:[^\W\d]|\$)[\w$]*",
                    r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?|\.\d[\d_]*(?:[eE][+-]?\d+)?)n?(?![\w$])",
                    r"\.\.\.|=>|===|!==|\*\*=|<<=|&&=|\|\|=|\?\?=|\*\*|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|[-+*/%&|^<>=!~?:;,.@()\[\]{}]"],
     "python": [r"\n[ \t\f]*",
-               r'[fF][rR]?"(?!"")(?:[^"\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}"\n]|"[^"\n{}]*"|\{[^{}\n]*\})*\})*"', r"[fF][rR]?'(?!'')(?:[^'\\\n{}]|\\[\s\S]|\{\{|\}\}|\{(?:[^{}'\n]|'[^'\n{}]*'|\{[^{}\n]*\})*\})*'",
-               r'(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""', r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''",
-               r'(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"(?:[^"\\\n]|\\[\s\S])*"', r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?'(?:[^'\\\n]|\\[\s\S])*'", _NAME,
+               r'[fF][rR]?"(?!"")(?:[^"\\\n{}]++|\\[\s\S]|\{\{|\}\}|\{(?:[^{}"\n]|"[^"\n{}]*"|\{[^{}\n]*\})*\})*"', r"[fF][rR]?'(?!'')(?:[^'\\\n{}]++|\\[\s\S]|\{\{|\}\}|\{(?:[^{}'\n]|'[^'\n{}]*'|\{[^{}\n]*\})*\})*'",
+               r'(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"""(?:[^"\\]++|\\[\s\S]|"(?!""))*"""', r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?'''(?:[^'\\]++|\\[\s\S]|'(?!''))*'''",
+               r'(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"(?:[^"\\\n]++|\\[\s\S])*"', r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?'(?:[^'\\\n]++|\\[\s\S])*'", _NAME,
                r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*\.(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*[eE][+-]?\d(?:_?\d)*[jJ]?|(?:[1-9](?:_?\d)*|0(?:_?0)*)(?![\d_])[jJ]?|\d(?:_?\d)*[jJ])(?!\w)",
                r"\*\*=|//=|>>=|<<=|\.\.\.|\*\*|//|<<|>>|<=|>=|==|!=|->|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|:=|[-+*/%@&|^~<>()\[\]{},:.;=]"],
 }
@@ -76,6 +76,13 @@ _SPACE = {
     "python": r"(?:[ \t\f]+|#[^\n]*|\\\n)*",
 }
 _SPACE["typescript"] = _SPACE["javascript"]
+#: What lies between tokens besides blanks and line ends, by language.
+_BETWEEN = {"go": rf"//[^\n]*|{_BLOCK}", "java": rf"//[^\n]*|{_BLOCK}", "rust": rf"//[^\n]*|{_BLOCK}", "javascript": rf"//[^\n]*|{_BLOCK}|\ufeff", "python": r"#[^\n]*|\\\n"}
+_BETWEEN["typescript"] = _BETWEEN["javascript"]
+#: What begins no longer token and no other: single marks, and numbers without a fraction, exponent or suffix.
+_WHOLE = r"[()\[\]{},;]|\.(?=[^\W\d])|=(?![=>])|:(?![:=])|(?:0|[1-9]\d*+)(?![\w.$])"
+#: Names by what ``TOKENS`` takes for a name, where no quote or mark follows that makes the letters a prefix.
+_WHOLE_NAME = {"go": r"[^\W\d]\w*", "rust": r"[^\W\d]\w*+(?![\"'#])", "python": r"[^\W\d]\w*+(?![\"'])"} | dict.fromkeys(("java", "javascript", "typescript"), r"[^\W\d][\w$]*")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _FIELD = re.compile(r"\{\s*[^\W\d][\w.]*\s*(?:![rsa])?(?::[^{}]*)?\}")
 _TAG = re.compile(r"<(/?)\s*([^\W\d][\w$.:-]*)?\s*")
@@ -447,6 +454,15 @@ class Language:
         return out
 
 
+@lru_cache(maxsize=None)
+def words(name: str) -> re.Pattern:
+    """A pattern whose ``findall`` gives the token texts of a language as ``Language.pattern`` does, but none for line
+    ends and comments; these come as empty texts or not at all. Names and single marks are most of a text, so they
+    are tried first where nothing else can begin with them."""
+    tokens = [t for t in TOKENS[name] if not t.startswith(r"\n") and t != _BLOCK]
+    return re.compile(rf"\s*+(?:{_BETWEEN[name]}|({_WHOLE}|{_WHOLE_NAME[name]}|{'|'.join(tokens)}|\S|\Z))")
+
+
 @lru_cache(maxsize=None)
 def language(name: str, elements: bool = False) -> Language:
     return Language(name, elements)

@@ -45,6 +45,8 @@ REPEATS = 4.0  # tokens per different phrase from which a file repeats itself
 LEAST_LITERAL_BYTES = 400
 LITERAL_TOKENS, LITERAL_BYTES = 0.6, 0.7
 MINIFIED_TOKENS_A_LINE, MINIFIED_NAME = 60, 3.8
+SEPARATORS = frozenset(",:;-()[]{}")
+BLOCK = 2_000  # shingles hashed at once
 
 _DRAWN = np.random.Generator(np.random.PCG64(20240229))
 _A = _DRAWN.integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,21 +97,17 @@ def is_marker(name: str, text: str) -> bool:
     return all(_MARKER[name].fullmatch(line) for line in _BLOCKS.sub("", text).split("\n"))
 
 
-class _Tokens:
-    """Token texts to (hash, class), the class in the lowest two bits: 0 other, 1 literal, 2 identifier, 3 small number or short string;
-    -1 is no token."""
+class _Tokens(dict):
+    """Token texts to (hash, separator, class), the class in the lowest two bits: 0 other, 1 literal, 2 identifier, 3 small number or
+    short string; above them a bit for separators. Texts that aren't in the table yet are added."""
 
     def __init__(self, name: str):
-        self.lang = lexers.language(name)
-        self.known: dict[str, int] = {}
-        self.separators = np.array([self.code(c) for c in ",:;-()[]{}"])
-
-    def code(self, text: str) -> int:
-        if not text or text.isspace() or text.startswith("/*"):
-            self.known[text] = -1
-            return -1
+        super().__init__()
+        self.fixed, self.words = lexers.language(name).fixed, lexers.words(name)
+
+    def __missing__(self, text: str) -> int:
         c = text[0]
-        if text in self.lang.fixed:
+        if text in self.fixed:
             kind = 0
         elif c.isalpha() and not (len(text) > 1 and text[-1] in "\"'") or c in "_$#" and len(text) > 1:
             kind = 2
@@ -120,9 +118,9 @@ class _Tokens:
         else:
             kind = 0
         hashed = 1 if kind == 2 else 2 if kind == 3 else zlib.crc32(text.encode())
-        if len(self.known) > 300_000:
-            self.known = {}
-        n = self.known[text] = hashed << 2 | kind
+        if len(self) > 300_000:
+            self.clear()
+        n = self[text] = hashed << 3 | (text in SEPARATORS) << 2 | kind
         return n
 
 
@@ -168,7 +166,12 @@ def third_party_header(text: str) -> bool:
 
 def band_hashes(shingles: np.ndarray) -> np.ndarray:
     """The MinHash bands of a set of 32-bit shingles."""
-    least = ((shingles.astype(np.uint64) * _A[:, None] + _B[:, None]) >> np.uint64(32)).min(axis=1).reshape(BANDS, ROWS)
+    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+    for at in range(0, len(shingles), BLOCK):
+        hashed = shingles[at : at + BLOCK].astype(np.uint64)[:, None] * _A
+        hashed += _B
+        np.minimum(least, hashed.min(axis=0), out=least)
+    least = (least >> np.uint64(32)).reshape(BANDS, ROWS)
     bands = (least * _BAND_WEIGHTS).sum(axis=1, dtype=np.uint64) * np.uint64(31) + np.arange(BANDS, dtype=np.uint64)
     return bands.view(np.int64)
 
@@ -201,44 +204,55 @@ def _shingled(hashes: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(32)).astype(np.uint32)
 
 
+def _distinct(shingles: np.ndarray) -> np.ndarray:
+    shingles = np.sort(shingles)
+    first = np.ones(len(shingles), dtype=bool)
+    np.not_equal(shingles[1:], shingles[:-1], out=first[1:])
+    return shingles[first]
+
+
+def _total_length(words: list[str], chosen: np.ndarray) -> int:
+    return sum(map(len, map(words.__getitem__, np.flatnonzero(chosen).tolist())))
+
+
 def features(name: str, content: bytes) -> Features:
     """The file's set of shingles and its bands, tokens, different phrases, and whether it is described ``plain``
     (unmasked), a ``marker``, ``literals`` by share, ``literal_only`` by size too, ``minified``, or has a ``notice`` or a
     third-party ``header``."""
     text = content.decode("utf-8", "replace").removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
     table = _TABLES.get(name) or _TABLES.setdefault(name, _Tokens(name))
-    get, code = table.known.get, table.code
-    words = table.lang.pattern.findall(text)
-    all_codes = np.array([c if (c := get(w)) is not None else code(w) for w in words], dtype=np.int64)
-    codes = all_codes[all_codes >= 0].astype(np.uint64)
+    words = list(filter(None, table.words.findall(text)))
     notice, header = has_notice(name, text), third_party_header(text)
-    if not len(codes):
+    if not words:
         return Features(notice=notice, header=header)
-    kinds = codes & np.uint64(3)
-    literal = (kinds == 1) | (kinds == 3)
-    separators = int(np.isin(all_codes, table.separators).sum())
-    share = float(literal.sum()) / max(1, len(codes) - separators)
-    literal_bytes = sum(len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 1 == 1)))
+    codes = np.fromiter(map(table.__getitem__, words), np.int64, len(words))
+    kinds = (codes & 3).astype(np.int8)
+    long_literal = kinds == 1
+    literal = long_literal | (kinds == 3)
+    separators = np.count_nonzero(codes & 4)
+    share = np.count_nonzero(literal) / max(1, len(codes) - separators)
+    literal_bytes = _total_length(words, literal)
     literals = share >= LITERAL_TOKENS or literal_bytes >= LITERAL_BYTES * max(1, len(text))
     only = literals and literal_bytes >= LEAST_LITERAL_BYTES
     minified = False
     if name in ("javascript", "typescript") and not only and len(codes) > MINIFIED_TOKENS_A_LINE * (text.count("\n") + 1):
-        names = [len(words[i]) for i in np.flatnonzero((all_codes >= 0) & (all_codes & 3 == 2))]
-        minified = len(codes) >= 200 and bool(names) and sum(names) / len(names) < MINIFIED_NAME
-    hashes = codes >> np.uint64(2)
+        named = kinds == 2
+        n = np.count_nonzero(named)
+        minified = len(codes) >= 200 and n > 0 and _total_length(words, named) / n < MINIFIED_NAME
+    hashes = (codes >> 3).astype(np.uint64)
     mixed = _shingled(np.where(literal, np.uint64(3), hashes) if literals else hashes)
-    shingles = np.unique(mixed)
+    shingles = _distinct(mixed)
     phrases, plain = len(shingles), len(codes) < LEAST_TOKENS
     if not literals:
-        held = np.concatenate([[0], np.cumsum(kinds == 1)])
-        own = np.unique(mixed[held[SHINGLE:] > held[:-SHINGLE]]) if len(codes) >= SHINGLE else mixed[:0]
+        held = np.concatenate([[0], np.cumsum(long_literal)])
+        own = _distinct(mixed[held[SHINGLE:] > held[:-SHINGLE]]) if len(codes) >= SHINGLE else mixed[:0]
         if len(own) >= LEAST_LITERAL_SHINGLES and len(codes) >= LEAST_TOKENS:
             shingles = own
         else:
             plain |= len(codes) < REPEATS * phrases
     if plain:
-        whole = np.array([zlib.crc32(words[i].encode()) for i in np.flatnonzero(all_codes >= 0)], dtype=np.uint64)
-        shingles = np.unique(_shingled(whole))
+        whole = np.array([zlib.crc32(w.encode()) for w in words], dtype=np.uint64)
+        shingles = _distinct(_shingled(whole))
     marker = is_marker(name, text)
     return Features(len(codes), phrases, plain, marker, only, minified, notice, header, literals, shingles.view(np.int32), band_hashes(shingles))
 

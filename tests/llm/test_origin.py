@@ -1,8 +1,9 @@
 import random
+import sys
 
 import numpy as np
 
-from spanlode.llm import origin
+from spanlode.llm import lexers, origin
 from spanlode.llm.origin import _clusters, band_hashes, features, is_marker, origins
 from spanlode.plans.runtime import cut
 from tests.conftest import rows
@@ -142,3 +143,35 @@ def test_crowded_bands_take_few_rounds(spark, monkeypatch):
     classes = spark.createDataFrame([(i, "go", [7], list(range(100 * i, 100 * i + 20))) for i in range(200)], "class_id long, language string, bands array<long>, shingles array<int>")
     assert rows(_clusters(classes), "class_id", "family") == []
     assert len(made) <= 12  # two rounds of three, and four more
+
+
+def test_tokens_take_no_call_each():
+    """Tokens go to their codes within one call of the interpreter, and literals to their lengths: else those calls take most of the time."""
+    text = "package p\n\nfunc f() {\n" + '\tfirst := second + 1234 + "literal"\n' * 3000 + "}\n"
+    features("go", text.encode())
+    calls = []
+    sys.setprofile(lambda frame, event, what: calls.append(event) if event in ("call", "c_call") else None)
+    try:
+        got = features("go", text.encode())
+    finally:
+        sys.setprofile(None)
+    assert got.tokens == 3000 * 7 + 8 and len(calls) < 1000
+
+
+def test_words_are_the_tokens_of_the_language():
+    """Also where marks, numbers, names and quotes meet, and among comments, odd blanks and line ends."""
+    r = random.Random(11)
+    parts = r"""a b r f rb br #x r#x 'a 'b' "s" "" "e\"e" ''' ` ${ } ( ) [ ] { , ; : :: := = == => === . .. ... ..= .5 1. 1.5e3 0 00 07 0x1f 1_0 12n 3j 1u8 1$ $x /* */ // # \ / /x/g * ** ? ?. < > - -> é ² _ f"{x}" r#"s"# b"x" b'x' \" \'""".split(" ")
+    parts += ["\n", " ", "\t", "\v", "\\\n", "\n\n", "\xa0", "\x1c", "\ufeff", '"""']
+    for name in lexers.TOKENS:
+        for _ in range(1500):
+            text = "".join(r.choices(parts, k=r.randint(1, 25)))
+            want = [w for w in lexers.language(name).pattern.findall(text) if w and not w.isspace() and not w.startswith("/*")]
+            assert [w for w in lexers.words(name).findall(text) if w] == want, (name, text)
+
+
+def test_bands_of_large_sets():
+    shingles = np.unique(np.random.default_rng(6).integers(0, 2**32, 3 * origin.BLOCK + 5, dtype=np.uint32))
+    least = ((shingles.astype(np.uint64) * origin._A[:, None] + origin._B[:, None]) >> np.uint64(32)).min(axis=1).reshape(origin.BANDS, origin.ROWS)
+    want = (least * origin._BAND_WEIGHTS).sum(axis=1, dtype=np.uint64) * np.uint64(31) + np.arange(origin.BANDS, dtype=np.uint64)
+    assert (band_hashes(shingles) == want.view(np.int64)).all()
